@@ -200,7 +200,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     smaller than any. Very long texts stay whole; an empty table gives no rows; other columns are not read.
     """
     if postings is None:
-        postings = stash(make_postings(docs, id_col, text_col, min_chars), "line-postings")
+        postings = stash(make_postings(docs, id_col, text_col, min_chars).distinct(), "line-postings")
     lists = drop_lists(postings, min_docs)
     left = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text"))
     both = left.join(lists.withColumnRenamed("doc_id", "list_id"), F.col("doc_id").eqNullSafe(F.col("list_id")), "left").select("doc_id", "text", "keys")
