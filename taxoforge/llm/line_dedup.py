@@ -227,3 +227,28 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+
+
+def replace_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with its columns, its texts without the lines that ``dedup_lines`` drops; null texts come out empty."""
+    postings = stash(make_postings(docs, id_col, text_col, min_chars).distinct(), "line-postings")
+    lists = drop_lists(postings, min_docs).select(F.col("doc_id").alias("dropped_id"), F.col("keys").alias("dropped_keys"))
+    both = docs.withColumn(text_col, as_text(text_col)).join(lists, F.col(id_col).cast("long").eqNullSafe(F.col("dropped_id")), "left").drop("dropped_id")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = []
+                for text, keys in zip(part.column(at), part.column(len(names))):
+                    text = text.as_py()
+                    if keys.is_valid:
+                        gone = {np.array([k["k1"], k["k2"]], np.int64).tobytes() for k in keys.as_py()}
+                        text = "\n".join(x for x, k in zip(text.split("\n"), keys_of(text, min_chars)) if k is None or k not in gone)
+                    texts.append(text)
+                cols = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return both.mapInArrow(run, docs.withColumn(text_col, as_text(text_col)).schema)

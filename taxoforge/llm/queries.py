@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoforge.llm import chat, line_dedup, media, mixing, nearest, packing, quality, simhash
+from taxoforge.llm import chat, line_dedup, media, mixing, nearest, packing, passages, quality, simhash, suffixes
 from taxoforge.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,9 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_media": op5_media,
+    "op6_fuzzy_passages": op6_fuzzy_passages,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
