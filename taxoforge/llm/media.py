@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, heavy_join, stash
+from taxoforge.llm.common import as_text, heavy_join, release_shuffles, stash
 
 ALIGN = 64
 RATE = 8000
@@ -209,7 +209,9 @@ def media_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     listed = stash(catalogue(docs, id_col, text_col), "media-lists")
     orders = stash(storing_orders(listed), "media-orders")
+    release_shuffles(docs.sparkSession)
     stored = stash(store(docs, orders, id_col, text_col), "media-store")
+    release_shuffles(docs.sparkSession)
     read = read_media(stored)
     copies = listed.groupBy("media_sha").agg(F.count("*").alias("copies"))
     out = heavy_join(listed.select("doc_id", "n_bytes", "media_sha", F.size("digests").alias("n_chunks")), stash(read.join(copies, "media_sha"), "media-read"), ["media_sha"], "copies", listed.count())
