@@ -1,84 +1,29 @@
-"""Shared plumbing of the training-data operators: scratch tables, skew-proof joins, Arrow streaming."""
+"""Shared plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxoforge.scratch import HEAVY_PARTS, drop_stash, heavy_join, release_shuffles, scratch_root, stash
+
+__all__ = ["HEAVY_PARTS", "SPACE", "WORD_PATTERN", "as_text", "drop_stash", "heavy_join", "release_shuffles", "scratch_root", "small_batches", "stash", "table"]
+
 #: ASCII white space, the only separators that words and line keys know: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only a session without one gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints/taxoforge"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and any executor may be lost.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stashed table that nothing will read again."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of finished jobs now rather than when it next collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-#: A key above total/HEAVY_PARTS rows counts as heavy, so there are fewer than HEAVY_PARTS heavy keys on any input.
-HEAVY_PARTS = 1000
-
-
-def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """Join left to right, whose keys are unique and whose column ``weight`` counts the left rows of each key.
-
-    Keys that hold over 1/HEAVY_PARTS of all ``total`` left rows are fewer than HEAVY_PARTS by pigeonhole: they are
-    broadcast, so no task gathers them. The rest shuffles, none of its keys holding more than that share.
-    ``how``: inner or left_semi.
-    """
-    bar = max(1, total // HEAVY_PARTS)
-    heavy = F.broadcast(right.filter(F.col(weight) > bar))
-    light = right.filter(F.col(weight) <= bar)
-    hot = left.join(heavy, on, how)
-    cold = left.join(F.broadcast(right.filter(F.col(weight) > bar).select(*on)), on, "left_anti").join(light.hint("merge"), on, how)
-    return hot.unionByName(cold)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch for this session: batches of whole texts live in the executor and its workers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def as_text(c: Column | str) -> Column:

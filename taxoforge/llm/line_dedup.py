@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import SPACE, as_text, heavy_join, stash
+from taxoforge.llm.common import SPACE, as_text, heavy_join, small_batches, stash
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -108,6 +108,7 @@ def keys_of(text: str, min_chars: int) -> list[bytes | None]:
 def make_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """k1, k2, doc_id: the distinct long line keys of each document."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests = [], []

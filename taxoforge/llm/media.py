@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, heavy_join, release_shuffles, stash
+from taxoforge.llm.common import as_text, heavy_join, release_shuffles, small_batches, stash
 
 ALIGN = 64
 RATE = 8000
@@ -207,6 +207,7 @@ def media_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty and hold ALIGN zeros; equal texts share one medium and have equal values; repeated rows and
     null ids stay rows; very long texts are many chunks; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     listed = stash(catalogue(docs, id_col, text_col), "media-lists")
     orders = stash(storing_orders(listed), "media-orders")
     release_shuffles(docs.sparkSession)

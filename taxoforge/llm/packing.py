@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text
+from taxoforge.llm.common import as_text, small_batches
 
 CAPACITY = 4096
 END_ID = 2
@@ -155,6 +155,7 @@ def pack(
     and blocks, a document ending a block once that holds ``block_tokens``.
     """
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path)
         part, made = TaskContext.get().partitionId(), 0

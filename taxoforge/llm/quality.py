@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, stash
-from taxoforge.llm.textnum import LOWER, join_texts, prefix_hash, span_hash, text_batches, word_spans
+from taxoforge.llm.common import as_text, small_batches, stash
+from taxoforge.llm.textnum import BATCH_BYTES, LOWER, join_texts, prefix_hash, span_hash, text_batches, word_spans
 
 #: Labelled documents that the vectors and the network learn from, at most: a documented bound, the smallest by hash.
 SAMPLE_DOCS = 6000
@@ -235,6 +235,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     each with the same score; a null id counts as held out; without labels of both kinds every score is the labels'
     mean, or 1 without any; an empty table gives no rows. Only the text is an input.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,22 +249,21 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def keep_good(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` scored at or above ``cut``, with their columns."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    tagged = docs.withColumn("quality_text", as_text(text_col))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
         for batch in batches:
-            texts = [t.as_py().encode("utf-8") for t in batch.column(len(names))]
-            keep, lo = np.zeros(len(texts), bool), 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 1 << 20:
-                    size += len(texts[hi])
-                    hi += 1
-                keep[lo:hi] = sent.value.score(texts[lo:hi], index) >= cut
-                lo = hi
-            yield batch.select(list(range(len(names)))).filter(pa.array(keep))
-
-    return tagged.mapInArrow(run, docs.schema)
+            lo = 0
+            while lo < batch.num_rows:
+                texts, size = [], 0
+                while lo + len(texts) < batch.num_rows and size < BATCH_BYTES:
+                    texts.append((batch.column(at)[lo + len(texts)].as_py() or "").encode("utf-8"))
+                    size += len(texts[-1])
+                keep = sent.value.score(texts, index) >= cut
+                yield batch.slice(lo, len(texts)).filter(pa.array(keep))
+                lo += len(texts)
+
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, heavy_join, stash
+from taxoforge.llm.common import as_text, heavy_join, small_batches, stash
 from taxoforge.llm.components import components
 
 RADIUS = 3
@@ -172,6 +172,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies cost nothing; repeated rows stay; a null doc_id stays null and names no component unless its group has no
     other. Very long texts are hashed whole, in chunks; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     marked = stash(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     found = components(ball_links(nodes))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, drop_stash, heavy_join, release_shuffles, stash
+from taxoforge.llm.common import as_text, drop_stash, heavy_join, release_shuffles, small_batches, stash
 from taxoforge.llm.textnum import prefix_hash, span_hash
 
 DEPTH = 400
@@ -183,6 +183,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     apart by doc_id and text; null ids are ids like others. Very long texts are anchored piece by piece and come out
     whole; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text"))
     found = stash(find_anchors(texts, depth, digit), "sfx-anchors")
     places = repeated_places(texts, found, depth)
