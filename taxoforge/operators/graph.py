@@ -173,17 +173,11 @@ def resolve_mapping(mapping: DataFrame) -> DataFrame:
 
 
 def edge_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: ged, the edit distance of two graphs: nodes and edges lost and new, and edges that differ among shared nodes."""
-    na, nb = nodes_of(a), nodes_of(b)
-    shared = na.intersect(nb)
-
-    def inner(e: DataFrame) -> DataFrame:
-        return e.distinct().join(shared.withColumnRenamed("node", "child"), "child", "left_semi").join(shared.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent")
-
-    ia, ib = inner(a), inner(b)
-    parts = [na.subtract(nb), nb.subtract(na), a.distinct().select("child", "parent").join(ia, ["child", "parent"], "left_anti"), b.distinct().select("child", "parent").join(ib, ["child", "parent"], "left_anti"), ia.subtract(ib), ib.subtract(ia)]
-    total = None
-    for part in parts:
-        n = part.agg(F.count("*").alias("n"))
-        total = n if total is None else total.unionByName(n)
-    return total.agg(F.sum("n").cast("long").alias("ged"))
+    """One row: ged, the edit distance of two graphs: nodes and edges that only one of them has. Edges lost or new with a
+    node and edges that differ among shared nodes count one each."""
+
+    def lone(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.distinct().unionAll(y.distinct()).groupBy(*x.columns).agg(F.count("*").alias("n")).filter("n = 1").agg(F.count("*").alias("n"))
+
+    edges = lone(a.select("child", "parent"), b.select("child", "parent"))
+    return lone(nodes_of(a), nodes_of(b)).unionAll(edges).agg(F.sum("n").cast("long").alias("ged"))

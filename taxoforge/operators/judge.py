@@ -116,8 +116,10 @@ def embed_labels(labels: DataFrame, dim: int = 64, max_tokens: int = 512) -> Dat
     """node, vec: mean of the labels' token vectors, normalised; the stand-in embedder, deterministic. A model's token
     vectors take the place of ``token_vectors`` in the same plan."""
 
-    @F.pandas_udf("array<array<double>>")
-    def token_vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [hashed_token_vector(x, dim).tolist() for x in ((t or "").lower().split() or [""])[:max_tokens]])
+    def token_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = pdf["label"].map(lambda t: ((t or "").lower().split() or [""])[:max_tokens])
+            yield pd.DataFrame({"node": pdf["node"], "vectors": words.map(lambda ws: [hashed_token_vector(x, dim).tolist() for x in ws])})
 
-    return labels.select("node", mean_pool(token_vectors(F.col("label"))).alias("vec"))
+    got = labels.select("node", "label").mapInPandas(token_vectors, "node string, vectors array<array<double>>")
+    return got.select("node", mean_pool(F.col("vectors")).alias("vec"))

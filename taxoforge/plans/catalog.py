@@ -177,14 +177,11 @@ def q_drop_empty(spark: SparkSession, d: str) -> DataFrame:
     return graph.drop_empty(kg(spark, d, "kg_noisy"), kg(spark, d, "kg_counts"))
 
 
-@query("kg_noninformative", sql("kg_counts", clo=False, more="e AS (SELECT * FROM kg_edges)", body="SELECT child AS node FROM (SELECT child FROM e GROUP BY child HAVING count(*) = 1) a WHERE child IN (SELECT parent FROM e GROUP BY parent HAVING count(*) = 1) AND child NOT IN (SELECT cls FROM kg_counts WHERE cnt >= 1)").replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1))
+@query("kg_noninformative", sql("kg_counts", "kg_edges", clo=False, body="SELECT child AS node FROM (SELECT child FROM kg_edges GROUP BY child HAVING count(*) = 1) a WHERE child IN (SELECT parent FROM kg_edges GROUP BY parent HAVING count(*) = 1) AND child NOT IN (SELECT cls FROM kg_counts WHERE cnt >= 1)"))
 def q_noninformative(spark: SparkSession, d: str) -> DataFrame:
     return graph.non_informative(kg(spark, d, "kg_edges"), kg(spark, d, "kg_counts"))
 
 
-ORACLES["kg_noninformative"] = sql("kg_counts", "kg_edges", clo=False, body="SELECT child AS node FROM (SELECT child FROM kg_edges GROUP BY child HAVING count(*) = 1) a WHERE child IN (SELECT parent FROM kg_edges GROUP BY parent HAVING count(*) = 1) AND child NOT IN (SELECT cls FROM kg_counts WHERE cnt >= 1)")
-
-
 @query("kg_contract")
 def q_contract(spark: SparkSession, d: str) -> DataFrame:
     return graph.contract(kg(spark, d, "kg_noisy"), kg(spark, d, "kg_counts"), reduce=True)
@@ -210,8 +207,8 @@ def q_upper(spark: SparkSession, d: str) -> DataFrame:
     return graph.drop_upper_ontology(kg(spark, d, "kg_edges"), upper, ROOT, keep=("C:product",), relink=("C:customer",))
 
 
-USAGE = """some AS (SELECT clo.anc AS node FROM clo LEFT JOIN kg_counts ON cls = clo.node GROUP BY clo.anc HAVING coalesce(sum(cnt), 0) >= 1),
-e2 AS (SELECT child, parent FROM kg_noisy WHERE child IN (SELECT node FROM some) AND parent IN (SELECT node FROM some)),
+USAGE = """full_ AS (SELECT clo.anc AS node FROM clo LEFT JOIN kg_counts ON cls = clo.node GROUP BY clo.anc HAVING coalesce(sum(cnt), 0) >= 1),
+e2 AS (SELECT child, parent FROM kg_noisy WHERE child IN (SELECT node FROM full_) AND parent IN (SELECT node FROM full_)),
 d2(node, depth) AS (SELECT 'C:entity', 0 UNION SELECT e2.child, depth + 1 FROM d2 JOIN e2 ON e2.parent = d2.node),
 kept AS (SELECT node FROM nodes WHERE node LIKE 'TBS:%' AND node IN (SELECT child FROM e2) UNION SELECT node FROM d2 WHERE depth <= 2),
 climb(node, anc) AS (SELECT child, parent FROM e2 UNION SELECT c.node, e2.parent FROM climb c JOIN e2 ON e2.child = c.anc WHERE c.anc NOT IN (SELECT node FROM kept)),
@@ -725,7 +722,7 @@ def q_wu_palmer(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.wu_palmer(members, strict_closure(e), depths(e, ROOT)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-VEC = "v AS (SELECT vec_id AS node, label AS grp, list_transform(embedding, x -> cast(x AS double)) AS vec FROM embeddings)"
+VEC = "v AS (SELECT vec_id AS node, label AS grp, cast(embedding AS double[]) AS vec FROM embeddings)"
 COH = VEC + ", coh AS (SELECT a.grp, min(list_dot_product(a.vec, b.vec)) AS cohesion FROM v a JOIN v b ON a.grp = b.grp AND a.node < b.node GROUP BY a.grp), cnt AS (SELECT grp, count(*) AS n FROM v GROUP BY grp)"
 
 

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taxoforge.scratch import stash
+
 ROOT = "C:entity"
 
 
@@ -103,6 +105,8 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
     }
 
 
+#: Relations that plans read again and again are stage tables, written before they are used.
+STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping"}
 SPARK = relations(_spark_hex4)
 DUCK = relations(_duck_hex4)
 
@@ -139,7 +143,7 @@ def kg(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             if text.endswith(f"FROM {r}"):
                 text = text[: -len(r)] + f"taxoforge_{r}"
         frames[n] = spark.sql(text)
-    return frames[name]
+    return stash(frames[name], name) if name in STORED else frames[name]
 
 
 def with_relations(*names: str) -> str:
