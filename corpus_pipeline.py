@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoforge.llm import line_dedup, mixing, packing, quality, simhash
-from taxoforge.llm.common import stash, table
+from taxoforge.llm.common import release_shuffles, stash, table
 from taxoforge.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,10 +27,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document that gives it its name stays."""
+    """Of each near-duplicate group the document that gives it its name stays, one row of each id; of rows without an id
+    one of each text stays."""
     groups = simhash.near_groups(docs)
-    kept = stash(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "near-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = stash(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "near-kept")
+    release_shuffles(spark)
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]).select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, heavy_join, small_batches, stash
+from taxoforge.llm.common import as_text, heavy_join, release_shuffles, small_batches, stash
 from taxoforge.llm.components import components
 
 RADIUS = 3
@@ -175,7 +175,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     marked = stash(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    found = components(ball_links(nodes))
+    found = components(stash(ball_links(nodes), "simhash-links"))
+    release_shuffles(docs.sparkSession)
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = named.join(lowest, "root").select("fp", "component_id")
