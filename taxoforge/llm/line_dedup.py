@@ -134,7 +134,7 @@ def insert_docs(postings: DataFrame, docs: DataFrame, **columns: str) -> DataFra
 
 def delete_docs(postings: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Postings without the documents listed in the column doc_id."""
-    return postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*KEY, "doc_id")
 
 
 def build_filters(keys: DataFrame, n_keys: int) -> DataFrame:
@@ -175,7 +175,7 @@ def probe(postings: DataFrame, filters: DataFrame, n_keys: int) -> DataFrame:
                     keep[at] = sent.value[int(s)].contains(k1[at].view(np.uint64))
             yield batch.filter(pa.array(keep))
 
-    return postings.mapInArrow(run, "k1 long, k2 long, doc_id long")
+    return postings.select(*KEY, "doc_id").mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
 def drop_lists(postings: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

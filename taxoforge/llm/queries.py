@@ -100,5 +100,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   cast(sum(16 + length({_ESCAPED.format("replace(role, chr(10), chr(92) || chr(10))")}) + length({_ESCAPED.format("text")})) AS bigint) AS formatted_chars,
   count(*) FILTER (role = 'assistant') AS n_examples
-FROM t GROUP BY conv_id""".replace("\\###", "\###"),
+FROM t GROUP BY conv_id""".replace("\\\\###", "\\###"),
 }
