@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoforge.scratch import HEAVY_PARTS, drop_stash, heavy_join, release_shuffles, scratch_root, stash
 
-__all__ = ["HEAVY_PARTS", "SPACE", "WORD_PATTERN", "as_text", "drop_stash", "heavy_join", "release_shuffles", "scratch_root", "small_batches", "stash", "table"]
+__all__ = ["HEAVY_PARTS", "SPACE", "WORD_PATTERN", "as_text", "drop_stash", "heavy_join", "release_shuffles", "scratch_root", "small_batches", "stash", "table", "trim_worker"]
 
 #: ASCII white space, the only separators that words and line keys know: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,3 +32,11 @@ def small_batches(spark: SparkSession) -> None:
 def as_text(c: Column | str) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
+
+
+def trim_worker() -> None:
+    """At the end of a task: hand memory that a reused Python worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

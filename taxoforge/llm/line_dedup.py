@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import SPACE, as_text, heavy_join, small_batches, stash
+from taxoforge.llm.common import SPACE, as_text, heavy_join, small_batches, stash, trim_worker
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -118,6 +118,7 @@ def make_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ids.extend([doc.as_py()] * len(own))
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(ids, pa.int64())], [*KEY, "doc_id"])
+        trim_worker()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text")).mapInArrow(run, "k1 long, k2 long, doc_id long")
 
@@ -251,5 +252,6 @@ def replace_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     texts.append(text)
                 cols = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        trim_worker()
 
     return both.mapInArrow(run, docs.withColumn(text_col, as_text(text_col)).schema)

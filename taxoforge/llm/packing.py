@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, small_batches
+from taxoforge.llm.common import as_text, small_batches, trim_worker
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 BLOCK_TOKENS = 1 << 20
 #: Entries of the word cache; it starts anew when full.
-CACHE_WORDS = 1_300_000
+CACHE_WORDS = 700_000
 #: Texts tokenized at a time, in bytes.
 CHUNK_BYTES = 1 << 20
 
@@ -212,6 +212,7 @@ def pack(
                     yield flush()
         if ids_of:
             yield flush()
+        trim_worker()
 
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text")).mapInArrow(run, schema)

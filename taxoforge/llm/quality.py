@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, small_batches, stash
+from taxoforge.llm.common import as_text, small_batches, stash, trim_worker
 from taxoforge.llm.textnum import BATCH_BYTES, LOWER, join_texts, prefix_hash, span_hash, text_batches, word_spans
 
 #: Labelled documents that the vectors and the network learn from, at most: a documented bound, the smallest by hash.
@@ -210,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             context_sums(units_of(texts), index, sums)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+        trim_worker()
 
     total = np.zeros((WORDS + SHAPES, DIM), np.float32)
     for row in sample.select("doc_id", "text").coalesce(4).mapInArrow(contexts, "sums binary").toLocalIterator():
@@ -242,6 +243,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         index = index_vectors()
         for (ids,), texts in text_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sent.value.score(texts, index), pa.float64())], ["doc_id", "score"])
+        trim_worker()
 
     out = _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
@@ -265,5 +267,6 @@ def keep_good(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col
                 keep = sent.value.score(texts, index) >= cut
                 yield batch.slice(lo, len(texts)).filter(pa.array(keep))
                 lo += len(texts)
+        trim_worker()
 
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.llm.common import as_text, heavy_join, release_shuffles, small_batches, stash
+from taxoforge.llm.common import as_text, heavy_join, release_shuffles, small_batches, stash, trim_worker
 from taxoforge.llm.components import components
 
 RADIUS = 3
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fp = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+        trim_worker()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
