@@ -46,9 +46,7 @@ def read_turtle_statements(spark: SparkSession, path: str) -> DataFrame:
     or IRIs as terms. Blank node lists in brackets are not taken apart."""
     blocks = spark.read.option("lineSep", " .\n").text(path).select(F.trim(F.regexp_replace("value", r"(?m)^\s*(@prefix|#).*$", "")).alias("b")).filter("b <> ''")
     term = r'(<[^>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^\S+)?|[^\s;,]+|[;,])'
-    t = blocks.select(F.posexplode(F.regexp_extract_all("b", F.lit(term), 1)).alias("i", "t"), F.monotonically_increasing_id().alias("block"))
-    t = t.withColumn("t", F.when(F.col("t").startswith("<"), compact_iri(F.regexp_extract("t", "<([^>]*)>", 1))).otherwise(F.col("t")))
-    terms = t.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("ts"))
+    terms = blocks.select(F.transform(F.regexp_extract_all("b", F.lit(term), 1), lambda x: F.when(x.startswith("<"), compact_iri(F.regexp_extract(x, "<([^>]*)>", 1))).otherwise(x)).alias("ts"))
     zero = F.struct(F.lit("").alias("p"), F.lit("").alias("last"), F.array().cast("array<struct<p:string,o:string>>").alias("out"))
     step = lambda a, x: (
         F.when(x == ";", F.struct(F.lit("").alias("p"), F.lit(";").alias("last"), a["out"].alias("out")))
