@@ -12,6 +12,7 @@ from taxoforge.functions.terms import accepted, compact_iri, in_english, is_lite
 from taxoforge.operators import constraints as con
 from taxoforge.operators import edits, evaluation, extracts, facts, graph, judge, ordering, stats, viewer, votes
 from taxoforge.operators.closure import closure, depths, is_subclass_of_any, nearest_kept, nodes_of, reachable_leaves, root_paths, strict_closure
+from taxoforge.plans import stages
 from taxoforge.plans.projection import ROOT, kg, with_relations
 from taxoforge.scratch import stash
 from taxoforge.sources.readers import parse_ntriples, parse_unused
@@ -818,3 +819,32 @@ query("kg_sparql_value_constraints", _extract(STMT.format("wd:Q21510865")))(lamb
 @query("kg_class_descriptions", _extract("SELECT s AS node, name AS label FROM en WHERE s IN (SELECT s FROM tr WHERE p = 'wdt:P279')"))
 def q_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return extracts.class_descriptions(_all(spark, d))[1]
+
+
+# ---- stages end to end -------------------------------------------------------------------------------------------
+
+
+def _taxonomy(spark: SparkSession, d: str) -> stages.Taxonomy:
+    e, counts = kg(spark, d, "kg_cyclic"), kg(spark, d, "kg_counts")
+    none = spark.createDataFrame([], "node string")
+    raw = stages.extract_taxonomy(e, ROOT, nodes_of(e), none, nodes_of(e).filter("node <> 'C:supplier'"), counts)
+    raw_similarity = raw.select("child", "parent", F.expr(SIM).alias("sim"))
+    judged = spark.createDataFrame([], "a string, b string, ok boolean, conf double")
+    return stages.refine_taxonomy(raw, kg(spark, d, "kg_predictions"), judged, raw_similarity, counts, nodes_of(raw).filter("node like 'TBS:%'"), ROOT)
+
+
+@query("kg_stage_taxonomy")
+def q_stage_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    return _taxonomy(spark, d).final
+
+
+@query("kg_stage_facts")
+def q_stage_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts kept on the refined class graph, purchases and types as triples."""
+    t = _taxonomy(spark, d)
+    bought = kg(spark, d, "kg_facts")
+    typed = kg(spark, d, "kg_types").select(F.col("inst").alias("s"), F.lit("wdt:P31").alias("p"), F.col("cls").alias("o"))
+    named = typed.select("s", F.lit("rdfs:label").alias("p"), F.lit('"x"@en').alias("o")).distinct()
+    none = spark.createDataFrame([], "x string")
+    out = stages.build_facts(stash(bought.unionByName(typed).unionByName(named), "triples"), t, kg(spark, d, "kg_constraints"), nodes_of(kg(spark, d, "kg_cyclic")), none, none, ROOT)
+    return out["facts"]
