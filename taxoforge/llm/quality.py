@@ -72,13 +72,19 @@ def units_of(texts: list[bytes]) -> Units:
 def context_sums(u: Units, index: np.ndarray, out: np.ndarray) -> None:
     """Add each unit's neighbours' index vectors, within a text and WINDOW words, to its row of out."""
     n = len(u.word)
+    if not n:
+        return
     text = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))
     both = index[u.word] + index[u.shape]
+    near = np.zeros_like(both)
     for step in range(1, WINDOW + 1):
-        same = np.flatnonzero(text[step:] == text[: n - step])
-        for at, by in ((same, same + step), (same + step, same)):
-            np.add.at(out, u.word[at], both[by])
-            np.add.at(out, u.shape[at], both[by])
+        same = (text[step:] == text[: n - step])[:, None]
+        near[: n - step] += both[step:] * same
+        near[step:] += both[: n - step] * same
+    for units in (u.word, u.shape):
+        order = np.argsort(units, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(units[order]) != 0]))
+        out[units[order[first]]] += np.add.reduceat(near[order], first)
 
 
 def normalize(sums: np.ndarray) -> np.ndarray:
