@@ -21,6 +21,8 @@ TEMPLATE = (
     "Question: Is '{child_label}' a subclass of '{parent_label}'?\n"
     "Please format your answer directly as follows: **Answer: True/False**."
 )
+#: The question whether an entity is of a type, for judges of instances.
+TYPE_TEMPLATE = 'The entity "{child_label}" is described as "{child_desc}", the type "{parent_label}" as "{parent_desc}". Is the entity of that type? Answer: True or False.'
 SYSTEM = "You are an ontological expert in hierarchical concept analysis."
 FAMILIES = {"plain": (False, False), "system": (True, False), "parts": (True, True)}
 

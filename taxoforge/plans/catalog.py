@@ -708,6 +708,16 @@ def q_viewer(spark: SparkSession, d: str) -> DataFrame:
     return viewer.summary(_sets(spark, d, True), kg(spark, d, "kg_mapping"), e, kg(spark, d, "kg_counts"), closure(e), kg(spark, d, "kg_labels"), ROOT, "p1")
 
 
+@query("kg_before_after")
+def q_before_after(spark: SparkSession, d: str) -> DataFrame:
+    return viewer.before_after(_sets(spark, d, True), stash(q_clean(spark, d), "clean"))
+
+
+@query("kg_type_strings")
+def q_type_strings(spark: SparkSession, d: str) -> DataFrame:
+    return viewer.type_strings(stash(q_clean(spark, d), "clean"), kg(spark, d, "kg_labels"))
+
+
 @query("kg_label_fallback", sql("kg_labels", clo=False, body="SELECT s.x AS id, coalesce(l.label, s.x) AS id_label FROM (SELECT 'N:1' AS x UNION ALL SELECT 'X:none' UNION ALL SELECT 'C:entity') s LEFT JOIN kg_labels l ON l.node = s.x"))
 def q_labels(spark: SparkSession, d: str) -> DataFrame:
     return viewer.labelled(spark.createDataFrame([("N:1",), ("X:none",), ("C:entity",)], "id string"), "id", kg(spark, d, "kg_labels"))

@@ -148,6 +148,19 @@ def read_predictions(spark: SparkSession, path: str, model: str, lines: bool = F
     return first.select(F.lit(model).alias("model"), F.element_at(part, 1).alias("parent"), F.element_at(part, 2).alias("child"), "plabel", "clabel", F.trim("answer").alias("answer"), F.trim("answer_inverse").alias("answer_inverse"), "confidence", "confidence_inverse")
 
 
+def read_rewire_results(spark: SparkSession, path: str) -> DataFrame:
+    """child, parent, answer, confidence of voted rewire candidates, a JSON array with child_parent ids."""
+    raw = spark.read.schema("id string, answer string, confidence double").option("multiLine", True).json(path)
+    part = F.split("id", "_")
+    return raw.select(F.element_at(part, 1).alias("child"), F.element_at(part, 2).alias("parent"), F.trim("answer").alias("answer"), "confidence")
+
+
+def read_tagged_ids(spark: SparkSession, path: str, tag: str = "[CLS]") -> DataFrame:
+    """id: lines that carry a tag, without it; an empty tag reads all lines."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.filter(F.col("value").contains(tag)).select(F.trim(F.replace("value", F.lit(tag), F.lit("")) if tag else F.col("value")).alias("id")).distinct()
+
+
 def read_wiki_mapping(spark: SparkSession, paths: list[str], nodes: DataFrame) -> DataFrame:
     """node: nodes that a wiki page stands for in one of the files (page id, item, wiki)."""
     m = spark.read.schema("page_id string, node string, wiki string").csv(paths)

@@ -65,6 +65,11 @@ def test_constraint_and_prediction_files(spark, tmp_path):
     p = write(tmp_path / "p.json", '[{"id": "Q2_Q1", "plabel": "b", "clabel": "a", "answer": " True ", "confidence": 0.5}, {"id": "Q2_Q1", "answer": "False"}]')
     r = readers.read_predictions(spark, p, "m").collect()
     assert [(x["parent"], x["child"], x["answer"]) for x in r] == [("Q2", "Q1", "True")]
+    w = write(tmp_path / "r.json", '[{"id": "Q1_Q2", "answer": "True ", "confidence": 0.7}]')
+    assert [(x["child"], x["parent"], x["answer"]) for x in readers.read_rewire_results(spark, w).collect()] == [("Q1", "Q2", "True")]
+    tags = write(tmp_path / "t.txt", "[CLS] Q1\nQ2\n\n")
+    assert [x["id"] for x in readers.read_tagged_ids(spark, tags).collect()] == ["Q1"]
+    assert readers.read_tagged_ids(spark, tags, "").count() == 2
     dump = write(tmp_path / "d.sql", "INSERT INTO x VALUES (1,'Q5','D',7),(2,'Q5','D',8),(3,'Q6','L',9),(4,'P7','D',1);\n")
     assert {(x["page_id"], x["node"]) for x in readers.read_usage_dump(spark, dump).collect()} == {("7", "Q5")}
 
