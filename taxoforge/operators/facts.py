@@ -103,7 +103,7 @@ def satisfied(types: DataFrame, full: DataFrame, constraints: DataFrame) -> Data
 def _checked(facts: DataFrame, types: DataFrame, full: DataFrame, constraints: DataFrame) -> DataFrame:
     ok = satisfied(types, full, constraints)
     has = constraints.groupBy(F.col("property").alias("p")).agg(F.bool_or(F.col("side") == "subject").alias("has_domain"), F.bool_or(F.col("side") == "object").alias("has_range"))
-    f = facts.join(F.broadcast(has), "p", "left").fillna(False, ["has_domain", "has_range"])
+    f = facts.join(has, "p", "left").fillna(False, ["has_domain", "has_range"])
     typed = types.select("inst").distinct()
     for side, column in (("subject", "s"), ("object", "o")):
         f = flagged(f, column, typed, f"typed_{side}")
