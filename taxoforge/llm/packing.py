@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 BLOCK_TOKENS = 1 << 20
-#: Entries of the word cache; it starts anew when full.
+#: Entries of the word cache; when full it keeps the words met most, at most half of them.
 CACHE_WORDS = 700_000
 #: Texts tokenized at a time, in bytes.
 CHUNK_BYTES = 1 << 20
@@ -62,6 +62,18 @@ class WordTokenizer:
         self.index, self.pending = Index(), pending
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.met = np.zeros(0, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Keep the words met most, ``most`` of them at the utmost."""
+        bar = 2
+        while (keep := np.flatnonzero(self.met >= bar)).size > most:
+            bar *= 2
+        words = list(self.index)
+        kept, ids, lengths = [words[i] for i in keep], self._gather(keep), self.length[keep]
+        self.reset()
+        self.index.update(zip(kept, range(len(kept))))
+        self._append(np.arange(len(kept)), ids, lengths)
 
     def _append(self, at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         end = self.used + len(ids)
@@ -99,10 +111,13 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
-            self.reset()
+            self.shrink(CACHE_WORDS // 2)
         words = [t.encode("utf-8").lower().split() for t in texts]
         at = [np.fromiter(map(self.index.__getitem__, w), np.int64, len(w)) for w in words]
         self._learn()
+        met = np.bincount(np.concatenate(at), minlength=len(self.index)) if at else self.met
+        met[: len(self.met)] += self.met
+        self.met = met
         return [self._gather(a) for a in at]
 
 

@@ -416,6 +416,18 @@ def test_word_tokenizer_equals_whole_texts():
     assert [list(x) for x in tok.encode(odd)] == [tok.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_word_cache_shrinks(docs, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    tok = packing.WordTokenizer(tokenizer_path())
+    every = [t for _, t in texts_of(docs)]
+    for lo in range(0, 60, 5):
+        texts = every[lo : lo + 5]
+        assert [list(x) for x in tok.encode(texts)] == [tok.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tok.encode([]) == []
+    tok.shrink(50)
+    assert len(tok.index) <= 50
+
+
 def test_pack_block_balances():
     pieces = packing.pack_block([5000, 3000, 100, 100, 92], 4096)
     by = defaultdict(int)
