@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only a session without one gets a folder of its own."""
+    """The shared folder that the cluster names. A session without one gets a folder of its own: in the warehouse, which is
+    shared too, or on a single machine in its temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/checkpoints/taxoforge"
+        master = spark.sparkContext.master
+        alone = master == "local" or master.startswith("local[")
+        root = "file:///tmp/checkpoints/taxoforge" if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
