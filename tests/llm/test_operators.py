@@ -221,6 +221,19 @@ def test_passages(spark, odd, empty):
     assert passages.fuzzy_passages(empty).count() == 0
 
 
+def test_passages_beside_a_smaller_partial_holder(spark):
+    rnd = random.Random(11)
+    own = lambda n: ["".join(rnd.choices("abcdefghijk", k=7)) for _ in range(n)]
+    rows, want = [], set()
+    for g in range(12):  # in each group two whole holders and six of 40 words of it in a row
+        p = own(60)
+        rows += [own(30) + p + own(30), own(20) + p + own(40)] + [own(15) + p[i : i + 40] + own(45) for i in (0, 10, 20) * 2]
+        want.add((8 * g, 8 * g + 1))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in passages.fuzzy_passages(df).collect()}
+    assert got == want
+
+
 def test_chain_is_collinear():
     got = passages.chain([(0, 100), (10, 110), (20, 5), (22, 121), (90, 10)])
     assert got[0] == [(0, 100), (10, 110), (22, 121)]
