@@ -234,6 +234,16 @@ def test_passages_beside_a_smaller_partial_holder(spark):
     assert got == want
 
 
+def test_passages_repeated_in_one_document(spark):
+    rnd = random.Random(12)
+    own = lambda n: ["".join(rnd.choices("abcdefghijk", k=7)) for _ in range(n)]
+    p = own(70)
+    rows = [own(20) + p + own(80) + p + own(10), own(200), ["ab"] * 60]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["end"], r["ref_doc_id"], r["ref_start"], r["ref_end"]) for r in passages.fuzzy_passages(df).collect()]
+    assert got == [(0, 170, 240, 0, 20, 90)]
+
+
 def test_chain_is_collinear():
     got = passages.chain([(0, 100), (10, 110), (20, 5), (22, 121), (90, 10)])
     assert got[0] == [(0, 100), (10, 110), (22, 121)]
