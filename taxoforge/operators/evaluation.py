@@ -43,7 +43,10 @@ def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
         sizes = np.diff(np.concatenate([[0], np.flatnonzero(new) + 1, [n]]))
         return int((sizes * (sizes - 1) // 2).sum())
 
-    swaps, width, cur = 0, 1, y.copy()
+    width = 64  # small blocks at once
+    rows = np.concatenate([y, np.full(-n % width, np.inf)]).reshape(-1, width)
+    swaps = sum(int((rows[:, :-i] > rows[:, i:]).sum()) for i in range(1, width))
+    cur = np.sort(rows, axis=1).ravel()[:n]
     while width < n:
         for lo in range(0, n, 2 * width):
             a, b = cur[lo : lo + width], cur[lo + width : lo + 2 * width]
@@ -65,7 +68,7 @@ def concept_correlation(semantic: DataFrame, taxonomic: DataFrame, keys: list[st
         return pd.DataFrame([(*key, len(pdf), kendall_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy()))], columns=[*keys, "n", "tau"])
 
     kinds = dict(both.dtypes)
-    return both.groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, tau double")
+    return both.select(*keys, "x", "y").groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, tau double")
 
 
 def sample_rounds(nodes: DataFrame, rounds: int, size: int, seed: int = 42) -> DataFrame:
@@ -78,7 +81,9 @@ def sample_rounds(nodes: DataFrame, rounds: int, size: int, seed: int = 42) -> D
 
 
 def sampled_correlation(vectors: DataFrame, strict: DataFrame, depth: DataFrame, rounds: int = 50, size: int = 20_000, seed: int = 42) -> DataFrame:
-    """One row: rounds, mean_tau, std_tau (population) over rounds of sampled nodes."""
+    """One row: rounds, mean_tau, std_tau (population) over rounds of sampled nodes; one exact round if a sample holds all."""
+    if size >= vectors.select("node").distinct().count():
+        rounds = 1
     picks = stash(sample_rounds(vectors.select("node"), rounds, size, seed), "rounds")
     taus = None
     for r in range(rounds):
@@ -146,6 +151,20 @@ def robustness(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048, sa
     return j.select("grp", "n", "cohesion", intruders.alias("intruders"), F.when(room > 0, 1 - intruders / room).alias("robustness"))
 
 
+def sampled_robustness(groups: DataFrame, vectors: DataFrame, rounds: int = 10, sample: int = 10_000, seed: int = 42) -> DataFrame:
+    """grp, n, cohesion, intruders, robustness of the last round, with rounds, mean and std (population) of the rounds' overall
+    robustness; one exact round if the sample holds all outsiders."""
+    if sample >= groups.join(vectors.select("node"), "node", "left_semi").select("node").distinct().count():
+        rounds = 1
+    scores, last = None, None
+    for r in range(rounds):
+        last = stash(robustness(groups, vectors, sample=sample, seed=seed + r), "robust")
+        one = overall_robustness(last).select("robustness")
+        scores = one if scores is None else scores.unionByName(one)
+    over = scores.agg(F.count("*").alias("rounds"), F.avg("robustness").alias("mean"), F.stddev_pop("robustness").alias("std"))
+    return last.crossJoin(F.broadcast(over))
+
+
 def overall_robustness(per_group: DataFrame) -> DataFrame:
     """One row: groups, robustness (mean, 0 without any), std (population)."""
     return per_group.filter("robustness is not null").agg(F.count("*").alias("groups"), F.coalesce(F.avg("robustness"), F.lit(0.0)).alias("robustness"), F.stddev_pop("robustness").alias("std"))

@@ -763,7 +763,8 @@ def q_robustness_overall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kg_robustness_sampled")
 def q_robustness_sampled(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.robustness(*_groups(spark, d), sample=200).select("grp", "n", F.round("intruders", 6).alias("intruders"), F.round("robustness", 6).alias("robustness"))
+    r = evaluation.sampled_robustness(*_groups(spark, d))
+    return r.select("grp", "n", F.round("intruders", 6).alias("intruders"), F.round("robustness", 6).alias("robustness"), "rounds", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("kg_robust_extremes", "WITH " + INTR + ", r AS (SELECT coh.grp AS grp, 1 - coalesce(intruders, 0) / cast(n * ((SELECT count(*) FROM v) - n) AS double) AS robustness FROM coh JOIN cnt ON cnt.grp = coh.grp LEFT JOIN hit ON hit.grp = coh.grp), w AS (SELECT grp, robustness, row_number() OVER (ORDER BY robustness, grp) AS lo, row_number() OVER (ORDER BY robustness DESC, grp) AS hi FROM r) SELECT 'worst' AS kind, cast(lo AS int) AS place, grp FROM w WHERE lo <= 3 UNION ALL SELECT 'best', cast(hi AS int), grp FROM w WHERE hi <= 3")
@@ -798,7 +799,7 @@ def q_csc(spark: SparkSession, d: str) -> DataFrame:
 def q_csc_sampled(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d, "kg_edges")
     vectors = judge.embed_labels(kg(spark, d, "kg_labels"))
-    return evaluation.sampled_correlation(stash(vectors, "vectors"), strict_closure(e), depths(e, ROOT), rounds=3, size=60)
+    return evaluation.sampled_correlation(stash(vectors, "vectors"), strict_closure(e), depths(e, ROOT))
 
 
 # ---- extracts ----------------------------------------------------------------------------------------------------

@@ -186,3 +186,22 @@ def test_upper_median(spark):
     df = spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "v long")
     assert stats.upper_median(df, "v").first()["median"] == 3
     assert stats.upper_median(df.filter(F.col("v") < 4), "v").first()["median"] == 2
+
+
+def test_sampled_measures_cover_all(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    exact = {r["grp"]: (r["n"], r["intruders"], r["robustness"]) for r in entry.queries()["kg_robustness"](spark, sf).collect()}
+    got = entry.queries()["kg_robustness_sampled"](spark, sf).collect()
+    assert {r["grp"]: (r["n"], r["intruders"], r["robustness"]) for r in got} == exact
+    assert {(r["rounds"], r["std"]) for r in got} == {(1, 0.0)}
+    v = spark.createDataFrame([(i, i % 3, [float(i % 5), 1.0, float(i % 7)]) for i in range(60)], "node long, grp long, vec array<double>")
+    some = evaluation.sampled_robustness(v.select("grp", "node"), v.select("node", "vec"), rounds=3, sample=20)
+    assert {r["rounds"] for r in some.collect()} == {3}
+    tau = entry.queries()["kg_csc_sampled"](spark, sf).first()
+    assert tau["rounds"] == 1 and tau["std_tau"] == 0.0
+    x, y = np.random.default_rng(3).integers(0, 9, (2, 200)).astype(float)
+    s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i in range(200) for j in range(i)]
+    want = sum(a * b for a, b in s) / np.sqrt(sum(a != 0 for a, _ in s) * sum(b != 0 for _, b in s))
+    assert abs(evaluation.kendall_tau_b(x, y) - want) < 1e-12
