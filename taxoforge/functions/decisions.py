@@ -29,7 +29,7 @@ def conclusion(plabel: Column, clabel: Column, answer: Column, inverse: Column,
     """Verdict and confidence of one model on one edge; null answers count as none, null confidences as 0."""
     low = F.least(F.coalesce(confidence, F.lit(0.0)), F.coalesce(confidence_inverse, F.lit(0.0)))
     same = F.coalesce(F.lower(plabel) == F.lower(clabel), F.lit(False))
-    a, b = (F.coalesce(x, F.lit("None")) for x in (answer, inverse))
+    a, b = (F.initcap(F.coalesce(x, F.lit("None"))) for x in (answer, inverse))
     sure = low >= t
     verdict = (
         F.when(same, EQUIVALENT)
@@ -40,3 +40,11 @@ def conclusion(plabel: Column, clabel: Column, answer: Column, inverse: Column,
         .otherwise(SUBSUME)
     )
     return verdict, F.when(same, F.lit(1.0)).otherwise(low)
+
+
+def token_confidence(answer_tokens: Column, tokens: Column, probabilities: Column, word: Column) -> Column:
+    """Probability of the token that says the answer: of ``answer_tokens``, the tokens of the answer's part, the first that
+    is the word or holds true, false, yes or no, at its first place in all generated ``tokens``; 0 without any."""
+    said = F.filter(answer_tokens, lambda x: (F.trim(x) == F.trim(word)) | F.lower(x).rlike("true|false|yes|no"))
+    at = F.array_position(tokens, F.get(said, F.lit(0)))
+    return F.coalesce(F.when(at > 0, F.get(probabilities, (at - 1).cast("int"))), F.lit(0.0)).cast("double")

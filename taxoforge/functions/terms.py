@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +52,15 @@ LITERAL = r'^"([^"]*)"(@([a-z-]+))?(\^\^(.*))?'
 
 
 def compact_iri(iri: Column, prefixes: list[tuple[str, str]] = PREFIXES) -> Column:
-    """An IRI with its namespace replaced by the prefix; unknown namespaces leave it as it is, in angle brackets."""
-    out = F.concat(F.lit("<"), iri, F.lit(">"))
-    for name, space in reversed(prefixes):
-        out = F.when(iri.startswith(space), F.concat(F.lit(f"{name}:"), F.substring(iri, len(space) + 1, 1 << 20))).otherwise(out)
-    return out
+    """An IRI with its namespace replaced by the prefix; unknown namespaces leave it as it is, in angle brackets.
+
+    One pattern finds the namespace, its alternatives in the table's order, and a map has its prefix."""
+    first: dict[str, str] = {}
+    for name, space in prefixes:
+        first.setdefault(space, name)
+    space = F.regexp_extract(iri, "^(" + "|".join(re.escape(x) for x in first) + ")", 1)
+    names = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
+    return F.when(space != "", F.concat(names[space], F.lit(":"), F.substring(iri, F.length(space) + 1, F.length(iri)))).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
 
 
 def is_literal(term: Column) -> Column:
@@ -107,18 +113,28 @@ def entity_id(x: Column) -> Column:
     return F.upper(F.trim(F.element_at(F.split(F.element_at(F.split(x, "/"), -1), ":"), -1)))
 
 
+#: What an escaped string consists of: runs of UTF-16 units, code points, single escapes, plain text, a lone backslash.
+_PIECE = r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"
+#: Halves of surrogate pairs without their other half.
+_LONE = r"(?i)(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}|\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})"
+_ONE = {"\\t": "\t", "\\b": "\b", "\\n": "\n", "\\r": "\r", "\\f": "\f", '\\"': "'", "\\'": "'", "\\\\": "\\"}
+
+
 def unescape(text: Column) -> Column:
-    """Escapes of N-Triples strings; an escaped quote becomes an apostrophe, carriage returns go.
-
-    Escapes beyond the basic plane (eight digits) are rewritten as surrogate pairs for the JSON parser.
-    """
-    code = F.conv(F.regexp_extract(text, r"\\U([0-9A-Fa-f]{8})", 1), 16, 10).cast("bigint") - 0x10000
-    high = F.lower(F.hex(F.lit(0xD800) + F.shiftright(code, 10)))
-    low = F.lower(F.hex(F.lit(0xDC00) + code.bitwiseAND(0x3FF)))
-    one = F.when(F.length(F.regexp_extract(text, r"\\U([0-9A-Fa-f]{8})", 1)) == 8, F.regexp_replace(text, F.lit(r"\\U[0-9A-Fa-f]{8}"), F.concat(F.lit("\\\\u"), high, F.lit("\\\\u"), low))).otherwise(text)
-    plain = F.regexp_replace(F.regexp_replace(one, r'\\"', "'"), r"\\'", "'")
-    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "\r", ""), "\n", "\\\\n"), "\t", "\\\\t"), '"', "'")
-    return F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), safe, F.lit('"}')), "$.v"), plain)
+    """Escapes of N-Triples strings, each decoded where it stands; an escaped quote becomes an apostrophe, bare carriage
+    returns go, halves of surrogate pairs and numbers beyond Unicode become the replacement character, unknown escapes stay."""
+    one = F.create_map(*(F.lit(x) for pair in _ONE.items() for x in pair))
+
+    def decoded(x: Column) -> Column:
+        units = F.decode(F.unhex(F.replace(F.regexp_replace(x, _LONE, r"\\ufffd"), F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        code = F.conv(F.substring(x, 3, 8), 16, 10).cast("bigint")
+        sound = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.when(sound, F.substring(x, 3, 8)).otherwise("0000FFFD")), "UTF-32")
+        sign = F.when(x.rlike(r"^\\u[0-9A-Fa-f]{4}"), units).when(x.rlike(r"^\\U[0-9A-Fa-f]{8}"), point)
+        return F.coalesce(F.replace(sign, F.lit('"'), F.lit("'")), one[x], x)
+
+    plain = F.replace(text, F.lit("\r"), F.lit(""))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(_PIECE), 0), decoded), "")).otherwise(plain)
 
 
 def escape_lines(o: Column) -> Column:

@@ -99,32 +99,61 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return e
 
 
-def rewire_candidates(edges: DataFrame, equivalent: DataFrame) -> DataFrame:
-    """parent, child, other, hop: for each equivalent edge the child's other parents that don't lie below the parent
-    (hop null), and parents of those, where they don't either. Reachability is that of ``edges``."""
-    full = closure(edges)
-    e = edges.select("child", "parent").distinct()
-    eq = equivalent.select("parent", "child").distinct()
-    up = e.select(F.col("child").alias("child"), F.col("parent").alias("other"))
-    below = full.select(F.col("node").alias("other"), F.col("anc").alias("parent"))  # the parent lies above: a path from it
-    first = eq.join(up, "child").filter("other <> parent")
-    free = first.join(below, ["other", "parent"], "left_anti").select("parent", "child", "other")
-    hops = free.join(e.select(F.col("child").alias("other"), F.col("parent").alias("hop")), "other")
-    high = full.select(F.col("node").alias("hop"), F.col("anc").alias("parent"))
-    hops = hops.join(high, ["hop", "parent"], "left_anti").select("parent", "child", "other", "hop")
-    return free.withColumn("hop", F.lit(None).cast("string")).unionByName(hops)
+def rewire_candidates(edges: DataFrame, equivalent: DataFrame, root: str) -> DataFrame:
+    """parent, child, other, hop: what a merge of each equivalent edge (parent, child) of ``edges`` would rewire.
+
+    ``other`` are the child's other parents that aren't ancestors of the parent (hop null); ``hop`` are parents of those
+    that aren't either. Edges under the root are not merged. ValueError where a parent or a hop lies below the parent:
+    the merge would close a loop. Reachability is that of ``edges``, which should be transitively reduced.
+    """
+    e = stash(edges.select("child", "parent").distinct(), "rewire-edges")
+    full = stash(closure(e), "rewire-closure")
+    eq = e.join(equivalent.select("child", "parent"), ["child", "parent"], "left_semi").filter(F.col("parent") != root)
+    first = eq.join(e.select("child", F.col("parent").alias("other")), "child").filter("other <> parent")
+    first = stash(first.select("parent", "child", "other"), "rewire-first")
+    _no_loop(first, "other", full)
+    free = stash(_not_above(first, "other", full), "rewire-free")
+    hops = stash(free.join(e.select(F.col("child").alias("other"), F.col("parent").alias("hop")), "other").select("parent", "child", "other", "hop"), "rewire-hops")
+    _no_loop(hops, "hop", full)
+    return free.withColumn("hop", F.lit(None).cast("string")).unionByName(_not_above(hops, "hop", full))
+
+
+def _not_above(pairs: DataFrame, column: str, full: DataFrame) -> DataFrame:
+    """The pairs whose ``column`` is no ancestor of their parent."""
+    above = full.select(F.col("node").alias("parent"), F.col("anc").alias(column))
+    return pairs.join(above, ["parent", column], "left_anti").select(*pairs.columns)
+
+
+def _no_loop(pairs: DataFrame, column: str, full: DataFrame) -> None:
+    below = full.filter("node <> anc").select(F.col("anc").alias("parent"), F.col("node").alias(column))
+    bad = pairs.join(below, ["parent", column], "left_semi").select("parent", "child", column).orderBy("parent", "child", column).first()
+    if bad:
+        raise ValueError(f"{bad[column]} lies below {bad['parent']}: merging {bad['child']} into it closes a loop")
+
+
+def unpredicted(candidates: DataFrame, judgements: DataFrame) -> DataFrame:
+    """child, parent: what a judge still has to answer (judgements: a, b): a candidate's parent and other parent without an
+    answer, and its hops where the other parent has one."""
+    j = judgements.select(F.col("a").alias("parent"), F.col("b")).distinct()
+    asked = candidates.select("parent", "other").distinct()
+    open_ = asked.join(j.withColumnRenamed("b", "other"), ["parent", "other"], "left_anti")
+    hops = candidates.filter("hop is not null").join(j.withColumnRenamed("b", "other"), ["parent", "other"], "left_semi").select("parent", "hop").distinct()
+    later = hops.join(j.withColumnRenamed("b", "hop"), ["parent", "hop"], "left_anti")
+    return open_.union(later).distinct().toDF("child", "parent")
 
 
-def unpredicted(candidates: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Candidate pairs (child, parent) without a prediction."""
-    return candidates.select("child", "parent").distinct().join(predicted.select("child", "parent"), ["child", "parent"], "left_anti")
+def require_predicted(candidates: DataFrame, judgements: DataFrame) -> None:
+    """ValueError where a judge still has to answer for a candidate."""
+    bad = unpredicted(candidates, judgements).orderBy("child", "parent").first()
+    if bad:
+        raise ValueError(f"no judgement on rewiring {bad['child']} to {bad['parent']} (and perhaps others)")
 
 
 def valid_merges(candidates: DataFrame, judgements: DataFrame, t: float = 0.5) -> DataFrame:
-    """parent, child: equivalent edges all of whose judged candidates are accepted at ``t`` (judgements: a, b, ok,
-    conf); candidates without a judgement are passed over."""
-    pairs = candidates.select("parent", "child", F.coalesce("hop", "other").alias("b"))
-    j = judgements.select(F.col("a").alias("parent"), "b", "ok", "conf")
-    both = pairs.join(j, ["parent", "b"], "left")
-    good = F.coalesce(F.col("ok") & (F.col("conf") >= t), F.lit(True))
-    return both.groupBy("parent", "child").agg(F.bool_and(good).alias("fine")).filter("fine").select("parent", "child")
+    """parent, child: equivalent edges none of whose judged candidates is refused at ``t`` (judgements: a, b, ok, conf).
+    Candidates without a judgement are passed over, with their hops."""
+    j = judgements.select(F.col("a").alias("parent"), "b", (F.col("ok") & (F.col("conf") >= t)).alias("good"))
+    own = candidates.join(j.select("parent", F.col("b").alias("other"), F.col("good").alias("good_other")), ["parent", "other"], "left")
+    both = own.join(j.select("parent", F.col("b").alias("hop"), F.col("good").alias("good_hop")), ["parent", "hop"], "left")
+    fine = F.when(F.col("good_other").isNull(), True).otherwise(F.col("good_other") & F.coalesce("good_hop", F.lit(True)))
+    return both.groupBy("parent", "child").agg(F.bool_and(fine).alias("fine")).filter("fine").select("parent", "child")

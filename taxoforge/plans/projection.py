@@ -54,6 +54,9 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
             UNION SELECT 'C:orphan', 'C:entity'"""),
         "kg_cyclic": (["kg_noisy"], """
             SELECT child, parent FROM kg_noisy UNION SELECT 'N:0', 'N:1' UNION SELECT 'N:1', 'N:2' UNION SELECT 'N:2', 'N:0'"""),
+        "kg_chained": (["kg_noisy", "nation"], """
+            SELECT child, parent FROM kg_noisy UNION SELECT 'X:up', 'C:place' UNION SELECT 'X:mid', 'X:up' UNION SELECT 'X:low', 'X:mid'
+            UNION SELECT concat('X:leaf', cast(n_nationkey AS string)), 'X:low' FROM nation UNION SELECT 'X:side', 'C:agent' UNION SELECT 'C:customer', 'X:side'"""),
         "kg_counts": (["kg_types"], "SELECT cls, count(*) AS cnt FROM kg_types GROUP BY cls"),
         "kg_untyped": (["part", "customer"], """
             SELECT concat('part:', cast(p_partkey AS string)) AS inst, concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)) AS cls FROM part WHERE p_partkey % 7 <> 0
@@ -106,7 +109,7 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
 
 
 #: Relations that plans read again and again are stage tables, written before they are used.
-STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping"}
+STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping"}
 SPARK = relations(_spark_hex4)
 DUCK = relations(_duck_hex4)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoforge.functions.decisions import EQUIVALENT, IRRELEVANT, REVERSE
@@ -45,38 +45,51 @@ def _edit(edges: DataFrame, todo: DataFrame, edit: Callable[[edits.Graph, list],
     return out.filter("kind = 'edge'").select("child", "parent"), log
 
 
-def refine_taxonomy(edges: DataFrame, predictions: DataFrame, judgements: DataFrame, similarity: DataFrame, counts: DataFrame, mapped: DataFrame, root: str) -> Taxonomy:
-    """Voted edits of the class graph: cut, resolve, reduce, merge, drop over-specific tops, filter by usage; the graph
-    is validated after each.
+Judged = Callable[[DataFrame], DataFrame]
 
-    judgements: a, b, ok, conf on rewire candidates; similarity: child, parent, sim; mapped: node.
+
+def refine_taxonomy(edges: DataFrame, predictions: DataFrame, judgements: DataFrame | Judged, similarity: DataFrame, counts: DataFrame, mapped: DataFrame, root: str) -> Taxonomy:
+    """Voted edits of the class graph: cut, resolve, reduce, merge, contract, drop over-specific tops, filter by usage; the
+    graph is validated after each edit, and edges are put in order anew before each, as degrees have changed.
+
+    judgements: a, b, ok, conf on rewire candidates, or what makes them from the candidates (parent, child, other, hop);
+    similarity: child, parent, sim; mapped: node. ValueError where a model or a judge has left something open.
     """
+    edges = stash(edges.select("child", "parent").distinct(), "refine")
+    votes.require_predictions(edges, predictions)
     verdicts = stash(votes.majority(votes.conclude(predictions)), "verdicts")
-    order = stash(ordering.order_by_similarity(ordering.edge_order(edges, root), similarity), "order")
 
-    def todo(verdict: str, o: DataFrame = order) -> DataFrame:
-        return o.join(verdicts.filter(F.col("verdict") == verdict).select("child", "parent"), ["child", "parent"], "left_semi").select("child", "parent", "ord")
+    def todo(e: DataFrame, verdict: str, ascending: bool = True) -> DataFrame:
+        order = ordering.order_by_similarity(ordering.edge_order(e, root), similarity, ascending)
+        return order.join(verdicts.filter(F.col("verdict") == verdict).select("child", "parent"), ["child", "parent"], "left_semi").select("child", "parent", "ord")
 
-    e, log1 = _edit(edges, todo(IRRELEVANT), lambda g, o: edits.cut_irrelevant(g, o, root), "cut")
+    e, log1 = _edit(edges, todo(edges, IRRELEVANT), lambda g, o: edits.cut_irrelevant(g, o, root), "cut")
+    graph.require_valid(e)
+    e, log2 = _edit(e, todo(e, REVERSE), lambda g, o: edits.resolve_reversed(g, o, root, {}), "resolve")
     graph.require_valid(e)
-    e, log2 = _edit(e, todo(REVERSE), lambda g, o: edits.resolve_reversed(g, o, root, {}), "resolve")
     e = stash(graph.transitive_reduction(e), "reduced")
     graph.require_valid(e)
-    equal = e.join(verdicts.filter(F.col("verdict") == EQUIVALENT), ["child", "parent"], "left_semi")
-    candidates = stash(ordering.rewire_candidates(e, equal), "candidates")
-    fine = ordering.valid_merges(candidates, judgements).unionByName(equal.select("parent", "child").join(candidates, ["parent", "child"], "left_anti"))
-    safe = equal.join(fine, ["child", "parent"], "left_semi").join(similarity, ["child", "parent"], "left").withColumn("ord", F.row_number().over(Window.orderBy(F.desc_nulls_last("sim"), "child", "parent")))
+    equal = stash(todo(e, EQUIVALENT, ascending=False).filter(F.col("parent") != root), "equal")
+    candidates = stash(ordering.rewire_candidates(e, equal, root), "candidates")
+    judged = stash(judgements(candidates) if callable(judgements) else judgements, "judged")
+    ordering.require_predicted(candidates, judged)
+    fine = ordering.valid_merges(candidates, judged).unionByName(equal.select("parent", "child").join(candidates, ["parent", "child"], "left_anti"))
+    safe = stash(equal.join(fine, ["child", "parent"], "left_semi").select("child", "parent", "ord"), "safe")
     used = {r["parent"] for r in log2.filter("op = 'merge'").select("parent").collect()}
-    e, log3 = _edit(e, safe.select("child", "parent", "ord"), lambda g, o: edits.merge_equivalent(g, o, root, {}, set(used)), "merge")
+    e, log3 = _edit(e, safe, lambda g, o: edits.merge_equivalent(g, o, root, {}, set(used)), "merge")
     graph.require_valid(e)
-    e, log4 = _edit(e, safe.select("child", "parent", "ord").limit(0), lambda g, o: edits.drop_over_specific(g, root), "tops")
-    before = stash(graph.reachable_part(e, root), "before")
-    logs = stash(log1.unionByName(log2).unionByName(log3).unionByName(log4), "logs")
-    mapping = logs.filter("op = 'merge'").select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    logs = stash(log1.unionByName(log2).unionByName(log3), "logs")
+    mapping = stash(logs.filter("op = 'merge'").select(F.col("child").alias("src"), F.col("parent").alias("dst")), "merges")
     merged = graph.resolve_mapping(mapping)
-    moved = counts.join(merged, F.col("cls") == F.col("src"), "left").groupBy(F.coalesce("dst", "cls").alias("cls")).agg(F.sum("cnt").alias("cnt"))
-    final = stash(graph.filter_by_usage(before, stash(moved, "moved"), mapped, root), "final")
-    return Taxonomy(before, final, mapping, logs)
+    gone = logs.filter("op = 'delete'").select(F.col("child").alias("cls"))
+    moved = counts.join(gone, "cls", "left_anti").join(merged, F.col("cls") == F.col("src"), "left").groupBy(F.coalesce("dst", "cls").alias("cls")).agg(F.sum("cnt").alias("cnt"))
+    moved = stash(moved, "moved")
+    e = stash(graph.contract(e, moved, reduce=True), "contracted")
+    e, log4 = _edit(e, safe.limit(0), lambda g, o: edits.drop_over_specific(g, root), "tops")
+    before = stash(graph.reachable_part(e, root), "before")
+    final = stash(graph.filter_by_usage(before, moved, mapped, root), "final")
+    graph.require_valid(final)
+    return Taxonomy(before, final, mapping, stash(logs.unionByName(log4), "logs"))
 
 
 def summarise_constraints(constraints: DataFrame, taxonomy: Taxonomy, counts: DataFrame, root: str) -> DataFrame:

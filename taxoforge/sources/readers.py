@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxoforge.functions.terms import compact_iri, entity_id, strip_quotes, unescape
+from taxoforge.sources.turtle_text import TurtleText
+
+# A line of N-Triples: subject, predicate, object. A literal runs to the line's last quote, so that no alternative is
+# tried sign by sign, however long it is.
+_KIND = r'(?:@[A-Za-z0-9-]+|\^\^(?:<[^>]*>|[^\s<>"]*[^\s<>".]))?'
+_BLANK = r'_:[^\s<>"]*[^\s<>".]'
+_LINE = rf'(?s)^\s*(<[^>]*>|{_BLANK})\s*(<[^>]*>)\s*(<[^>]*>|{_BLANK}|".*"{_KIND})\s*\.\s*(?:#.*)?$'
+#: A quote before the end of a short literal: the line's comment has quotes too.
+_INNER_QUOTE = r'(?s)^"(?:"(?!"")|(?!"").*?[^\\](?:\\\\)*").*"'
+_FIRST = rf'(?s)^("(?:[^"\\]|\\.)*"{_KIND})\s*\.\s*#.*$'
+
 
-# One term each: IRI, blank node, or literal with language or datatype.
-_IRI, _BLANK = r"<([^>]*)>", r"(_:\S+)"
-_LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?'
-_LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+def iri_term(x: Column) -> Column:
+    """An IRI with its prefix; blank nodes and names as they are."""
+    return F.when(x.startswith("<"), compact_iri(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+
+
+def term(x: Column) -> Column:
+    """A term of N-Triples in the engine's form: IRIs with prefixes, literals, between one or three quotes, decoded."""
+    parts = rf'(?s)^("""(?=.*""")|")(.*)\1({_KIND})$'
+    suffix = F.regexp_extract(x, parts, 3)
+    kind = F.when(suffix.startswith("^^"), F.concat(F.lit("^^"), iri_term(F.substring(suffix, F.lit(3), F.length(suffix))))).otherwise(suffix)
+    literal = F.concat(F.lit('"'), unescape(F.regexp_extract(x, parts, 2)), F.lit('"'), kind)
+    return F.when(x.startswith('"'), literal).otherwise(iri_term(x))
 
 
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     """s, p, o, line of N-Triples lines: IRIs in prefixed form, literals decoded; lines that are neither triples nor
-    comments have null s and their text in ``line``."""
+    comments have null s and their text in ``line``. One pattern takes a line apart; its terms are decoded one by one."""
     v = F.col(column)
     lines = lines.filter(~F.trim(v).startswith("#") & (F.trim(v) != ""))
-
-    def g(i: int) -> Column:
-        return F.regexp_extract(v, _LINE, i)
-
-    fine = v.rlike(_LINE)
-    s = F.when(g(1) != "", compact_iri(g(1))).otherwise(g(2))
-    literal = F.concat(F.lit('"'), unescape(g(6)), F.lit('"'), F.when(g(7) != "", F.concat(F.lit("@"), g(7))).when(g(8) != "", F.concat(F.lit("^^"), compact_iri(g(8)))).otherwise(F.lit("")))
-    is_literal = v.rlike(r'^\s*(?:<[^>]*>|_:\S+)\s+<[^>]*>\s+"')
-    o = F.when(is_literal, literal).when(g(4) != "", compact_iri(g(4))).otherwise(g(5))
-    return lines.select(F.when(fine, s).alias("s"), F.when(fine, compact_iri(g(3))).alias("p"), F.when(fine, o).alias("o"), F.when(~fine, v).alias("line"))
+    cut = lines.select(v.alias("line"), F.split(F.regexp_replace(v, _LINE, "\x01$1\x01$2\x01$3"), "\x01", 4).alias("ts"))
+    o = F.get("ts", F.lit(3))
+    o = F.when(o.startswith('"') & ~o.startswith('"""') & o.rlike(_INNER_QUOTE), F.nullif(F.regexp_extract(F.concat(o, F.lit(" . #")), _FIRST, 1), F.lit(""))).otherwise(o)
+    cut = cut.select("line", "ts", F.when((F.size("ts") == 4) & (F.get("ts", F.lit(0)) == "") & ~F.col("line").startswith("\x01"), o).alias("o"))
+    fine = F.col("o").isNotNull()
+    s, p = (F.when(fine, iri_term(F.get("ts", F.lit(i)))) for i in (1, 2))
+    return cut.select(s.alias("s"), p.alias("p"), term(F.col("o")).alias("o"), F.when(~fine, F.col("line")).alias("line"))
 
 
 def read_ntriples(spark: SparkSession, path: str, predicates: list[str] | None = None) -> DataFrame:
@@ -43,7 +63,7 @@ def read_ntriples(spark: SparkSession, path: str, predicates: list[str] | None =
 
 def read_turtle_statements(spark: SparkSession, path: str) -> DataFrame:
     """s, p, o of Turtle with one subject block up to each full stop at a line's end, with ; and , and prefixed names
-    or IRIs as terms. Blank node lists in brackets are not taken apart."""
+    or IRIs as terms: the part of the grammar that can be read in splits. ``read_turtle`` reads all of it."""
     blocks = spark.read.option("lineSep", " .\n").text(path).select(F.trim(F.regexp_replace("value", r"(?m)^\s*(@prefix|#).*$", "")).alias("b")).filter("b <> ''")
     term = r'(<[^>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^\S+)?|[^\s;,]+|[;,])'
     terms = blocks.select(F.transform(F.regexp_extract_all("b", F.lit(term), 1), lambda x: F.when(x.startswith("<"), compact_iri(F.regexp_extract(x, "<([^>]*)>", 1))).otherwise(x)).alias("ts"))
@@ -54,10 +74,26 @@ def read_turtle_statements(spark: SparkSession, path: str) -> DataFrame:
         .when(a["p"] == "", F.struct(x.alias("p"), x.alias("last"), a["out"].alias("out")))
         .otherwise(F.struct(a["p"].alias("p"), x.alias("last"), F.concat(a["out"], F.array(F.struct(a["p"].alias("p"), x.alias("o")))).alias("out")))
     )
-    own = terms.select(F.element_at("ts", 1).alias("s"), F.aggregate(F.slice("ts", 2, 1 << 20), zero, step)["out"].alias("po"))
+    own = terms.select(F.element_at("ts", 1).alias("s"), F.aggregate(F.slice("ts", F.lit(2), F.size("ts")), zero, step)["out"].alias("po"))
     return own.select("s", F.inline("po"))
 
 
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """s, p, o of Turtle files, the whole grammar: directives, ; and , lists, bracketed blank nodes, collections, long
+    strings, numbers. A file is one task's work, as its prefixes and brackets run through it; dumps come as N-Triples."""
+    name = F.concat(F.lit("f"), F.lower(F.hex(F.xxhash64("_metadata.file_path"))), F.lit("x"))
+    files = spark.read.text(path, wholetext=True).select("value", name.alias("name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, own in zip(batch.column(0), batch.column(1)):
+                every = TurtleText(text.as_py(), own.as_py()).triples()
+                while rows := list(islice(every, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["s", "p", "o"])
+
+    return files.mapInArrow(run, "s string, p string, o string").select(iri_term(F.col("s")).alias("s"), iri_term(F.col("p")).alias("p"), term(F.col("o")).alias("o"))
+
+
 def entity_rows(triples: DataFrame) -> DataFrame:
     """s, facts: a map of each subject's predicates to their objects, sorted."""
     by = triples.groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("os"))
@@ -82,8 +118,10 @@ def unlabelled_instances(rejections: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Lines with their place in the file: ``pos`` rises in reading order."""
-    return df.withColumn("pos", F.monotonically_increasing_id())
+    """What a reader gives, with its place: ``pos`` rises in reading order, files by name. A split is read by one task in
+    its order, so the file, the split's place in it and the row's number in the task give the order of all rows, however
+    many splits Spark packs into a task."""
+    return df.withColumn("pos", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth")))
 
 
 def read_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -127,7 +165,7 @@ def read_constraints(spark: SparkSession, path: str, side: str) -> DataFrame:
     repeated pairs keep their first row."""
     raw = spark.read.option("header", True).csv(path)
     c = raw.columns
-    f = numbered(raw.select(entity_id(F.col(c[0])).alias("property"), F.col(c[1]).alias("property_label"), F.lit(side).alias("side"), entity_id(F.col(c[2])).alias("type"), F.col(c[3]).alias("type_label")))
+    f = numbered(raw).select(entity_id(F.col(c[0])).alias("property"), F.col(c[1]).alias("property_label"), F.lit(side).alias("side"), entity_id(F.col(c[2])).alias("type"), F.col(c[3]).alias("type_label"), "pos")
     return f.withColumn("n", F.row_number().over(Window.partitionBy("property", "side", "type").orderBy("pos"))).filter("n = 1").drop("n")
 
 

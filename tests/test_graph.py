@@ -130,7 +130,37 @@ def test_votes(spark):
     rows = [("m1", "a", "p", "[SUBSUME]", 0.9), ("m2", "a", "p", "[SUBSUME]", 0.7), ("m3", "a", "p", "[IRRELEVANT]", 0.8), ("m1", "b", "p", "[SUBSUME]", 0.1), ("m2", "b", "p", "[REVERSE]", 0.9), ("m3", "b", "p", "[EQUIVALENT]", 0.8)]
     v = spark.createDataFrame(rows, "model string, child string, parent string, verdict string, conf double")
     assert pairs(votes.majority(v), "child", "verdict", "conf") == {("a", "[SUBSUME]", 0.7), ("b", "[SUBSUME]", 1.0)}
-    assert pairs(votes.rewire_vote(v), "child", "ok", "conf") == {("a", True, 0.7), ("b", False, 0.0)}
+    said = "model string, child string, parent string, answer string, answer_inverse string, confidence double, confidence_inverse double"
+    rows = [("m1", "a", "p", "True", "False", 0.9, 0.7), ("m2", "a", "p", "true", "false", 0.8, 0.6), ("m3", "a", "p", "False", "False", 0.9, 0.9)]
+    rows += [("m1", "b", "p", "True", "False", 0.9, 0.4), ("m2", "b", "p", "None", "False", 0.9, 0.9), ("m3", "b", "p", "True", "False", 0.1, 0.9)]  # no vote at all
+    rows += [("m1", "c", "p", "True", "False", 0.9, 0.9), ("m2", "c", "p", "True", "True", 0.9, 0.9), ("m3", "c", "p", "None", "None", 0.9, 0.9)]  # a tie
+    p = spark.createDataFrame(rows, said)
+    assert pairs(votes.rewire_vote(p), "child", "ok", "conf") == {("a", True, 0.6), ("b", False, 0.0), ("c", False, 0.0)}
+    e = spark.createDataFrame([("a", "p"), ("z", "p")], "child string, parent string")
+    assert pairs(votes.missing_predictions(e, p), "model", "child") == {("m1", "z"), ("m2", "z"), ("m3", "z")}
+    with pytest.raises(ValueError):
+        votes.require_predictions(e, p)
+    votes.require_predictions(e.filter("child = 'a'"), p)
+
+
+def test_rewire_golden(spark):
+    # p and q under E, q under r too; c under both p and q: r is a hop, E is above p and none
+    e = spark.createDataFrame([("p", "E"), ("q", "E"), ("q", "r"), ("r", "E"), ("c", "p"), ("c", "q")], "child string, parent string")
+    eq = spark.createDataFrame([("c", "p"), ("p", "E"), ("x", "p")], "child string, parent string")
+    c = ordering.rewire_candidates(e, eq, "E").cache()
+    assert {tuple(r) for r in c.collect()} == {("p", "c", "q", None), ("p", "c", "q", "r")}
+    judged = lambda *rows: spark.createDataFrame(list(rows), "a string, b string, ok boolean, conf double")
+    assert pairs(ordering.unpredicted(c, judged()), "child", "parent") == {("p", "q")}
+    assert pairs(ordering.unpredicted(c, judged(("p", "q", True, 0.9))), "child", "parent") == {("p", "r")}
+    with pytest.raises(ValueError):
+        ordering.require_predicted(c, judged(("p", "q", True, 0.9)))
+    ordering.require_predicted(c, judged(("p", "q", True, 0.9), ("p", "r", False, 0.9)))
+    ok = lambda *rows: pairs(ordering.valid_merges(c, judged(*rows)), "parent", "child")
+    assert ok() == ok(("p", "r", False, 0.9)) == ok(("p", "q", True, 0.5)) == ok(("p", "q", True, 0.9), ("p", "r", True, 0.9)) == {("p", "c")}
+    assert ok(("p", "q", True, 0.4)) == ok(("p", "q", False, 0.9)) == ok(("p", "q", True, 0.9), ("p", "r", False, 0.9)) == set()
+    loop = e.unionByName(spark.createDataFrame([("s", "p"), ("c", "s")], "child string, parent string"))
+    with pytest.raises(ValueError):
+        ordering.rewire_candidates(loop, eq, "E")
 
 
 def test_decisions(spark):
@@ -168,6 +198,46 @@ def test_edits():
     assert edits.merge_equivalent(g, [("B", "A"), ("C", "A")], "E", {}, set()) == [(0, "merge", "B", "A")]
     g = edits.Graph([("A", "E"), ("T", "E"), ("B", "A"), ("X", "B"), ("X", "T")])
     assert edits.drop_over_specific(g, "E") == [(1, "delete", "T", "E")]
+    g = edits.Graph([("A", "E"), ("T", "E"), ("X", "E"), ("X", "T"), ("B", "A"), ("Y", "X")])  # X hangs on the root and on T, both not below others
+    assert edits.drop_over_specific(g, "E") == [(1, "delete", "T", "E")]
+
+
+def reduced(edges):
+    """Transitive reduction, edge by edge."""
+    left = set(edges)
+    for c, p in sorted(edges):
+        seen, todo = set(), [x for x in left if x[0] == c and x != (c, p)]
+        while todo:
+            x = todo.pop()
+            if x[1] not in seen:
+                seen.add(x[1])
+                todo += [y for y in left if y[0] == x[1]]
+        if p in seen:
+            left.discard((c, p))
+    return left
+
+
+def test_merges_against_plain_rules():
+    """Random graphs: merges one by one with a full reduction after each, as the rules say."""
+    rng = np.random.default_rng(8)
+    merged = 0
+    for _ in range(60):
+        n = int(rng.integers(6, 16))
+        e = {(f"n{i:02d}", f"n{int(rng.integers(0, i)):02d}") for i in range(1, n) for _ in range(int(rng.integers(1, 4)))}
+        e = reduced(e)
+        todo = [x for x in sorted(e, key=lambda x: rng.random()) if x[1] != "n00"][:5]
+        want, used, error = set(e), set(), False
+        for c, p in todo:
+            if (c, p) not in want or c in used or p in used:
+                continue
+            new = {(x, p if y == c else y) for x, y in want if x != c} | {(p, y) for x, y in want if x == c and y != p}
+            want = reduced(new)
+            used.add(p)
+            merged += 1
+        g = edits.Graph(sorted(e))
+        edits.merge_equivalent(g, todo, "n00", {}, set())
+        assert set(g.edges()) == want and not error
+    assert merged > 60
 
 
 def test_type_check(spark, lean):
