@@ -181,3 +181,59 @@ def edge_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
     edges = lone(a.select("child", "parent"), b.select("child", "parent"))
     return lone(nodes_of(a), nodes_of(b)).unionAll(edges).agg(F.sum("n").cast("long").alias("ged"))
+
+
+def exact_edit_distance(a: list[tuple[str, str]], b: list[tuple[str, str]], most: int = 12) -> int:
+    """Least number of edits between two small graphs (child, parent): a node or an edge that comes or goes, a node that
+    takes another's place under a new name. ValueError where more than ``most`` nodes differ: the search is exponential.
+
+    Depth first over the nodes of the first graph, each mapped to itself, to another node or to none; what is left of the
+    second graph comes new. A branch stops where its cost, with the nodes that must still come or go, is not below the best.
+    """
+    ea, eb = set(a), set(b)
+    na, nb = sorted({x for e in ea for x in e}), sorted({x for e in eb for x in e})
+    if len(set(na) ^ set(nb)) > most:
+        raise ValueError(f"{len(set(na) ^ set(nb))} nodes differ, {most} at most can be searched")
+    # nodes with a namesake first: mapping them to it is nearly always best, so a good bound comes early
+    na.sort(key=lambda x: x not in set(nb))
+    touch = {x: [e for e in ea if x in e] for x in na}
+    back = {x: [e for e in eb if x in e] for x in nb}
+    best = len(na) + len(nb) + len(ea) + len(eb)
+
+    def edge_cost(x: str, y: str | None, image: dict[str, str | None], taken: dict[str, str]) -> int:
+        """Edges of x, and of y, towards nodes mapped before, that have no counterpart."""
+        cost = 0
+        for c, p in touch[x]:
+            other = p if c == x else c
+            if other in image or other == x:
+                ic, ip = (y if n == x else image[n] for n in (c, p))
+                cost += ic is None or ip is None or (ic, ip) not in eb
+        for c, p in back.get(y, ()):
+            other = p if c == y else c
+            if other in taken or other == y:
+                oc, op = (x if n == y else taken[n] for n in (c, p))
+                cost += (oc, op) not in ea
+        return cost
+
+    def go(i: int, cost: int, image: dict[str, str | None], taken: dict[str, str]) -> None:
+        nonlocal best
+        if cost + abs(len(na) - i - (len(nb) - len(taken))) >= best:
+            return
+        if i == len(na):
+            left = set(nb) - set(taken)
+            best = min(best, cost + len(left) + sum(1 for e in eb if e[0] in left or e[1] in left))
+            return
+        x = na[i]
+        options = sorted((y for y in nb if y not in taken), key=lambda y: y != x)
+        for y in [*options, None]:
+            more = (y != x) + edge_cost(x, y, image, taken)
+            image[x] = y
+            if y is not None:
+                taken[y] = x
+            go(i + 1, cost + more, image, taken)
+            del image[x]
+            if y is not None:
+                del taken[y]
+
+    go(0, 0, {}, {})
+    return best

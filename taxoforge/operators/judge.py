@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,27 +22,64 @@ TEMPLATE = (
     "Question: Is '{child_label}' a subclass of '{parent_label}'?\n"
     "Please format your answer directly as follows: **Answer: True/False**."
 )
-#: The question whether an entity is of a type, for judges of instances.
-TYPE_TEMPLATE = 'The entity "{child_label}" is described as "{child_desc}", the type "{parent_label}" as "{parent_desc}". Is the entity of that type? Answer: True or False.'
+# Fixed value: the question whether an entity is of a type, with its examples.
+TYPE_TEMPLATE = """Your task is to provide "True" or "False" for the type statement based on the context, True if the entity type statement is correct, otherwise False. The entity (marked with *) is given within a sentence, followed by a statement that specifies its type (marked within []). 
+Some examples are provided as follows:
+'''
+context: *Paris* is described as "capital of France". [city or town] is described as "large human settlement".
+type statement: *Paris* is a [city or town].
+Answer: True.
+
+context: *Paris* is described as "capital of France". [mathematical object] is described as "abstract object in mathematics".
+type statement: *Paris* is a [mathematical object].
+Answer: False.
+
+context: *Motokazu Mori* is described as "Japanese surgeon and tanka poet". [corporate body] is described as "entity that may be assigned authorship, including persons, organizations, events, and physical objects".
+type statement: *Motokazu Mori* is a [corporate body].
+Answer: True.
+''' 
+
+Now it's your turn to judge. Here are the "context" and "type statement":
+context: *{child_label}* is/are described as "{child_desc}". [{parent_label}] is/are described as "{parent_desc}".
+type statement: *{child_label}* is a/an [{parent_label}].
+
+Please provide your answer directly as True or False for the type statement.
+Answer:::"""
 SYSTEM = "You are an ontological expert in hierarchical concept analysis."
 FAMILIES = {"plain": (False, False), "system": (True, False), "parts": (True, True)}
 
-#: A judge answers a batch of prompts with (text, confidence) each.
-Judge = Callable[[list[str]], list[tuple[str, float]]]
-_judges: dict[str, Callable[[], Judge]] = {}
+@dataclass(frozen=True)
+class Generation:
+    """How a judge is to generate; a judge that cannot must say so by a ValueError."""
 
+    temperature: float = 0.01
+    max_tokens: int = 50
+    repetition_penalty: float = 1.1
+    batch: int = 16
 
-def register_judge(name: str, make: Callable[[], Judge]) -> None:
+
+#: A judge answers a batch of conversations, each a list of messages (role, content), with (text, confidence) each. Where a
+#: model gives token probabilities, ``decisions.token_confidence`` or its like makes the confidence of them.
+Judge = Callable[[list[list[dict]]], list[tuple[str, float]]]
+_judges: dict[str, Callable[[Generation], Judge]] = {}
+
+
+def register_judge(name: str, make: Callable[[Generation], Judge]) -> None:
     """Make a judge known by name; ``make`` is called once per Python worker and task, to load a model there."""
     _judges[name] = make
 
 
-def stub_judge() -> Judge:
-    """Answers by the hash of the prompt: the same on every machine and run."""
+def known_judges() -> list[str]:
+    return sorted(_judges)
+
+
+def stub_judge(generation: Generation = Generation()) -> Judge:
+    """Answers by the hash of the last message: the same on every machine and run."""
 
-    def answer(prompts: list[str]) -> list[tuple[str, float]]:
+    def answer(conversations: list[list[dict]]) -> list[tuple[str, float]]:
         out = []
-        for p in prompts:
+        for m in conversations:
+            p = m[-1]["content"]
             h = hashlib.md5(p.encode()).digest()
             out.append((f"**Answer: {'True' if h[0] % 2 else 'False'}**", round(h[1] / 255, 5)))
         return out
@@ -78,24 +116,24 @@ def messages(text: Column, family: str = "plain") -> Column:
     return F.array(*([F.struct(F.lit("system").alias("role"), content(F.lit(SYSTEM)).alias("content"))] if system else []), *own)
 
 
-def judge_edges(edges: DataFrame, judge: str | Callable[[], Judge] = "stub", model: str = "stub", batch: int = 16) -> DataFrame:
+def judge_edges(edges: DataFrame, judge: str | Callable[[Generation], Judge] = "stub", model: str = "stub", family: str = "plain", generation: Generation = Generation(), template: str = TEMPLATE) -> DataFrame:
     """model, child, parent, plabel, clabel, original_answer(_inverse), answer(_inverse), confidence(_inverse).
 
-    edges: child, parent, clabel, cdesc, plabel, pdesc. Each edge is asked forth and back, in batches, one model per
-    task; invalid answers are None with confidence 0.
+    edges: child, parent, clabel, cdesc, plabel, pdesc. Each edge is asked forth and back, as the family's chat messages,
+    in batches, one model per task; invalid answers are None with confidence 0.
     """
     make = _judges[judge] if isinstance(judge, str) else judge
-    fw = prompt(F.col("clabel"), F.col("cdesc"), F.col("plabel"), F.col("pdesc"))
-    bw = prompt(F.col("plabel"), F.col("pdesc"), F.col("clabel"), F.col("cdesc"))
-    asked = edges.select("child", "parent", "plabel", "clabel", fw.alias("fw"), bw.alias("bw"))
+    fw = prompt(F.col("clabel"), F.col("cdesc"), F.col("plabel"), F.col("pdesc"), template)
+    bw = prompt(F.col("plabel"), F.col("pdesc"), F.col("clabel"), F.col("cdesc"), template)
+    asked = edges.select("child", "parent", "plabel", "clabel", messages(fw, family).alias("fw"), messages(bw, family).alias("bw"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = make()
+        ask = make(generation)
         for pdf in batches:
             out = {}
             for c in ("fw", "bw"):
-                texts = pdf[c].tolist()
-                out[c] = [a for lo in range(0, len(texts), batch) for a in ask(texts[lo : lo + batch])]
+                talks = [[{"role": m["role"], "content": m["content"]} for m in t] for t in pdf[c]]
+                out[c] = [a for lo in range(0, len(talks), generation.batch) for a in ask(talks[lo : lo + generation.batch])]
             got = pdf[["child", "parent", "plabel", "clabel"]].copy()
             for c, name in (("fw", ""), ("bw", "_inverse")):
                 got["original_answer" + name] = [a for a, _ in out[c]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 
 from pyspark.sql import DataFrame
@@ -101,3 +102,105 @@ def report_json(roles: DataFrame) -> str:
     by = roles.groupBy("side", "role").agg(F.sort_array(F.collect_set(F.struct("type", "type_label"))).alias("types"))
     one = by.agg(F.sort_array(F.collect_list(F.struct("side", "role", "types"))).alias("sections"))
     return one.select(F.to_json(F.struct("sections")).alias("json")).first()["json"]
+
+
+SECTIONS = [("given", "Original types"), ("dropped", "Not in the class graph"), ("redundant", "Below another allowed type"), ("final_ancestor", "Chosen common ancestors"), ("final_type", "Final types"), ("merged", "Merged types")]
+
+
+def text_summary(roles: DataFrame, prop: str, label: str | None = None, metrics: DataFrame | None = None) -> str:
+    """A property's summary (side, type, type_label, role) as six numbered sections, each with both sides.
+
+    metrics, if given: side, anc, avg_distance, expansion_ratio, depth_ratio, ic_difference, shown with the ancestors.
+    One property's types come to the driver, as the page that shows them needs them.
+    """
+    rows = [(r["side"], r["role"], r["type"], r["type_label"]) for r in roles.distinct().orderBy("side", "role", "type").collect()]
+    numbers = {(r["side"], r["anc"]): r for r in metrics.collect()} if metrics is not None else {}
+    lines = [f"Relation {prop}" + (f" ({label})" if label else "")]
+    for i, (role, title) in enumerate(SECTIONS, 1):
+        lines += ["", f"({i}) {title}"]
+        for side in ("subject", "object"):
+            own = [(t, name) for s, r, t, name in rows if s == side and (r == role or role == "final_type" and r == "final_ancestor")]
+            lines.append(f"  [{side.capitalize()}] " + (f"{len(own)}" if own else "-"))
+            for t, name in own:
+                m = numbers.get((side, t)) if role == "final_ancestor" else None
+                more = "  " + ", ".join(f"{k}={m[k]:.4f}" for k in ("avg_distance", "expansion_ratio", "depth_ratio", "ic_difference")) if m else ""
+                lines.append(f"    {t} ({name}){more}")
+    return "\n".join(lines) + "\n"
+
+
+class TaxonomyViewer:
+    """Ancestor graphs by model and class, as JSON, kept once made. A class that was merged is answered with the class that
+    took it up, and a warning says so."""
+
+    def __init__(self, models: dict[str, tuple[DataFrame, DataFrame]], root: str, mappings: dict[str, DataFrame] | None = None):
+        self.models, self.root, self.mappings = models, root, mappings or {}
+        self.kept: dict[tuple[str, str], tuple[str, str | None]] = {}
+
+    def ask(self, model: str, cls: str) -> tuple[str, str | None]:
+        """(JSON, warning or None). BadRequest for what is no id, NotFound for what isn't there."""
+        if not re.fullmatch(r"[A-Za-z]\w*(:[^\s]+)?", cls or ""):
+            raise BadRequest(f"not a class: {cls!r}")
+        if model not in self.models:
+            raise NotFound(model)
+        if (model, cls) not in self.kept:
+            edges, labels = self.models[model]
+            mapping = self.mappings.get(model)
+            hit = resolve_mapping(mapping).filter(F.col("src") == cls).first() if mapping is not None else None
+            warning = f"{cls} was merged into {hit['dst']}" if hit else None
+            self.kept[model, cls] = taxonomy_json(edges, labels, hit["dst"] if hit else cls, self.root), warning
+        return self.kept[model, cls]
+
+
+def html_tree(rows: DataFrame, root: str, most: int = 10_000) -> str:
+    """Nested lists of an ancestor or descendant graph (child, child_label, parent, parent_label), from the root down;
+    a class met again is a link to its first place. ValueError beyond ``most`` edges: a page is for people."""
+    got = rows.orderBy("parent", "child").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} edges for a page")
+    kids: dict[str, list[str]] = {}
+    name = {root: root}
+    for r in got:
+        kids.setdefault(r["parent"], []).append(r["child"])
+        name[r["parent"]], name[r["child"]] = r["parent_label"], r["child_label"]
+    out, met, todo = ["<ul>"], set(), [("open", root)]
+    while todo:
+        what, x = todo.pop()
+        if what == "close":
+            out.append("</ul></li>")
+        elif x in met:
+            out.append(f'<li><a href="#{html.escape(x)}">{html.escape(name[x])}</a></li>')
+        else:
+            met.add(x)
+            own = kids.get(x, [])
+            out.append(f'<li id="{html.escape(x)}">{html.escape(name[x])} ({html.escape(x)})' + ("<ul>" if own else "</li>"))
+            if own:
+                todo.append(("close", x))
+                todo += [("open", k) for k in reversed(own)]
+    return "\n".join([*out, "</ul>"]) + "\n"
+
+
+def svg_graph(rows: DataFrame, root: str, most: int = 2_000) -> str:
+    """A drawing of such a graph: classes in layers by their distance from the root, edges as lines."""
+    got = rows.orderBy("parent", "child").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} edges for a drawing")
+    kids: dict[str, list[str]] = {}
+    name = {root: root}
+    for r in got:
+        kids.setdefault(r["parent"], []).append(r["child"])
+        name[r["parent"]], name[r["child"]] = r["parent_label"], r["child_label"]
+    place, layer, y = {}, [root], 0
+    while layer:
+        for i, x in enumerate(layer):
+            place[x] = (90 + 170 * i, 30 + 70 * y)
+        layer, y = sorted({k for x in layer for k in kids.get(x, []) if k not in place}), y + 1
+    width, height = (max(v[i] for v in place.values()) + 100 for i in (0, 1))
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">']
+    for p, own in sorted(kids.items()):
+        for c in own:
+            if p in place and c in place:
+                (x1, y1), (x2, y2) = place[p], place[c]
+                out.append(f'<line x1="{x1}" y1="{y1 + 12}" x2="{x2}" y2="{y2 - 12}" stroke="gray"/>')
+    for x, (cx, cy) in sorted(place.items()):
+        out.append(f'<rect x="{cx - 80}" y="{cy - 12}" width="160" height="24" fill="white" stroke="black"/><text x="{cx}" y="{cy + 4}" font-size="11" text-anchor="middle">{html.escape(name[x])}</text>')
+    return "\n".join([*out, "</svg>"]) + "\n"

@@ -21,17 +21,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, whose files go when the application ends."""
+    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and any executor may be lost.
 
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, tag)
     df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

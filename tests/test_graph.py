@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -275,3 +277,31 @@ def test_sampled_measures_cover_all(spark):
     s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i in range(200) for j in range(i)]
     want = sum(a * b for a, b in s) / np.sqrt(sum(a != 0 for a, _ in s) * sum(b != 0 for _, b in s))
     assert abs(evaluation.kendall_tau_b(x, y) - want) < 1e-12
+
+
+def test_exact_edit_distance():
+    d = graph.exact_edit_distance
+    m = [(c, p) for c, p in M1]
+    assert d(m, m) == 0 and d(m, [x for x in m if x != ("D", "A")]) == 1
+    assert d([("a", "b")], [("a", "c")]) == 1  # one name for another, where the set distance counts both nodes and edges
+    assert d([("a", "b")], [("x", "y")]) == 2 and d([("a", "b")], [("b", "a")]) == 2 and d([], [("x", "y")]) == 3
+    rng = np.random.default_rng(2)
+    for _ in range(25):
+        make = lambda s: sorted({(s[i], s[int(rng.integers(0, i))]) for i in range(1, 4)})
+        a, b = make("abcd"), make("abxy")
+
+        def brute(a, b):
+            na, nb = sorted({x for e in a for x in e}), sorted({x for e in b for x in e})
+            best = 99
+            for image in itertools.product([None, *nb], repeat=len(na)):
+                used = [y for y in image if y]
+                if len(set(used)) == len(used):
+                    m = dict(zip(na, image))
+                    moved = {(m[c], m[p]) for c, p in a if m[c] and m[p]}
+                    cost = sum(x != y for x, y in m.items()) + len(nb) - len(used) + len(a) - len(moved & set(b)) + len(set(b) - moved)
+                    best = min(best, cost)
+            return best
+
+        assert d(a, b) == brute(a, b)
+    with pytest.raises(ValueError):
+        d([(f"a{i}", "r") for i in range(9)], [(f"b{i}", "r") for i in range(9)])

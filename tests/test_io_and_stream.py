@@ -7,6 +7,8 @@ from taxoforge.operators import judge, viewer
 from taxoforge.operators.closure import closure
 from taxoforge.plans.projection import ROOT, kg
 from taxoforge.sources import readers, sinks
+from taxoforge.sources.readers import parse_ntriples
+from taxoforge.sources.turtle_text import TurtleText
 from taxoforge.streaming.typecheck import start_two_way
 
 SF = "/root/testdata/sf0.001"
@@ -86,7 +88,7 @@ def test_unescape_and_answers(spark):
 def test_judge_and_messages(spark):
     e = spark.createDataFrame([("a", "b", "cat {x}", "a pet", "animal", "alive")], "child string, parent string, clabel string, cdesc string, plabel string, pdesc string")
     seen = []
-    r = judge.judge_edges(e, judge=lambda: lambda ps: [("**Answer: " + str("cat {x} (a pet)" in p) + "**", 0.25) for p in ps]).first()
+    r = judge.judge_edges(e, judge=lambda g: lambda ts: [("**Answer: " + str("cat {x} (a pet)" in t[-1]["content"] and g.max_tokens == 50) + "**", 0.25) for t in ts]).first()
     assert (r["answer"], r["answer_inverse"], r["confidence"]) == ("True", "True", 0.25) and seen == []
     m = e.select(judge.messages(F.col("clabel"), "parts").alias("m")).first()["m"]
     assert [x["role"] for x in m] == ["system", "user"]
@@ -111,3 +113,84 @@ def test_stream_splits_facts(spark, tmp_path):
     q.awaitTermination(120)
     n = spark.read.parquet(f"file://{tmp_path}/kept").count() + spark.read.parquet(f"file://{tmp_path}/rejected").count()
     assert n == 300
+
+
+def test_each_escape_is_decoded(spark):
+    rows = {r"\U0001F600 and \U0001F601": "😀 and 😁", r"a\\U0001F600": r"a\U0001F600", r"\ud83d\ude00\ud83d x": "😀\ufffd x", r"q\"z\" \' \u0022": "q'z' ' '", r"b\\s\t\n": "b\\s\t\n", r"\UFFFFFFFF \q": "\ufffd \\q", "": "", "e\rx": "ex"}
+    df = spark.createDataFrame([(k, v) for k, v in rows.items()], "t string, want string")
+    assert [r for r in df.select("t", "want", unescape(F.col("t")).alias("got")).collect() if r["want"] != r["got"]] == []
+
+
+def test_odd_lines_of_ntriples(spark):
+    big = "x\\n\\\"" * 40_000
+    lines = {
+        '<urn:a> <urn:b> "say" . # "quoted" comment': ("<urn:a>", "<urn:b>", '"say"'),
+        '<urn:a> <urn:b> "say\\\\" . # "quoted" .': ("<urn:a>", "<urn:b>", '"say\\"'),
+        '_:x <urn:b> """l"o"""@en .': ("_:x", "<urn:b>", '"l"o"@en'),
+        '<urn:a><urn:b><urn:c>.': ("<urn:a>", "<urn:b>", "<urn:c>"),
+        f'<urn:a> <urn:b> "{big}" .': ("<urn:a>", "<urn:b>", '"' + "x\n'" * 40_000 + '"'),
+        '<urn:a> <urn:b> "open .': (None, None, None),
+        '<urn:a> <urn:b> "a"b" .': (None, None, None),
+        '<urn:a> "lit" <urn:c> .': (None, None, None),
+    }
+    got = parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r["s"], r["p"], r["o"]) for r in got] == list(lines.values())
+
+
+def test_whole_turtle(spark, tmp_path):
+    text = """@prefix wd: <http://www.wikidata.org/entity/> .
+PREFIX ex: <urn:ex:>
+# a comment . ; ,
+wd:Q1 a ex:Thing ; ex:p "x . y;" , "lang"@en-GB, \"\"\"long "q"
+line .\"\"\"; ex:n 5, -2.5, true .
+ex:a.b ex:q [ ex:r 'it' ; ex:s [] ] ; ex:l (1 wd:Q3).
+[ ex:z ex:y ] .
+"""
+    (tmp_path / "a.ttl").write_text(text)
+    got = [tuple(r) for r in readers.read_turtle(spark, f"file://{tmp_path}/a.ttl").collect()]
+    blank = {}
+    short = [tuple(blank.setdefault(x, f"_:{len(blank)}") if x.startswith("_:") else x for x in t) for t in got]
+    ex = lambda x: f"<urn:ex:{x}>"
+    want = [("wd:Q1", "rdf:type", ex("Thing")), ("wd:Q1", ex("p"), '"x . y;"'), ("wd:Q1", ex("p"), '"lang"@en-GB'), ("wd:Q1", ex("p"), "\"long 'q'\nline .\"")]
+    want += [("wd:Q1", ex("n"), f'"{v}"^^xsd:{t}') for v, t in (("5", "integer"), ("-2.5", "decimal"), ("true", "boolean"))]
+    assert short[:7] == want and len(short) == 16
+    assert {(p, o) for _, p, o in short[7:] if not o.startswith("_:")} == {(ex("r"), '"it"'), ("rdf:first", "wd:Q3"), ("rdf:first", '"1"^^xsd:integer'), ("rdf:rest", "rdf:nil"), (ex("z"), ex("y"))}
+    for bad in ("<a> <b> .", "<a> <b> <c>", '<a> <b> "open', "<a> <b> [ <c> <d> ."):
+        with pytest.raises(ValueError):
+            list(TurtleText(bad).triples())
+
+
+def test_order_of_lines_over_files_and_splits(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"part-{i}").write_text("".join(f"k{(i * 400 + j) % 50},v{i * 400 + j}\n" for j in range(400 if i % 2 else 40)))
+    last = {}
+    for i in range(6):
+        for j in range(400 if i % 2 else 40):
+            last[f"k{(i * 400 + j) % 50}"] = f"v{i * 400 + j}"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        got = {r["src"]: r["dst"] for r in readers.read_mapping(spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == last
+
+
+def test_viewer_pages(spark):
+    e, labels, mapping = kg(spark, SF, "kg_edges"), kg(spark, SF, "kg_labels"), kg(spark, SF, "kg_mapping")
+    v = viewer.TaxonomyViewer({"core": (e, labels)}, ROOT, {"core": mapping})
+    page, warning = v.ask("core", "B:Brand#2")
+    assert warning == "B:Brand#2 was merged into B:Brand#3" and '"uri":"B:Brand#3"' in page and v.ask("core", "B:Brand#2")[0] is page
+    assert v.ask("core", "R:1")[1] is None
+    for bad, error in ((("core", ""), viewer.BadRequest), (("core", "none"), viewer.NotFound), (("x", "R:1"), viewer.NotFound)):
+        with pytest.raises(error):
+            v.ask(*bad)
+    rows = viewer.subgraph_rows(e, labels, "N:3", ROOT)
+    tree, drawing = viewer.html_tree(rows, ROOT), viewer.svg_graph(rows, ROOT)
+    assert tree.count("<ul>") == tree.count("</ul>") == 4 and drawing.count("<line") == rows.count() == 3 and drawing.count("<rect") == 4
+    with pytest.raises(ValueError):
+        viewer.html_tree(rows, ROOT, most=2)
+    roles = spark.createDataFrame([("subject", "A", "class a", "given"), ("subject", "B", "class b", "final_ancestor"), ("object", "C", "class c", "dropped")], "side string, type string, type_label string, role string")
+    metrics = spark.createDataFrame([("subject", "B", 1.5, 2.0, 0.25, 0.0)], "side string, anc string, avg_distance double, expansion_ratio double, depth_ratio double, ic_difference double")
+    text = viewer.text_summary(roles, "P1", "part", metrics)
+    assert [x for x in text.splitlines() if x.startswith("(")] == [f"({i}) {t}" for i, (_, t) in enumerate(viewer.SECTIONS, 1)]
+    assert "B (class b)  avg_distance=1.5000" in text and text.count("B (class b)") == 2
