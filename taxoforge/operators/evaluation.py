@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxoforge.functions.vectors import dot
 from taxoforge.operators.graph import ancestor_subgraph, edge_difference
 from taxoforge.scratch import stash
 
@@ -24,14 +26,77 @@ def wu_palmer(members: DataFrame, strict: DataFrame, depth: DataFrame) -> DataFr
     return pairs.join(best, ["a", "b"], "left").select("a", "b", F.coalesce(2 * F.col("da") / (F.col("d1") + F.col("d2")), F.lit(0.0)).alias("sim"))
 
 
-def cosine_pairs(vectors: DataFrame) -> DataFrame:
-    """a, b, sim for a < b of vectors (node, vec), normalised before."""
-    left, right = vectors.select(F.col("node").alias("a"), F.col("vec").alias("u")), vectors.select(F.col("node").alias("b"), F.col("vec").alias("v"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", dot(F.col("u"), F.col("v")).alias("sim"))
+#: Classes of a block; two blocks meet in one task, as matrices.
+BLOCK_NODES = 1000
+#: Pairs that a task takes when they are counted in order.
+PART_PAIRS = 1 << 20
 
 
-def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b in n log n: discordant pairs are the exchanges of a merge sort by y of what is sorted by x."""
+def node_blocks(nodes: DataFrame, strict: DataFrame, depth: DataFrame, vectors: DataFrame, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, int]:
+    """block, items (d: depth from 1, vec, up: proper ancestors with their depths) of the nodes (node) that have vectors."""
+    d = depth.select("node", (F.col("depth") + 1).alias("d"))
+    own = stash(nodes.select("node").distinct().join(d, "node").join(vectors.select("node", F.col("vec").cast("array<double>").alias("vec")), "node"), "sim-nodes")
+    n = max(1, -(-own.count() // block_nodes))
+    above = strict.filter("node <> anc").select("node", "anc").join(d.select(F.col("node").alias("anc"), F.col("d").alias("da")), "anc")
+    up = own.select("node").join(above, "node").groupBy("node").agg(F.collect_list(F.struct(F.xxhash64("anc").alias("anc"), "da")).alias("up"))
+    rows = own.join(up, "node", "left").select(F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("block"), F.struct("d", "vec", "up").alias("item"))
+    return stash(rows.groupBy("block").agg(F.collect_list("item").alias("items")), "sim-blocks"), n
+
+
+def deepest_common(a: list[list[dict]], b: list[list[dict]]) -> np.ndarray:
+    """Depth of the deepest ancestor that two nodes share, 0 without any, for the ancestors of two blocks of nodes."""
+    best = np.zeros((len(a), len(b)))
+    levels: dict[int, dict[int, int]] = {}
+    for one in (*a, *b):
+        for u in one:
+            own = levels.setdefault(u["da"], {})
+            own.setdefault(u["anc"], len(own))
+    for level, ids in sorted(levels.items()):  # deeper ones last, over what is there
+        sides = []
+        for block in (a, b):
+            m = np.zeros((len(block), len(ids)), np.float32)
+            for i, one in enumerate(block):
+                for u in one:
+                    if u["da"] == level:
+                        m[i, ids[u["anc"]]] = 1
+            sides.append(m)
+        best[sides[0] @ sides[1].T > 0] = level
+    return best
+
+
+def similarity_pairs(blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """x, y for all pairs of nodes: cosine similarity of their vectors, Wu-Palmer similarity in the graph, to nine places.
+    Two blocks at a time, as matrices; a pair is two numbers, without its names."""
+    left = blocks.withColumn("with", F.explode(F.sequence("block", F.lit(n_blocks - 1))))
+    right = blocks.select(F.col("block").alias("with"), F.col("items").alias("others"))
+    both = left.join(right, "with").select((F.col("block") == F.col("with")).alias("same"), "items", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, a, b in zip(*(batch.column(i) for i in range(3))):
+                a, b = a.as_py(), b.as_py()
+                va, vb = (np.array([r["vec"] for r in z]) for z in (a, b))
+                da, db = (np.array([r["d"] for r in z], float) for z in (a, b))
+                x = va @ vb.T
+                y = 2 * deepest_common([r["up"] or [] for r in a], [r["up"] or [] for r in b]) / (da[:, None] + db[None, :])
+                at = np.triu_indices(len(a), 1) if same.as_py() else (slice(None), slice(None))
+                x, y = np.round(x[at].ravel(), 9), np.round(y[at].ravel(), 9)
+                for lo in range(0, len(x), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]), pa.array(y[lo : lo + 100_000])], ["x", "y"])
+
+    return both.mapInArrow(run, "x double, y double")
+
+
+def similarity_histogram(nodes: DataFrame, strict: DataFrame, depth: DataFrame) -> DataFrame:
+    """sim, pairs: how many pairs of nodes have which Wu-Palmer similarity, to six places."""
+    flat = nodes.select("node", F.array(F.lit(0.0)).alias("vec"))
+    pairs = similarity_pairs(*node_blocks(nodes, strict, depth, flat))
+    return pairs.groupBy(F.round("y", 6).alias("sim")).agg(F.count("*").alias("pairs"))
+
+
+def kendall_score(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """Concordant less discordant pairs, pairs equal in x, pairs equal in y, in n log n: discordant pairs are the exchanges
+    of a merge sort by y of what is sorted by x."""
     n = len(x)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
@@ -56,19 +121,55 @@ def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
         width *= 2
     total, tx, txy = n * (n - 1) // 2, ties(x), ties(x, y)
     ty = ties(np.sort(y))
+    return total - tx - ty + txy - 2 * swaps, tx, ty
+
+
+def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
+    """Tau-b of two columns of one machine."""
+    score, tx, ty = kendall_score(x, y)
+    return tau_of(len(x), score, tx, ty)
+
+
+def tau_of(n: int, score: int, tx: int, ty: int) -> float:
+    total = n * (n - 1) // 2
     denominator = np.sqrt(float(total - tx)) * np.sqrt(float(total - ty))
-    return float((total - tx - ty + txy - 2 * swaps) / denominator) if denominator else float("nan")
+    return float(score / denominator) if denominator else float("nan")
+
 
+def tau_b(pairs: DataFrame, part_pairs: int = PART_PAIRS) -> tuple[int, float]:
+    """Number of rows and tau-b of the columns x and y.
 
-def concept_correlation(semantic: DataFrame, taxonomic: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, tau: Kendall's tau-b between the similarities (keys, a, b, sim) of the same pairs, one task a round."""
-    both = semantic.select(*keys, "a", "b", F.round("sim", 9).alias("x")).join(taxonomic.select(*keys, "a", "b", F.round("sim", 9).alias("y")), [*keys, "a", "b"])
+    Rows are cut into ranges of x, equal ones together. Inside a range they are compared by a merge sort; rows of two
+    ranges compare as their ranges do, so the counts of each y by range are enough. The driver gets those counts:
+    y must take few values, as Wu-Palmer similarities do, which are quotients of depths.
+    """
+    pairs = stash(pairs.select("x", "y"), "tau-pairs")
+    n = pairs.count()
+    parts = max(1, -(-n // part_pairs))
+    rows = stash(pairs.repartitionByRange(parts, "x").select("x", "y", F.spark_partition_id().alias("part")), "tau-ranges")
+    counts = rows.groupBy("part", "y").agg(F.count("*").alias("c")).toPandas()
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, len(pdf), kendall_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy()))], columns=[*keys, "n", "tau"])
+        return pd.DataFrame([(key[0], *kendall_score(pdf["x"].to_numpy(), pdf["y"].to_numpy())[:2])], columns=["part", "score", "tx"])
 
-    kinds = dict(both.dtypes)
-    return both.select(*keys, "x", "y").groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, tau double")
+    inside = rows.groupBy("part").applyInPandas(kernel, "part int, score long, tx long").agg(F.coalesce(F.sum("score"), F.lit(0)), F.coalesce(F.sum("tx"), F.lit(0))).first()
+    ys = np.unique(counts["y"].to_numpy(float)) if n else np.zeros(0)
+    below, score = np.zeros(len(ys), object), int(inside[0])
+    for _, own in sorted(counts.groupby("part"), key=lambda x: x[0]):
+        here = np.zeros(len(ys), object)
+        here[np.searchsorted(ys, own["y"].to_numpy(float))] = [int(c) for c in own["c"]]
+        less = np.cumsum(below) - below
+        score += int((here * (less - (below.sum() - below - less))).sum()) if len(ys) else 0
+        below = below + here
+    ty = int(sum(c * (c - 1) // 2 for c in below))
+    return n, tau_of(n, score, int(inside[1]), ty)
+
+
+def concept_correlation(nodes: DataFrame, vectors: DataFrame, strict: DataFrame, depth: DataFrame) -> DataFrame:
+    """One row, n and tau: Kendall's tau-b between the similarities of vectors and of places in the graph, over all pairs
+    of the nodes (node) that have a vector."""
+    n, tau = tau_b(similarity_pairs(*node_blocks(nodes, strict, depth, vectors)))
+    return nodes.sparkSession.createDataFrame([(n, tau)], "n long, tau double")
 
 
 def sample_rounds(nodes: DataFrame, rounds: int, size: int, seed: int = 42) -> DataFrame:
@@ -87,10 +188,7 @@ def sampled_correlation(vectors: DataFrame, strict: DataFrame, depth: DataFrame,
     picks = stash(sample_rounds(vectors.select("node"), rounds, size, seed), "rounds")
     taus = None
     for r in range(rounds):
-        own = picks.filter(F.col("round") == r).select("node")
-        sem = cosine_pairs(vectors.join(own, "node", "left_semi")).withColumn("round", F.lit(r))
-        tax = wu_palmer(own, strict, depth).withColumn("round", F.lit(r))
-        one = stash(concept_correlation(sem, tax, ["round"]), "tau")
+        one = concept_correlation(picks.filter(F.col("round") == r), vectors, strict, depth)
         taus = one if taus is None else taus.unionByName(one)
     return taus.agg(F.count("*").alias("rounds"), F.avg("tau").alias("mean_tau"), F.stddev_pop("tau").alias("std_tau"))
 
@@ -101,12 +199,40 @@ def leaf_groups(edges: DataFrame) -> DataFrame:
     return edges.join(inner, "child", "left_anti").select(F.col("parent").alias("grp"), F.col("child").alias("node")).distinct()
 
 
-def cohesion(groups: DataFrame, vectors: DataFrame) -> DataFrame:
-    """grp, n, cohesion: least similarity inside each group of two or more (groups: grp, node)."""
-    g = groups.join(vectors, "node").select("grp", "node", "vec")
-    a, b = g.select("grp", F.col("node").alias("a"), F.col("vec").alias("u")), g.select("grp", F.col("node").alias("b"), F.col("vec").alias("v"))
-    sims = a.join(b, "grp").filter("a < b").groupBy("grp").agg(F.min(dot(F.col("u"), F.col("v"))).alias("cohesion"))
-    return g.groupBy("grp").agg(F.count("*").alias("n")).join(sims, "grp").select("grp", "n", "cohesion")
+def member_blocks(groups: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
+    """grp, block, vecs: each group's vectors in blocks of about ``block_rows``, by hash, so that none grows with its group."""
+    g = groups.select("grp", "node").distinct().join(vectors.select("node", F.col("vec").cast("array<double>").alias("vec")), "node")
+    size = g.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    cut = g.join(size, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return cut.groupBy("grp", "block").agg(F.collect_list("vec").alias("vecs"))
+
+
+def _products(pairs: DataFrame, kind: str, measure: Callable[..., float], schema: str) -> DataFrame:
+    """grp and what ``measure`` makes of each row's (vecs, others, bar)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(r.grp, measure(np.stack(r.vecs), np.stack(r.others), r.bar)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(got, columns=["grp", schema.split()[0]])
+
+    return pairs.select("grp", "vecs", "others", F.col("bar").cast("double").alias("bar")).mapInPandas(run, f"grp {kind}, {schema}")
+
+
+def cohesion(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """grp, n, cohesion: least similarity inside each group of two or more (groups: grp, node), block by block."""
+    blocks = stash(member_blocks(groups, vectors, block_rows), "grp-blocks")
+    other = blocks.select("grp", F.col("block").alias("with"), F.col("vecs").alias("others"))
+    pairs = blocks.join(other, "grp").filter("block <= with").select("grp", "vecs", "others", F.when(F.col("block") == F.col("with"), 1.0).otherwise(0.0).alias("bar"))
+
+    def least(a: np.ndarray, b: np.ndarray, same: float) -> float:
+        sim = a @ b.T
+        if same:
+            sim = sim[np.triu_indices(len(a), 1)]
+        return float(sim.min()) if sim.size else float("inf")
+
+    low = _products(pairs, dict(groups.dtypes)["grp"], least, "low double").groupBy("grp").agg(F.min("low").alias("cohesion"))
+    n = blocks.groupBy("grp").agg(F.sum(F.size("vecs")).alias("n"))
+    return n.join(low, "grp").filter("n >= 2").select("grp", "n", "cohesion")
 
 
 def robustness(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -114,36 +240,31 @@ def robustness(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048, sa
 
     Intruders are pairs of a member and an outside vector more similar than the group's cohesion. Vectors are cut into
     blocks of ``block_rows``; a block is multiplied with the groups' members, block by block, in one task, so no pair
-    becomes a row. With ``sample`` only the outsiders of least hash are looked at and the count is scaled up.
+    becomes a row. Groups' own members are counted with the outsiders at first, and taken off again. With ``sample`` only
+    the outsiders of least hash are looked at and the count is scaled up.
     """
-    g = groups.join(vectors.select("node"), "node", "left_semi").distinct()
-    coh = stash(cohesion(g, vectors), "cohesion")
-    chars = stash(g.select("node").distinct().join(vectors, "node"), "characters")
+    kind = dict(groups.dtypes)["grp"]
+    g = stash(groups.select("grp", "node").join(vectors.select("node"), "node", "left_semi").distinct(), "groups")
+    coh = stash(cohesion(g, vectors, block_rows), "cohesion")
+    chars = stash(g.select("node").distinct().join(vectors.select("node", "vec"), "node"), "characters")
     n_all = chars.count()
-    n_blocks = max(1, -(-n_all // block_rows))
-    members = g.join(coh, "grp").join(vectors, "node").select("grp", "cohesion", "node", F.col("vec").cast("array<double>").alias("vec"))
     outside = chars if sample is None else chars.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample)
-    block = F.pmod(F.xxhash64("node"), F.lit(n_blocks))
-    out_blocks = outside.select(block.alias("ob"), "node", F.col("vec").cast("array<double>").alias("vec")).groupBy("ob").agg(F.collect_list("node").alias("nodes"), F.collect_list("vec").alias("vecs"))
-    in_blocks = members.select(block.alias("ib"), "grp", "cohesion", "node", "vec").groupBy("ib", "grp", "cohesion").agg(F.collect_list("vec").alias("mine"))
-    tasks = in_blocks.withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(out_blocks.withColumn("ob", F.col("ob").cast("int")), "ob").select("ob", "grp", "cohesion", "mine", "vecs")
-
-    def count(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                a, b = np.stack(r.mine), np.stack(r.vecs)
-                rows.append((r.grp, int((a @ b.T > r.cohesion + 1e-12).sum())))
-            yield pd.DataFrame(rows, columns=["grp", "hits"])
-
-    kind = dict(groups.dtypes)["grp"]
-    hits = tasks.mapInPandas(count, f"grp {kind}, hits long").groupBy("grp").agg(F.sum("hits").alias("hits"))
-    own = g.join(outside.select("node"), "node", "left_semi").join(coh.select("grp", "cohesion"), "grp").join(vectors, "node")
-    mine = g.join(coh.select("grp"), "grp", "left_semi").join(vectors, "node").select("grp", F.col("node").alias("m"), F.col("vec").alias("u"))
-    inner = own.join(mine, "grp").filter(dot(F.col("vec"), F.col("u")) > F.col("cohesion") + 1e-12).groupBy("grp").agg(F.count("*").alias("inner"))
-    seen = g.join(outside.select("node"), "node", "left_semi").groupBy("grp").agg(F.count("*").alias("own_out"))
+    outside = stash(outside, "outside")
     n_out = outside.count()
-    j = coh.join(hits, "grp", "left").join(inner, "grp", "left").join(seen, "grp", "left").fillna(0, ["hits", "inner", "own_out"])
+    n_blocks = max(1, -(-n_out // block_rows))
+    out_blocks = outside.select(F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int").alias("ob"), F.col("vec").cast("array<double>").alias("vec")).groupBy("ob").agg(F.collect_list("vec").alias("others"))
+    members = stash(member_blocks(g.join(coh.select("grp"), "grp", "left_semi"), vectors, block_rows).join(coh.select("grp", F.col("cohesion").alias("bar")), "grp"), "members")
+
+    def above(a: np.ndarray, b: np.ndarray, bar: float) -> int:
+        return int((a @ b.T > bar + 1e-12).sum())
+
+    tasks = members.withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(out_blocks, "ob")
+    hits = _products(tasks, kind, above, "h long").groupBy("grp").agg(F.sum("h").alias("hits"))
+    seen = g.join(outside.select("node"), "node", "left_semi").join(coh.select("grp"), "grp", "left_semi")
+    own = member_blocks(seen, vectors, block_rows).select("grp", F.col("vecs").alias("others"))
+    inner = _products(members.join(own, "grp"), kind, above, "h long").groupBy("grp").agg(F.sum("h").alias("inner"))
+    own_out = seen.groupBy("grp").agg(F.count("*").alias("own_out"))
+    j = coh.join(hits, "grp", "left").join(inner, "grp", "left").join(own_out, "grp", "left").fillna(0, ["hits", "inner", "own_out"])
     scale = (F.lit(n_all) - F.col("n")) / (F.lit(n_out) - F.col("own_out"))
     raw = F.col("hits") - F.col("inner")
     intruders = raw if sample is None else F.when(F.lit(n_out) > F.col("own_out"), raw * scale).otherwise(F.lit(0.0))

@@ -64,9 +64,15 @@ def fact_verdicts(triples: DataFrame, labelled: DataFrame, unlabelled: DataFrame
 
 
 def redundant_types(types: DataFrame, strict: DataFrame) -> DataFrame:
-    """inst, cls: types that lie above another type of the same instance."""
-    other = types.select("inst", F.col("cls").alias("node"))
-    return other.join(strict.filter("node <> anc"), "node").select("inst", F.col("anc").alias("cls")).join(types, ["inst", "cls"], "left_semi").distinct()
+    """inst, cls: types that lie above another type of the same instance.
+
+    Types come together by instance, and only instances with several go on: their pairs of classes, each once, meet the
+    closure, so neither single types nor popular classes are followed upward.
+    """
+    many = types.select("inst", "cls").distinct().groupBy("inst").agg(F.collect_set("cls").alias("own")).filter("size(own) > 1")
+    pairs = many.select("inst", F.explode("own").alias("node"), "own").select("inst", "node", F.explode("own").alias("cls")).filter("node <> cls")
+    kinds = pairs.select("node", "cls").distinct().join(strict.select("node", F.col("anc").alias("cls")), ["node", "cls"], "left_semi")
+    return pairs.join(kinds, ["node", "cls"], "left_semi").select("inst", "cls").distinct()
 
 
 def retype(types: DataFrame, before: DataFrame, after: DataFrame, mapping: DataFrame, root: str, strict_before: DataFrame, strict_after: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoforge.operators.closure import closure, depths, descendants, nearest_kept, nodes_of, strict_closure
+from taxoforge.operators.closure import HOPS, closure, depths, descendants, nearest_kept, nodes_of, strict_closure
 from taxoforge.scratch import stash
 
 
@@ -106,16 +106,30 @@ def filter_by_usage(edges: DataFrame, counts: DataFrame, mapped: DataFrame, root
     return transitive_reduction(linked.distinct())
 
 
-def validate(edges: DataFrame, strict: DataFrame | None = None) -> DataFrame:
+def has_cycle(edges: DataFrame) -> bool:
+    """Are there cycles? Edges whose child has no child, or whose parent no parent, are peeled off, HOPS layers a round."""
+    e = edges.select("child", "parent")
+    n = e.count()
+    while n:
+        for _ in range(HOPS):
+            e = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+            e = e.select("child", "parent")
+        e = stash(e, "peeled")
+        left = e.count()
+        if left == n:
+            return True
+        n = left
+    return False
+
+
+def validate(edges: DataFrame) -> DataFrame:
     """One row: n_nodes, n_edges, n_roots, acyclic, connected (weakly, through the one root)."""
     e = stash(edges.select("child", "parent").distinct(), "edges")
-    strict = strict if strict is not None else strict_closure(e)
-    nodes = nodes_of(e)
+    nodes = stash(nodes_of(e), "nodes")
     roots = nodes.join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    loops = strict.filter("node = anc").agg(F.count("*").alias("loops"))
-    under = strict.join(roots.withColumnRenamed("node", "anc"), "anc", "left_semi").select("node").distinct().agg(F.count("*").alias("under"))
-    base = nodes.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges"))).crossJoin(roots.agg(F.count("*").alias("n_roots"))).crossJoin(loops).crossJoin(under)
-    return base.select("n_nodes", "n_edges", "n_roots", (F.col("loops") == 0).alias("acyclic"), ((F.col("n_roots") == 1) & (F.col("under") + 1 == F.col("n_nodes"))).alias("connected"))
+    n_nodes, n_edges, n_roots = nodes.count(), e.count(), roots.count()
+    connected = n_roots == 1 and depths(e, roots.first()["node"]).count() == n_nodes
+    return edges.sparkSession.createDataFrame([(n_nodes, n_edges, n_roots, not has_cycle(e), connected)], "n_nodes long, n_edges long, n_roots long, acyclic boolean, connected boolean")
 
 
 def require_valid(edges: DataFrame) -> DataFrame:

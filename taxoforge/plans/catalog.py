@@ -782,11 +782,19 @@ def q_labels(spark: SparkSession, d: str) -> DataFrame:
 # ---- evaluation --------------------------------------------------------------------------------------------------
 
 
-@query("kg_wu_palmer", sql(more="m AS (SELECT d.node, depth + 1 AS d FROM depth d WHERE d.node LIKE 'N:%' OR d.node LIKE 'SEG:%' OR d.node LIKE 'C:%')", body="SELECT a.node AS a, b.node AS b, round(coalesce(2.0 * max(d.depth + 1) / (a.d + b.d), 0.0), 6) AS sim FROM m a JOIN m b ON a.node < b.node LEFT JOIN strict x ON x.node = a.node AND EXISTS (SELECT 1 FROM strict y WHERE y.node = b.node AND y.anc = x.anc) LEFT JOIN depth d ON d.node = x.anc GROUP BY a.node, b.node, a.d, b.d"))
+@query("kg_wu_palmer", sql(more="""cm AS (SELECT x.node AS a, y.node AS b, max(d.depth + 1) AS da FROM strict x JOIN strict y ON y.anc = x.anc AND x.node < y.node JOIN depth d ON d.node = x.anc WHERE x.node <> x.anc AND y.node <> y.anc GROUP BY 1, 2),
+pr AS (SELECT p.node AS a, q.node AS b, p.depth + q.depth + 2 AS dd FROM depth p JOIN depth q ON p.node < q.node)""", body="SELECT round(coalesce(2.0 * da / dd, 0.0), 6) AS sim, count(*) AS pairs FROM pr LEFT JOIN cm ON cm.a = pr.a AND cm.b = pr.b GROUP BY 1"))
 def q_wu_palmer(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of all classes, counted by their similarity."""
     e = kg(spark, d, "kg_edges")
-    members = nodes_of(e).filter("node like 'N:%' or node like 'SEG:%' or node like 'C:%'")
-    return evaluation.wu_palmer(members, strict_closure(e), depths(e, ROOT)).select("a", "b", F.round("sim", 6).alias("sim"))
+    return evaluation.similarity_histogram(nodes_of(e), strict_closure(e), depths(e, ROOT))
+
+
+@query("kg_wu_palmer_places", sql(e="kg_places", more="m AS (SELECT d.node, depth + 1 AS d FROM depth d)", body="SELECT a.node AS a, b.node AS b, round(coalesce(2.0 * max(d.depth + 1) / (a.d + b.d), 0.0), 6) AS sim FROM m a JOIN m b ON a.node < b.node LEFT JOIN strict x ON x.node = a.node AND EXISTS (SELECT 1 FROM strict y WHERE y.node = b.node AND y.anc = x.anc) LEFT JOIN depth d ON d.node = x.anc GROUP BY a.node, b.node, a.d, b.d"))
+def q_wu_palmer_places(spark: SparkSession, d: str) -> DataFrame:
+    """Pair by pair, on the whole graph of regions and nations."""
+    e = kg(spark, d, "kg_places")
+    return evaluation.wu_palmer(nodes_of(e), strict_closure(e), depths(e, ROOT)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 VEC = "v AS (SELECT vec_id AS node, label AS grp, cast(embedding AS double[]) AS vec FROM embeddings)"
@@ -834,22 +842,28 @@ def q_leaf_groups(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.leaf_groups(kg(spark, d, "kg_edges"))
 
 
-CSC_ITEMS = "it AS (SELECT node, depth + 1 AS d, row_number() OVER (ORDER BY node) - 1 AS i FROM depth WHERE node LIKE 'N:%' OR node LIKE 'R:%')"
-CSC = CSC_ITEMS + ", vv AS (SELECT it.node, it.d, v.vec FROM it JOIN v ON v.node = it.i), " + """pr AS (SELECT a.node AS a, b.node AS b, round(list_dot_product(a.vec, b.vec), 9) AS x,
+CSC = """it AS (SELECT node, depth + 1 AS d, row_number() OVER (ORDER BY node) - 1 AS i FROM depth), vv AS (SELECT it.node, it.d, v.vec FROM it JOIN v ON v.node = it.i),
+pr AS (SELECT a.node AS a, b.node AS b, round(list_dot_product(a.vec, b.vec), 9) AS x,
   round(coalesce(2.0 * (SELECT max(d.depth + 1) FROM strict s JOIN strict t ON t.anc = s.anc JOIN depth d ON d.node = s.anc WHERE s.node = a.node AND t.node = b.node) / (a.d + b.d), 0.0), 9) AS y FROM vv a JOIN vv b ON a.node < b.node),
 nu AS (SELECT *, row_number() OVER (ORDER BY a, b) AS i FROM pr), pp AS (SELECT sign(p.x - q.x) * sign(p.y - q.y) AS s, (p.x = q.x) AS tx, (p.y = q.y) AS ty FROM nu p JOIN nu q ON p.i < q.i)"""
 
 
-@query("kg_csc", sql(more=VEC + ", " + CSC, body="SELECT (SELECT count(*) FROM pr) AS n, round(sum(s) / (sqrt(cast(count(*) FILTER (NOT tx) AS double)) * sqrt(cast(count(*) FILTER (NOT ty) AS double))), 6) AS tau FROM pp"))
+@query("kg_csc_places", sql(e="kg_places", more=VEC + ", " + CSC, body="SELECT (SELECT count(*) FROM pr) AS n, round(sum(s) / (sqrt(cast(count(*) FILTER (NOT tx) AS double)) * sqrt(cast(count(*) FILTER (NOT ty) AS double))), 6) AS tau FROM pp"))
+def q_csc_places(spark: SparkSession, d: str) -> DataFrame:
+    """On the whole graph of regions and nations, small enough for pairs of pairs in SQL."""
+    e = kg(spark, d, "kg_places")
+    deep = depths(e, ROOT)
+    own = deep.withColumn("i", F.row_number().over(Window.orderBy("node")) - 1)
+    vec = own.join(kg(spark, d, "kg_vectors").select(F.col("node").alias("i"), "vec"), "i").select("node", "vec")
+    return evaluation.concept_correlation(nodes_of(e), vec, strict_closure(e), deep).select("n", F.round("tau", 6).alias("tau"))
+
+
+@query("kg_csc")
 def q_csc(spark: SparkSession, d: str) -> DataFrame:
+    """All classes, with the vectors of their labels. Pairs of pairs are too many for SQL; tested against brute force."""
     e = kg(spark, d, "kg_edges")
-    deep = depths(e, ROOT)
-    own = deep.filter("node like 'N:%' or node like 'R:%'").withColumn("i", F.row_number().over(Window.orderBy("node")) - 1)
-    vec = kg(spark, d, "kg_vectors").select(F.col("node").alias("i"), "vec").filter("i < 1000")
-    items = own.join(vec, "i").select("node", "vec")
-    sem = evaluation.cosine_pairs(items).withColumn("round", F.lit(0))
-    tax = evaluation.wu_palmer(items.select("node"), strict_closure(e), deep).withColumn("round", F.lit(0))
-    return evaluation.concept_correlation(sem, tax, ["round"]).select("n", F.round("tau", 6).alias("tau"))
+    vectors = stash(judge.embed_labels(kg(spark, d, "kg_labels")), "vectors")
+    return evaluation.concept_correlation(nodes_of(e), vectors, strict_closure(e), depths(e, ROOT)).select("n", F.round("tau", 6).alias("tau"))
 
 
 @query("kg_csc_sampled")

@@ -57,6 +57,9 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
         "kg_chained": (["kg_noisy", "nation"], """
             SELECT child, parent FROM kg_noisy UNION SELECT 'X:up', 'C:place' UNION SELECT 'X:mid', 'X:up' UNION SELECT 'X:low', 'X:mid'
             UNION SELECT concat('X:leaf', cast(n_nationkey AS string)), 'X:low' FROM nation UNION SELECT 'X:side', 'C:agent' UNION SELECT 'C:customer', 'X:side'"""),
+        "kg_places": (["region", "nation"], """
+            SELECT 'C:place' AS child, 'C:entity' AS parent UNION ALL SELECT DISTINCT concat('R:', cast(r_regionkey AS string)), 'C:place' FROM region
+            UNION ALL SELECT DISTINCT concat('N:', cast(n_nationkey AS string)), concat('R:', cast(n_regionkey AS string)) FROM nation"""),
         "kg_counts": (["kg_types"], "SELECT cls, count(*) AS cnt FROM kg_types GROUP BY cls"),
         "kg_untyped": (["part", "customer"], """
             SELECT concat('part:', cast(p_partkey AS string)) AS inst, concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)) AS cls FROM part WHERE p_partkey % 7 <> 0

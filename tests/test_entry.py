@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["kg_typecheck_verdicts", "kg_closure_cyclic", "kg_transitive_reduction", "kg_retype", "kg_majority", "kg_lca_metrics", "kg_fact_verdicts", "kg_csc", "kg_robustness"]
+SOME = ["kg_typecheck_verdicts", "kg_closure_cyclic", "kg_transitive_reduction", "kg_retype", "kg_majority", "kg_lca_metrics", "kg_fact_verdicts", "kg_csc_places", "kg_wu_palmer", "kg_robustness", "kg_rewire_candidates", "kg_io_predictions", "kg_io_mapping"]
 
 
 def test_every_oracle_has_a_query():
