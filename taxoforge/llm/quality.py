@@ -9,6 +9,7 @@ sample held back from training calibrates its probabilities.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,7 @@ WINDOW = 2
 HIDDEN = 24
 SEED = 11
 
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _KIND = np.full(256, 1 << 5, np.uint8)  # other signs
 _KIND[0x61:0x7B] = 1 << 0
 _KIND[0x41:0x5B] = 1 << 1
@@ -92,33 +94,76 @@ def normalize(sums: np.ndarray) -> np.ndarray:
     return (sums / np.maximum(size, 1e-6)).astype(np.float32)
 
 
-def pooled(u: Units, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """A row per text: mean word vector, mean shape vector, mean product of adjacent words' index vectors, spread."""
+def pieces(text: bytes, size: int = BATCH_BYTES) -> Iterator[bytes]:
+    """A text cut at white space into pieces of ``size`` bytes or, where a word is longer, one word more."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            m = _BLANK.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+def pool_sums(u: Units, vectors: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row per text: words; sums of word vectors, shape vectors, products of adjacent index vectors, index vectors and
+    adjacent equal words. Memory goes with the words of the batch."""
     n_texts = len(u.first) - 1
     count = np.diff(u.first)
     full = np.flatnonzero(count)
-    out = np.zeros((n_texts, 4 * DIM + 2), np.float32)
+    out = np.zeros((n_texts, 4 * DIM + 1), np.float64)
     if len(full):
         at = u.first[full]
-        n = count[full, None].astype(np.float32)
-        word, shape = vectors[u.word], vectors[u.shape]
-        out[full, :DIM] = np.add.reduceat(word, at) / n
-        out[full, DIM : 2 * DIM] = np.add.reduceat(shape, at) / n
-        own = index[u.word]
-        twin = np.zeros_like(own)
-        twin[:-1] = own[1:] * own[:-1]
         ends = u.first[full + 1] - 1
-        twin[ends] = 0
-        out[full, 2 * DIM : 3 * DIM] = np.add.reduceat(twin, at) / n
-        out[full, 3 * DIM : 4 * DIM] = (np.add.reduceat(own, at) / n) ** 2
-        out[full, -2] = np.log1p(count[full])
+        out[full, :DIM] = np.add.reduceat(vectors[u.word], at)
+        out[full, DIM : 2 * DIM] = np.add.reduceat(vectors[u.shape], at)
+        own = index[u.word]
+        out[full, 3 * DIM : 4 * DIM] = np.add.reduceat(own, at)
+        own[:-1] *= own[1:]
+        own[ends] = 0
+        out[full, 2 * DIM : 3 * DIM] = np.add.reduceat(own, at)
         same = np.zeros(len(u.word), np.float32)
         same[:-1] = u.word[1:] == u.word[:-1]
         same[ends] = 0
-        out[full, -1] = np.add.reduceat(same, at) / count[full]
+        out[full, -1] = np.add.reduceat(same, at)
+    return count, out
+
+
+def pool_of(count: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """A row per text: mean word vector, mean shape vector, mean product of adjacent words' index vectors, spread."""
+    out = np.zeros((len(count), 4 * DIM + 2), np.float32)
+    full = np.flatnonzero(count)
+    mean = sums[full] / count[full, None]
+    out[full, : 3 * DIM] = mean[:, : 3 * DIM]
+    out[full, 3 * DIM : 4 * DIM] = mean[:, 3 * DIM : 4 * DIM] ** 2
+    out[full, -2] = np.log1p(count[full])
+    out[full, -1] = mean[:, -1]
     return out
 
 
+def pooled_texts(texts: list[bytes], vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The pools of texts: short ones together, long ones piece by piece, so that memory is that of a piece."""
+    counts, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), 4 * DIM + 1))
+    short = [i for i, t in enumerate(texts) if len(t) <= 2 * BATCH_BYTES]
+    counts[short], sums[short] = pool_sums(units_of([texts[i] for i in short]), vectors, index)
+    for i, t in enumerate(texts):
+        if len(t) > 2 * BATCH_BYTES:
+            last = None
+            for part in pieces(t):
+                u = units_of([part])
+                if not len(u.word):
+                    continue
+                n, one = pool_sums(u, vectors, index)
+                counts[i] += n[0]
+                sums[i] += one[0]
+                if last is not None:  # the two words on both sides of the cut
+                    sums[i, 2 * DIM : 3 * DIM] += index[last] * index[u.word[0]]
+                    sums[i, -1] += last == u.word[0]
+                last = u.word[-1]
+    return pool_of(counts, sums)
+
+
 @dataclass
 class Network:
     """Standardized inputs, tanh layer, logit over a temperature."""
@@ -194,26 +239,31 @@ class Model:
     network: Network
 
     def score(self, texts: list[bytes], index: np.ndarray) -> np.ndarray:
-        return self.network.score(pooled(units_of(texts), self.vectors, index))
+        return self.network.score(pooled_texts(texts, self.vectors, index))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from at most ``sample_docs`` labelled documents that aren't held out, the smallest by hash of the id.
 
-    Two passes over the sample, both on the executors: context vectors, summed as one matrix of fixed size per task,
+    Of rows that repeat an id one text is learned from, the least by hash. Two passes over the sample, both on the executors: context vectors, summed as one matrix of fixed size per task,
     then the pools of the labelled documents. The driver gets those matrices and pools, whose sizes are bounded.
     """
     chosen = labels.filter(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)
-    sample = _texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
-    sample = stash(sample, "quality-sample")
+    sample = _texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    one = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))  # one row an id
+    sample = stash(one.select("doc_id", "text", "label"), "quality-sample")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sums = index_vectors(), np.zeros((WORDS + SHAPES, DIM), np.float32)
         seen = False
         for _, texts in text_batches(batches):
             seen = True
-            context_sums(units_of(texts), index, sums)
+            context_sums(units_of([t for t in texts if len(t) <= 2 * BATCH_BYTES]), index, sums)
+            for t in texts:
+                if len(t) > 2 * BATCH_BYTES:  # neighbours are looked for within a piece
+                    for part in pieces(t):
+                        context_sums(units_of([part]), index, sums)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
         trim_worker()
@@ -227,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
         for (ids, labels_), texts in text_batches(batches, (0, 2)):
-            x = pooled(units_of(texts), sent.value, index)
+            x = pooled_texts(texts, sent.value, index)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels_, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     rows = sorted(sample.mapInArrow(pools, "doc_id long, label int, x binary").collect())
@@ -238,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier of good quality), predicted (1 if score >= ``cut``).
 
-    Whole texts are read, however long. Null and wordless texts get the score of an empty pool; repeated rows stay,
+    Whole texts are read, however long, those of over 2 * BATCH_BYTES piece by piece. Null and wordless texts get the score of an empty pool; repeated rows stay,
     each with the same score; a null id counts as held out; without labels of both kinds every score is the labels'
     mean, or 1 without any; an empty table gives no rows. Only the text is an input.
     """
