@@ -186,7 +186,7 @@ def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, id_col: str =
 
     Score is the Euclidean distance in double precision; nearest first, ties to the smaller id; a query's own id is no
     candidate; queries with fewer candidates get all. Null, zero, empty and non-finite vectors take no part, nor do null
-    ids or vectors of an odd length; repeated rows count once per row; an empty table gives no rows; other columns are
+    ids or vectors of an odd length; repeated rows count once per row, of a query's the least vector asks; an empty table gives no rows; other columns are
     not read. Queries go out in blocks of bounded size, each against all blocks of the index.
     """
     index, books, d = build_index(vectors, id_col=id_col, vec_col=vec_col)
@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, id_col: str =
     schema = "query_id long, vec_id long, score double"
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = stash(usable(vectors, id_col, vec_col).filter((F.size("v") == d) & (F.pmod("vec_id", F.lit(every)) == 0)).dropDuplicates(["vec_id"]), "nn-queries")
+    asked = stash(usable(vectors, id_col, vec_col).filter((F.size("v") == d) & (F.pmod("vec_id", F.lit(every)) == 0)).groupBy("vec_id").agg(F.min("v").alias("v")), "nn-queries")
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = []
     for b in range(n_blocks):
