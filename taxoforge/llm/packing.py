@@ -35,12 +35,20 @@ CACHE_WORDS = 700_000
 CHUNK_BYTES = 1 << 20
 
 
+#: Texts on which words one by one must give what whole texts give.
+PROBES = [
+    "The quick Brown FOX jumped, over 13 lazy dogs.  It's\tnot far\n\nfrom THE end...",
+    " leading and trailing  ", "A", "iPhone McDonald's e.g. U.S.A., etc.; (brackets) [x]{y} a-b c_d x=1,5.", "Ünïcode ÀÉ straße 日本語 😀😀 \u00a0 end", "",
+]
+
+
 class WordTokenizer:
     """Ids of whole texts, each distinct space-separated word being tokenized once.
 
     Exact for tokenizers that drop white space and never match across it: texts are cut at ASCII white space only,
     A-Z are lower-cased first where the tokenizer itself lower-cases, and full stops and commas after an ASCII letter
-    are looked up apart, as the tokenizer's pattern splits there anyway.
+    are looked up apart, as the tokenizer's pattern splits there anyway. Whether a tokenizer is of this kind is tried on
+    PROBES when it is loaded; others, and such as keep case, get their texts as they are or whole.
     """
 
     def __init__(self, path: str):
@@ -48,6 +56,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        want = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES]
+        for self.lower, self.by_word in ((True, True), (False, True), (False, False)):
+            self.reset()
+            if [list(x) for x in self.encode(PROBES)] == want:
+                break
         self.reset()
 
     def reset(self) -> None:
@@ -112,7 +125,9 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
             self.shrink(CACHE_WORDS // 2)
-        words = [t.encode("utf-8").lower().split() for t in texts]
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        words = [(t.encode("utf-8").lower() if self.lower else t.encode("utf-8")).split() for t in texts]
         at = [np.fromiter(map(self.index.__getitem__, w), np.int64, len(w)) for w in words]
         self._learn()
         met = np.bincount(np.concatenate(at), minlength=len(self.index)) if at else self.met
