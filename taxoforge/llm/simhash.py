@@ -59,15 +59,16 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp for every document."""
+    """doc_id, fp, th (hash of the text) for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, batch.column(2)], ["doc_id", "fp", "th"])
         trim_worker()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text"))
+    return texts.withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def squeeze(fp: np.ndarray, start: int, width: int) -> np.ndarray:
@@ -166,7 +167,8 @@ def ball_links(nodes: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long), fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links.
+    """doc_id, fp (signed long), fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links; th
+    (hash of the text) and root (of the component's fingerprints one) tell rows and components with one id apart.
 
     Fingerprints link at RADIUS or fewer differing bits. Texts without words, null texts too, have fingerprint zero and
     link like others; texts of fewer than ``width`` words hash as one shingle. Equal fingerprints are one node, so
@@ -180,8 +182,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     release_shuffles(docs.sparkSession)
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.join(lowest, "root").select("fp", "component_id")
+    labels = named.join(lowest, "root").select("fp", "component_id", "root")
     n_docs = marked.count()
     sizes = marked.groupBy("fp").agg(F.count("*").alias("copies"))
     out = heavy_join(marked, labels.join(sizes, "fp"), ["fp"], "copies", n_docs)
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th", "root")
