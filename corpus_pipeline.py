@@ -27,13 +27,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document that gives it its name stays, one row of each id; of rows without an id
-    one of each text stays."""
-    groups = simhash.near_groups(docs)
-    kept = stash(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "near-kept")
+    """Of each near-duplicate group one row stays: of the document that gives it its name, or of rows without an id where
+    there is no other, the text of least fingerprint and hash. Rows that repeat an id with unlike texts are documents of
+    their own, as they are when groups are made; of equal rows one stays, the least by its other columns."""
+    groups = simhash.near_groups(docs.select(*COLUMNS)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("root").agg(F.min(F.struct("fp", "th")).alias("low"), F.first("component_id", ignorenulls=True).alias("kept_id"))
+    kept = stash(kept.select("kept_id", F.col("low.th").alias("kept_th")).distinct(), "near-kept")
     release_shuffles(spark)
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]).select(*COLUMNS))
+    own = docs.select(*COLUMNS).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("string")))
+    named = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
+    one = named.groupBy("doc_id", "th").agg(F.first("text", ignorenulls=True).alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The network's scores have no SQL form; tests hold the stages against brute-force versions.
+#: The network's scores have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
