@@ -46,6 +46,17 @@ def test_quality_learns_and_scores_all(spark, odd, empty):
     assert kept.columns == odd.columns
 
 
+def test_long_texts_are_pooled_in_pieces(monkeypatch):
+    rnd = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" + "  " * int(x % 3) for x in rnd.integers(0, 300, n)).encode() for n in (5, 4000, 300, 9000)] + [b"", b"x" * 5000 + b" y", b" \n "]
+    vectors, index = rnd.normal(size=(quality.WORDS + quality.SHAPES, quality.DIM)).astype(np.float32), quality.index_vectors()
+    whole = quality.pooled_texts(texts, vectors, index)
+    monkeypatch.setattr(quality, "BATCH_BYTES", 700)
+    monkeypatch.setattr(quality.pieces, "__defaults__", (700,))
+    assert [b"".join(quality.pieces(t)) for t in texts] == texts and len(list(quality.pieces(texts[1]))) > 10
+    assert np.abs(quality.pooled_texts(texts, vectors, index) - whole).max() < 1e-5
+
+
 def test_held_out_rule(spark):
     got = spark.range(200).select("id", quality.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
@@ -117,13 +128,35 @@ def test_line_dedup(docs, odd, empty):
 def test_line_dedup_is_reversible(spark):
     line = "the very same line that stands in many of these documents"
     df = spark.createDataFrame([(i, line) for i in range(6)], "doc_id long, text string")
-    all_ = line_dedup.make_postings(df)
-    count = lambda p: {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(df, postings=p).collect()}
-    assert count(all_) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+    all_ = line_dedup.build_state(df)
+    count = lambda s: {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(df, state=s).collect()}
+    keys = lambda s: sum(int((np.frombuffer(r["filter"], np.uint16) > 0).sum()) for r in s.filters.collect())
+    assert count(all_) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0} and keys(all_) == 1
     gone = line_dedup.delete_docs(all_, spark.createDataFrame([(5,), (4,)], "doc_id long"))
-    assert set(count(gone).values()) == {0}
+    assert set(count(gone).values()) == {0} and keys(gone) == 0
     back = line_dedup.insert_docs(gone, df.filter("doc_id = 4"))
-    assert count(back) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert count(back) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0} and keys(back) == 1
+
+
+def test_line_state_after_changes_equals_a_fresh_one(spark, docs, monkeypatch):
+    parts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(3))).cache()
+    cut = lambda *n: parts.filter(F.col("part").isin(*n)).drop("part")
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    state = line_dedup.build_state(cut(0, 1), min_docs=2)
+    assert state.n_shards > 1
+    state = line_dedup.delete_docs(line_dedup.insert_docs(state, cut(2, 1)), cut(0).select("doc_id"))
+    fresh = line_dedup.build_state(cut(1, 2), min_docs=2)
+    table = lambda df, *c: rows_of(df, *c)
+    assert table(state.refs, "k1", "k2", "n_docs", "keep_doc") == table(fresh.refs, "k1", "k2", "n_docs", "keep_doc")
+    assert table(state.postings, "k1", "k2", "doc_id", "th") == table(fresh.postings, "k1", "k2", "doc_id", "th")
+    hot = state.refs.filter("n_docs >= 2")
+    assert sum(int((np.frombuffer(r["filter"], np.uint16) > 0).sum()) for r in state.filters.collect()) == hot.count()
+    few = line_dedup.probe(state).collect()
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 4)
+    many = line_dedup.probe(state).collect()
+    assert Counter(few) == Counter(many)
+    assert line_dedup.probe(state).join(hot, ["k1", "k2"], "left_semi").count() == state.postings.join(hot, ["k1", "k2"], "left_semi").count() < state.postings.count()
 
 
 def test_cuckoo_filter():
@@ -169,6 +202,19 @@ def test_chat_digests(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_long_conversations(spark, monkeypatch):
+    """A very long text, and context that is cut into several rows: the same digests and examples."""
+    rnd = random.Random(8)
+    rows = [(c, t, "assistant" if t % 3 == 2 else "user", "".join(rnd.choices("ab\\\n</turn>### ", k=rnd.randrange(200)))) for c in range(3) for t in range(31)]
+    rows.append((1, 31, "user", "x</turn>" * 200_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.format_turns(df)
+    one = rows_of(chat.read_back(whole), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples")
+    sha = hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 1).encode()).hexdigest()
+    assert {r[2] for r in one if r[0] == 1} == {sha} and {r[1] for r in one} == {31, 32}
+    assert chat.examples(whole).count() == 30 and whole.count() == 33
+
+
 # ---- 5 media
 
 
@@ -439,6 +485,21 @@ def test_word_tokenizer_equals_whole_texts():
     assert [list(x) for x in tok.encode(odd)] == [tok.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_tokenizers_of_another_kind(tmp_path):
+    """A tokenizer that keeps case, and one that keeps white space, give the ids of whole texts too."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = ["the", "The", "quick", "fox", ".", ",", "a", "A", " the", " fox"]
+    for cut, kind in ((pre_tokenizers.Whitespace(), (False, True)), (pre_tokenizers.Split(" ", "merged_with_next"), (False, False))):
+        tok = Tokenizer(models.WordLevel({w: i for i, w in enumerate(["?", *words])}, unk_token="?"))
+        tok.pre_tokenizer = cut
+        tok.save(str(tmp_path / "t.json"))
+        own = packing.WordTokenizer(str(tmp_path / "t.json"))
+        assert (own.lower, own.by_word) == kind
+        texts = ["The quick fox, the fox.", "a A  the", ""]
+        assert [list(x) for x in own.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_word_cache_shrinks(docs, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 300)
     tok = packing.WordTokenizer(tokenizer_path())
