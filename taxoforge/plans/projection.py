@@ -28,16 +28,16 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
     edge = "concat(p.parent, '|', p.child, '|', p.model)"
     return {
         "kg_edges": (["region", "nation", "customer", "part"], """
-            SELECT 'C:agent' AS child, 'C:entity' AS parent UNION ALL SELECT 'C:place', 'C:entity' UNION ALL SELECT 'C:product', 'C:entity'
+            SELECT DISTINCT child, parent FROM (SELECT 'C:agent' AS child, 'C:entity' AS parent UNION ALL SELECT 'C:place', 'C:entity' UNION ALL SELECT 'C:product', 'C:entity'
             UNION ALL SELECT 'C:customer', 'C:agent' UNION ALL SELECT 'C:supplier', 'C:agent'
-            UNION ALL SELECT DISTINCT concat('R:', cast(r_regionkey AS string)), 'C:place' FROM region
-            UNION ALL SELECT DISTINCT concat('N:', cast(n_nationkey AS string)), concat('R:', cast(n_regionkey AS string)) FROM nation
-            UNION ALL SELECT DISTINCT concat('SEG:', c_mktsegment), 'C:customer' FROM customer
-            UNION ALL SELECT DISTINCT concat('T:', p_type), 'C:product' FROM part
-            UNION ALL SELECT DISTINCT concat('B:', p_brand), 'C:product' FROM part
-            UNION ALL SELECT DISTINCT concat('TB:', p_type, ':', p_brand), concat('T:', p_type) FROM part
-            UNION ALL SELECT DISTINCT concat('TB:', p_type, ':', p_brand), concat('B:', p_brand) FROM part
-            UNION ALL SELECT DISTINCT concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)), concat('TB:', p_type, ':', p_brand) FROM part"""),
+            UNION ALL SELECT concat('R:', cast(r_regionkey AS string)), 'C:place' FROM region
+            UNION ALL SELECT concat('N:', cast(n_nationkey AS string)), concat('R:', cast(n_regionkey AS string)) FROM nation
+            UNION ALL SELECT concat('SEG:', c_mktsegment), 'C:customer' FROM customer
+            UNION ALL SELECT concat('T:', p_type), 'C:product' FROM part
+            UNION ALL SELECT concat('B:', p_brand), 'C:product' FROM part
+            UNION ALL SELECT concat('TB:', p_type, ':', p_brand), concat('T:', p_type) FROM part
+            UNION ALL SELECT concat('TB:', p_type, ':', p_brand), concat('B:', p_brand) FROM part
+            UNION ALL SELECT concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)), concat('TB:', p_type, ':', p_brand) FROM part) e"""),
         "kg_types": (["part", "customer"], """
             SELECT concat('part:', cast(p_partkey AS string)) AS inst, concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)) AS cls FROM part
             UNION ALL SELECT concat('cust:', cast(c_custkey AS string)), concat('SEG:', c_mktsegment) FROM customer

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from taxoforge.functions.terms import PREFIXES, escape_lines
 
 
-# Fixed value: the predicate of the log of what was turned away.
-EXCLUDED_FOR = "wic:excludedFor"
-
-
 def write_facts(facts: DataFrame, path: str, prefixes: bool = True) -> None:
     """Rows of four tab-separated fields, s, p, o and a full stop; prefix lines in a file of their own beside them."""
     facts.select(F.concat_ws("\t", "s", "p", escape_lines(F.col("o")), F.lit("."))).write.mode("overwrite").text(path)
@@ -22,9 +18,9 @@ def write_facts(facts: DataFrame, path: str, prefixes: bool = True) -> None:
         head.coalesce(1).write.mode("append").text(path)
 
 
-def write_rejections(rejected: DataFrame, path: str) -> None:
-    """The log of what was turned away: << s p o >>, the predicate, the reason."""
-    cols = [F.lit("<<"), F.col("s"), F.col("p"), escape_lines(F.col("o")), F.lit(">>"), F.lit(EXCLUDED_FOR), F.col("reason"), F.lit(".")]
+def write_rejections(rejected: DataFrame, path: str, predicate: str = "log:excludedFor") -> None:
+    """The log of what was turned away: << s p o >>, the predicate that readers of the log expect, the reason."""
+    cols = [F.lit("<<"), F.col("s"), F.col("p"), escape_lines(F.col("o")), F.lit(">>"), F.lit(predicate), F.col("reason"), F.lit(".")]
     rejected.select(F.concat_ws("\t", *cols)).write.mode("overwrite").text(path)
 
 
