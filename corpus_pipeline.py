@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoforge.llm import line_dedup, mixing, packing, quality, simhash
@@ -30,13 +30,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group one row stays: of the document that gives it its name, or of rows without an id where
     there is no other, the text of least fingerprint and hash. Rows that repeat an id with unlike texts are documents of
     their own, as they are when groups are made; of equal rows one stays, the least by its other columns."""
+    def row_keys(doc_id: str, th: str) -> list[Column]:
+        """Plain columns for a null-safe key, so that joining and grouping by it share one shuffle."""
+        return [F.coalesce(doc_id, F.lit(0)).cast("long").alias("d0"), F.col(doc_id).isNull().alias("dn"), F.col(th).alias("th")]
+
     groups = simhash.near_groups(docs.select(*COLUMNS)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = groups.groupBy("root").agg(F.min(F.struct("fp", "th")).alias("low"), F.first("component_id", ignorenulls=True).alias("kept_id"))
-    kept = stash(kept.select("kept_id", F.col("low.th").alias("kept_th")).distinct(), "near-kept")
+    kept = stash(kept.select("kept_id", F.col("low.th").alias("kept_th")).select(*row_keys("kept_id", "kept_th")).distinct(), "near-kept")
     release_shuffles(spark)
-    own = docs.select(*COLUMNS).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("string")))
-    named = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
-    one = named.groupBy("doc_id", "th").agg(F.first("text", ignorenulls=True).alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("string")).alias("own_th"))
+    named = own.select(*COLUMNS, *row_keys("doc_id", "own_th")).join(kept, ["d0", "dn", "th"], "left_semi")
+    one = named.groupBy("d0", "dn", "th").agg(F.first("doc_id").alias("doc_id"), F.first("text", ignorenulls=True).alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
     return one.select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
