@@ -90,26 +90,26 @@ def medium_of(text: str) -> Medium:
 
 
 def catalogue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """First scan: doc_id, n_bytes, media_sha, header, digests (the ordered list, 16 bytes each)."""
+    """First scan: doc_id, th (hash of the text), n_bytes, media_sha, header, digests (the ordered list, 16 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = [medium_of(t.as_py()) for t in batch.column(1)]
-            cols = [batch.column(0), pa.array([x.n_bytes for x in m], pa.int64()), pa.array([x.sha for x in m], pa.binary()), pa.array([x.digests for x in m], pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media_sha", "digests"])
+            cols = [batch.column(0), batch.column(2), pa.array([x.n_bytes for x in m], pa.int64()), pa.array([x.sha for x in m], pa.binary()), pa.array([x.digests for x in m], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_bytes", "media_sha", "digests"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media_sha binary, digests array<binary>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, n_bytes long, media_sha binary, digests array<binary>")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def storing_orders(listed: DataFrame) -> DataFrame:
-    """Exceptions to "store all your chunks", one row per document that has any: doc_id, orders (by medium: store it or
-    not, chunks to lend, chunks to borrow). A medium belongs to the smallest doc_id holding it, a shared chunk to the
+    """Exceptions to "store all your chunks", one row per document's text that has any: doc_id, th, orders (store
+    it or not, chunks to lend, chunks to borrow). A medium belongs to the smallest doc_id holding it, a shared chunk to the
     smallest medium."""
-    media = listed.groupBy("media_sha").agg(F.min("doc_id").alias("owner"), F.first("digests").alias("digests"))
+    media = listed.groupBy("media_sha").agg(F.min("doc_id").alias("owner"), F.first("th").alias("th"), F.first("digests").alias("digests"))
     refs = media.select("media_sha", F.explode(F.array_distinct("digests")).alias("digest"))
     shared = refs.groupBy("digest").agg(F.count("*").alias("holders"), F.min("media_sha").alias("keeper")).filter("holders > 1")
     n_refs = refs.count()
@@ -118,12 +118,12 @@ def storing_orders(listed: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("media_sha") == F.col("keeper"), F.col("digest"))).alias("lend"),
         F.collect_list(F.when(F.col("media_sha") != F.col("keeper"), F.col("digest"))).alias("borrow"),
     )
-    owned = media.select("media_sha", "owner").join(lends, "media_sha").select(F.col("owner").alias("doc_id"), "media_sha", F.lit(True).alias("store"), "lend", "borrow")
+    owned = media.select("media_sha", "owner", "th").join(lends, "media_sha").select(F.col("owner").alias("doc_id"), "th", "media_sha", F.lit(True).alias("store"), "lend", "borrow")
     copies = listed.groupBy("media_sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("owner")).filter("copies > 1")
-    others = heavy_join(listed.select("doc_id", "media_sha"), copies, ["media_sha"], "copies", listed.count()).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    others = heavy_join(listed.select("doc_id", "th", "media_sha"), copies, ["media_sha"], "copies", listed.count()).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
     empty = F.array().cast("array<binary>")
-    others = others.select("doc_id", "media_sha", F.lit(False).alias("store"), empty.alias("lend"), empty.alias("borrow"))
-    return owned.unionByName(others).groupBy("doc_id").agg(F.collect_list(F.struct("media_sha", "store", "lend", "borrow")).alias("orders"))
+    others = others.select("doc_id", "th", "media_sha", F.lit(False).alias("store"), empty.alias("lend"), empty.alias("borrow"))
+    return owned.unionByName(others).groupBy("doc_id", "th").agg(F.collect_set(F.struct("media_sha", "store", "lend", "borrow")).alias("orders"))
 
 
 STORE = "media_sha binary, header binary, digests array<binary>, own array<struct<digest: binary, data: binary>>, lend array<struct<digest: binary, data: binary>>, borrow array<binary>"
@@ -133,8 +133,8 @@ def store(docs: DataFrame, orders: DataFrame, id_col: str = "doc_id", text_col:
     """Second scan: the rows of the chunk store, a medium's own chunks beside its list, shared ones in ``lend``."""
     left = _texts(docs, id_col, text_col)
     size = orders.agg(F.coalesce(F.sum(F.lit(64) + F.size("orders") * 64 + F.expr("aggregate(orders, 0, (n, o) -> n + size(o.lend) + size(o.borrow))") * 20), F.lit(0))).first()[0]
-    right = orders.withColumnRenamed("doc_id", "order_id")
-    both = left.join(F.broadcast(right) if size <= ORDERS_BYTES else right, F.col("doc_id").eqNullSafe(F.col("order_id")), "left").select("text", "orders")
+    right = orders.select(F.col("doc_id").alias("order_id"), F.col("th").alias("order_th"), "orders")
+    both = left.join(F.broadcast(right) if size <= ORDERS_BYTES else right, F.col("doc_id").eqNullSafe(F.col("order_id")) & (F.col("th") == F.col("order_th")), "left").select("text", "orders")
     pair = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
