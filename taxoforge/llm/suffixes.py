@@ -34,8 +34,8 @@ DIGIT = 128
 BLOCK = 16
 #: Windows of a text anchored at a time; its bits in a key hold the place.
 PIECE_BITS = 22
-#: Lists sent to all executors up to this many rows of some 30 bytes; beyond, texts are shuffled to them.
-SENT_ROWS = 500_000
+#: Lists are sent to all executors up to this many bytes, at ENTRY_BYTES an entry; beyond, texts are shuffled to them.
+SENT_BYTES, ENTRY_BYTES = 32 << 20, 64
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -71,29 +71,28 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def find_anchors(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
-    """doc_id, th (hash of the text), lo, n, off, kh, fh for docs (doc_id, text)."""
+    """doc_id, th, lo, n, off, kh, fh for docs (doc_id, text, th: hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 ids, hashes, rows = [], [], []
-                for doc, text in zip(*(batch.slice(lo, 256).column(i) for i in range(2))):
-                    data = text.as_py().encode("utf-8")
-                    own = list(anchors(data, depth, digit))
+                for doc, text, th in zip(*(batch.slice(lo, 256).column(i) for i in range(3))):
+                    own = list(anchors(text.as_py().encode("utf-8"), depth, digit))
                     rows += own
                     ids += [doc.as_py()] * len(own)
-                    hashes += [xxhash.xxh3_64_intdigest(data)] * len(own)
+                    hashes += [th.as_py()] * len(own)
                 if rows:
                     c = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(hashes), *(pa.array(x, pa.int32()) for x in c[:3]), _signed(c[3]), _signed(c[4])], ["doc_id", "th", "lo", "n", "off", "kh", "fh"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), *(pa.array(x, pa.int32()) for x in c[:3]), _signed(c[3]), _signed(c[4])], ["doc_id", "th", "lo", "n", "off", "kh", "fh"])
 
     return docs.mapInArrow(run, "doc_id long, th long, lo int, n int, off int, kh long, fh long")
 
 
 def gather_contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int, depth: int = DEPTH) -> DataFrame:
     """kh, fh, off, n, context for the classes ``wanted`` (kh, fh, doc_id, th, lo, n, off): bytes of their windows."""
-    lists = wanted.groupBy(F.col("doc_id").alias("list_id")).agg(F.collect_list(F.struct("kh", "fh", "th", "lo", "n", "off")).alias("own"))
-    both = docs.join(F.broadcast(lists) if n_wanted <= SENT_ROWS else lists, F.col("doc_id").eqNullSafe(F.col("list_id"))).select("text", "own")
+    lists = wanted.groupBy(F.col("doc_id").alias("list_id"), F.col("th").alias("list_th")).agg(F.collect_list(F.struct("kh", "fh", "lo", "n", "off")).alias("own"))
+    both = docs.join(F.broadcast(lists) if n_wanted * ENTRY_BYTES <= SENT_BYTES else lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("th") == F.col("list_th"))).select("text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +100,7 @@ def gather_contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int, depth: in
                 rows = []
                 for text, own in zip(*(batch.slice(lo, 64).column(i) for i in range(2))):
                     data = text.as_py().encode("utf-8")
-                    th = np.array([xxhash.xxh3_64_intdigest(data)], np.uint64).view(np.int64)[0]
-                    rows += [(x["kh"], x["fh"], x["off"], x["n"], data[x["lo"] : x["lo"] + x["n"] - 1 + depth]) for x in own.as_py() if x["th"] == th]
+                    rows += [(x["kh"], x["fh"], x["off"], x["n"], data[x["lo"] : x["lo"] + x["n"] - 1 + depth]) for x in own.as_py()]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kh", "fh", "off", "n", "context"])
@@ -180,11 +178,11 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each byte of a ``depth``-byte string that starts anywhere else too, in the same document or another, as
     the input stands. Texts are UTF-8; null or empty: no bytes. Repeated rows are repeats of one another. Rows are told
-    apart by doc_id and text; null ids are ids like others. Very long texts are anchored piece by piece and come out
+    apart by doc_id and a 64-bit hash of the text, so no list grows with the rows of one id; null ids are ids like others. Very long texts are anchored piece by piece and come out
     whole; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     found = stash(find_anchors(texts, depth, digit), "sfx-anchors")
     places = repeated_places(texts, found, depth)
     hits = heavy_join(found, places, ["kh", "fh"], "copies", found.count())
@@ -192,12 +190,12 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ranges = F.transform("places", lambda p: F.struct((F.col("lo") + F.col("off") - p["r2"]).alias("s"), (F.col("lo") + F.col("off") - p["r1"] + depth).alias("e")))
     one = F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + depth).alias("e")))
     spans = hits.select("doc_id", "th", F.explode(F.when(F.col("places").isNull(), one).otherwise(ranges)).alias("x"))
-    lists = stash(spans.groupBy(F.col("doc_id").alias("list_id"), "th").agg(F.collect_set("x").alias("x")).groupBy("list_id").agg(F.collect_list(F.struct("th", "x")).alias("cuts")), "sfx-cuts")
+    lists = stash(spans.groupBy(F.col("doc_id").alias("list_id"), F.col("th").alias("list_th")).agg(F.collect_set("x").alias("cuts")), "sfx-cuts")
     for t in (found, places):
         drop_stash(t)
     release_shuffles(docs.sparkSession)
-    n_lists = lists.agg(F.coalesce(F.sum(F.expr("aggregate(cuts, 0, (n, c) -> n + size(c.x))")), F.lit(0))).first()[0]
-    both = texts.join(F.broadcast(lists) if n_lists <= SENT_ROWS else lists, F.col("doc_id").eqNullSafe(F.col("list_id")), "left").select("doc_id", "text", "cuts")
+    n_lists = lists.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
+    both = texts.join(F.broadcast(lists) if n_lists * ENTRY_BYTES <= SENT_BYTES else lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("th") == F.col("list_th")), "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,9 +205,8 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     data = text.as_py().encode("utf-8")
                     kept, n_spans = data, 0
                     if cuts.is_valid:
-                        th = int(np.array([xxhash.xxh3_64_intdigest(data)], np.uint64).view(np.int64)[0])
                         parts, at = [], 0
-                        for s, e in sorted((x["s"], x["e"]) for c in cuts.as_py() if c["th"] == th for x in c["x"]):
+                        for s, e in sorted((x["s"], x["e"]) for x in cuts.as_py()):
                             if s > at or not n_spans:
                                 parts.append(data[at:s])
                                 n_spans += 1
