@@ -435,6 +435,21 @@ def test_suffixes(spark, docs, odd, empty):
     assert suffixes.cut_repeats(empty).count() == 0
 
 
+def test_shuffled_lists_give_what_sent_ones_give(spark, docs, monkeypatch):
+    """Ops 5, 6 and 9 with no room for broadcasts."""
+    some = docs.limit(80).cache()
+    kinds = (
+        (suffixes, "SENT_BYTES", lambda: rows_of(suffixes.cut_repeats(some), "doc_id", "n_removed", "n_spans", "kept_sha256")),
+        (media, "ORDERS_BYTES", lambda: rows_of(media.media_table(some), "doc_id", "payload_sha256", "media_sha256", "feature", "n_chunks")),
+        (passages, "SENT_BYTES", lambda: rows_of(passages.fuzzy_passages(some), "kind", "doc_id", "start", "end", "ref_doc_id", "ref_start", "ref_end")),
+    )
+    for module, name, run in kinds:
+        sent = run()
+        with monkeypatch.context() as m:
+            m.setattr(module, name, -1)
+            assert run() == sent
+
+
 def test_anchors_by_pieces(monkeypatch):
     rnd = random.Random(4)
     data = bytes(rnd.choice(b"abc") for _ in range(5000))
