@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from taxoforge.operators import constraints as con
-from taxoforge.operators import evaluation
+from taxoforge.operators import evaluation, judge
 from taxoforge.operators.closure import closure, depths, nodes_of, strict_closure
 from taxoforge.plans import stages
 
@@ -291,3 +291,35 @@ def test_groups_in_blocks(spark):
         out = sum(v[a] @ v[b] > low + 1e-12 for a in own for b in v if b not in own)
         assert (r["n"], r["intruders"]) == (len(own), out) and abs(r["cohesion"] - low) < 1e-12
         assert abs(r["robustness"] - (1 - out / (len(own) * (70 - len(own))))) < 1e-12
+
+
+def test_label_vectors_by_hand(spark):
+    labels = {"a": "Red House", "b": "house", "c": "", "d": None}
+    df = spark.createDataFrame(list(labels.items()), "node string, label string")
+    for r in judge.embed_labels(df, dim=8).collect():
+        words = (labels[r["node"]] or "").lower().split() or [""]
+        v = np.mean([judge.hashed_token_vector(w, 8) for w in words], axis=0)
+        assert np.allclose(r["vec"], v / np.linalg.norm(v))
+
+
+def test_facts_stage_by_hand(spark):
+    # E over A and B, a1 under A, b1 under B; "old" was merged into a1; p takes A to B
+    e = spark.createDataFrame([("A", "E"), ("B", "E"), ("a1", "A"), ("b1", "B")], "child string, parent string")
+    none = spark.createDataFrame([], "stage string, step int, op string, child string, parent string")
+    taxonomy = stages.Taxonomy(e, e, spark.createDataFrame([("old", "a1")], "src string, dst string"), none)
+    typed = {"x": ["old"], "y": ["b1", "B"], "z": ["a1"], "u": ["a1"], "w": ["none"]}
+    rows = [(s, "wdt:P31", o) for s, os in typed.items() for o in os] + [(s, "rdfs:label", '"n"@en') for s in typed if s != "u"]
+    rows += [("x", "p", "y"), ("z", "p", "x"), ("y", "p", "y"), ("u", "p", "y"), ("x", "q", '"lit"@de'), ("x", "q", '"lit"@en'), ("z", "p", "y"), ("w", "p", "y"), ("y", "p", "z")]
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    c = spark.createDataFrame([("p", "subject", "A"), ("p", "subject", "E2"), ("p", "object", "B")], "property string, side string, type string")
+    classes = spark.createDataFrame([(x,) for x in ("E", "A", "B", "a1", "b1", "old")], "cls string")
+    nothing = spark.createDataFrame([], "x string")
+    out = stages.build_facts(t, taxonomy, c, classes, nothing, nothing, "E")
+    got = {k: {tuple(r) for r in v.collect()} for k, v in out.items()}
+    assert got["types"] == {("x", "a1"), ("y", "b1"), ("z", "a1")}
+    labels = {(s, "rdfs:label", '"n"@en') for s in "xyzw"}  # labels are facts too
+    assert got["facts"] == {("x", "p", "y"), ("z", "p", "y"), ("x", "q", '"lit"@en')} | labels
+    assert {(s, v) for s, _, _, v in got["check_log"]} == {("z", "range_constraint_not_satisfied"), ("y", "domain_constraint_not_satisfied"), ("w", "no_types_for_subject")}
+    assert {("y", "p", "y", "rare_facts_s_o_equal"), ("u", "p", "y", "non_labeled_subject_or_object"), ("x", "q", '"lit"@de', "silent:language")} <= got["fact_log"]
+    assert ("u", "wdt:P31", "a1", "instance_no_label") in got["type_log"] and ("y", "wdt:P31", "B", "is_a_shortcut") in got["type_log"] and ("w", "wdt:P31", "none", "type_none_not_a_valid_class") in got["type_log"]
+    assert got["constraints"] == {("p", "subject", "A"), ("p", "object", "B")}
