@@ -1,10 +1,10 @@
 """Operator 4: chat formatting by prefix-target expansion.
 
 A conversation is rendered turn by turn; every assistant turn becomes an example of its own, with all preceding turns
-as context and only that reply trainable. All of a conversation's examples are prefixes of its rendering, so an example's
-row holds what it adds to the example before, with its loss span and its whole length: examples grow with the turns, not
-with their square. What comes after the last reply is a row without an example. ``example_texts`` writes examples out
-where a trainer wants them whole.
+as context and only that reply trainable. ``format_turns`` renders the turns, each row holding what an example adds to the
+one before; ``expand`` writes every example out with its whole prefix, and ``read_examples`` reads these back. Examples
+grow with the square of a conversation's replies, as the method has it; they are written in pieces, so no row does. What
+comes after the last reply is no example's and stands in rows without one. ``example_texts`` gives context and target.
 
 A turn reads ``<turn> role``, a new line, the text and ``</turn>`` with a new line. In texts and roles a backslash comes
 before every backslash and every control string, and in roles before a new line, so that nothing in them can end a turn.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -174,3 +175,142 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield batch_of([row()])
 
     return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+
+
+EXAMPLES = "conv_id long, example long, piece long, text string, start long, loss_start long, loss_end long"
+
+
+def expand(segments: DataFrame, *, most: int = MOST_CONTEXT) -> DataFrame:
+    """The examples written out: conv_id, example, piece (from 0), text, start (code points of the example before it), and
+    in an example's last piece loss_start and loss_end, counted from the example's beginning.
+
+    An example's pieces are all of the conversation's rendering up to its reply's end; a piece ends behind the segment with
+    which it has over ``most`` code points. What follows the last reply comes once, without example. Segments must come as
+    ``format_turns`` leaves them. Whole pieces of a conversation wait in a temporary file, so memory doesn't grow with it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in EXAMPLES.split(", ")]
+        out: list[tuple] = []
+        size = 0
+        with tempfile.TemporaryFile() as file:
+            whole: list[tuple[int, int, int]] = []  # whole pieces: place and bytes in the file, code points before
+            tail, start, told = "", 0, 0  # the piece that grows, code points before it and up to the last reply
+
+            def flushed() -> pa.RecordBatch:
+                nonlocal out, size
+                rows, out, size = out, [], 0
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows))], names)
+
+            def pieces() -> Iterator[tuple[int, str, int]]:
+                for i, (place, n, before) in enumerate(whole):
+                    file.seek(place)
+                    yield i, file.read(n).decode(), before
+                if tail:
+                    yield len(whole), tail, start
+
+            def rest(conv: int | None) -> Iterator[pa.RecordBatch]:
+                nonlocal size
+                for i, text, before in pieces():
+                    if before + len(text) > told:
+                        text, before = text[max(0, told - before) :], max(told, before)
+                        out.append((conv, None, i, text, before, None, None))
+                        size += len(text)
+                        if size > most:
+                            yield flushed()
+
+            conv: int | None | object = object()
+            for batch in batches:
+                for c, segment, example, a, b in zip(batch.column(0).to_pylist(), batch.column(2), *(batch.column(i).to_pylist() for i in (4, 5, 6))):
+                    if c != conv:
+                        yield from rest(conv)
+                        conv, whole, tail, start, told = c, [], "", 0, 0
+                        file.seek(0)
+                        file.truncate()
+                    if len(tail) > most:
+                        place, raw = file.seek(0, 2), tail.encode()
+                        file.write(raw)
+                        whole.append((place, len(raw), start))
+                        tail, start = "", start + len(tail)
+                    tail += segment.as_py()
+                    if example is not None:
+                        for i, text, before in pieces():
+                            last = before == start
+                            out.append((c, example, i, text, before, a if last else None, b if last else None))
+                            size += len(text)
+                            if size > most or len(out) >= 1000:
+                                yield flushed()
+                        told = start + len(tail)
+            yield from rest(conv)
+            if out:
+                yield flushed()
+
+    return segments.mapInArrow(run, EXAMPLES)
+
+
+def read_examples(written: DataFrame) -> DataFrame:
+    """Digests per conversation, read back from its examples as ``expand`` writes them: conv_id, n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars, n_examples. Each example's context is held against the example before; what
+    it adds is parsed, and only its loss span is trained. ValueError where the examples don't agree, a span doesn't end its
+    example or turns don't parse.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+        conv, seen, n, chars, loss, examples_n = None, False, 0, 0, 0, 0
+        turns, trained = hashlib.sha256(), hashlib.sha256()
+        whole: list[bytes] = []  # digests of the pieces that have been read to their ends
+        tail = ""  # what has been read of the piece after them
+
+        def row() -> tuple:
+            return conv, n, turns.hexdigest(), loss, trained.hexdigest(), chars, examples_n
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i in (2, 4) else pa.int64()) for i, x in enumerate(zip(*rows))], names)
+
+        def add(text: str) -> None:
+            nonlocal n, chars
+            for role, own in parse(text):
+                n += 1
+                turns.update(f"{role}\n{own}\n".encode())
+            chars += len(text)
+
+        for batch in batches:
+            out = []
+            for c, example, piece, text, start, a, b in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if seen and c != conv:
+                    out.append(row())
+                if not seen or c != conv:
+                    conv, seen, n, chars, loss, examples_n = c, True, 0, 0, 0, 0
+                    turns, trained, whole, tail = hashlib.sha256(), hashlib.sha256(), [], ""
+                if example is None:
+                    if start != chars:
+                        raise ValueError(f"what follows the last example of conversation {c} is not whole")
+                    add(text)
+                    continue
+                if piece == len(whole) + 1 and tail:
+                    whole.append(hashlib.sha256(tail.encode()).digest())
+                    tail = ""
+                if example != examples_n or piece > len(whole):
+                    raise ValueError(f"an example of conversation {c} is missing or has a gap")
+                if piece < len(whole):
+                    if hashlib.sha256(text.encode()).digest() != whole[piece]:
+                        raise ValueError(f"the contexts of conversation {c} differ")
+                else:
+                    if not text.startswith(tail) or start + len(tail) != chars:
+                        raise ValueError(f"the contexts of conversation {c} differ")
+                    add(text[len(tail) :])
+                    tail = text
+                if a is not None:
+                    if text[b - start :] != CLOSE + "\n":
+                        raise ValueError(f"the loss span of an example of conversation {c} doesn't end it")
+                    reply = unescape(text[a - start : b - start])
+                    loss += len(reply)
+                    trained.update(reply.encode())
+                    examples_n += 1
+            if out:
+                yield batch_of(out)
+        if seen:
+            yield batch_of([row()])
+
+    return written.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from taxoforge.llm import chat, line_dedup, media, mixing, nearest, packing, passages, quality, simhash, suffixes
-from taxoforge.llm.queries import tokenizer_path
+from taxoforge.llm.queries import op4_chat_formatting, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
 
@@ -215,6 +215,33 @@ def test_chat_long_conversations(spark, monkeypatch):
     assert chat.examples(whole).count() == 30 and whole.count() == 33
 
 
+def test_chat_examples_are_written_whole(spark, monkeypatch):
+    """Every reply is a row of its own with all that comes before it, in pieces of any size; the query reads these."""
+    rnd = random.Random(4)
+    rows = [(c if c else None, t, "assistant" if rnd.random() < 0.4 else "user", "".join(rnd.choices("ab\\\n</turn>### é", k=rnd.randrange(90)))) for c in range(8) for t in range(3 * c + 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments = chat.format_turns(df)
+    want = {(r["conv_id"], r["example"]): (r["context"], r["target"]) for r in chat.example_texts(segments).collect()}
+    digests = rows_of(chat.read_back(segments), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples")
+    for most in (0, 300, 1 << 20):
+        written = chat.expand(segments, most=most)
+        got = defaultdict(list)
+        for r in written.collect():
+            if r["example"] is not None:
+                got[r["conv_id"], r["example"]].append(r)
+        texts = {k: "".join(r["text"] for r in sorted(v, key=lambda r: r["piece"])) for k, v in got.items()}
+        spans = {k: [(r["loss_start"], r["loss_end"]) for r in v if r["loss_start"] is not None] for k, v in got.items()}
+        assert {k: (t[: spans[k][0][0]], t[spans[k][0][0] : spans[k][0][1]]) for k, t in texts.items()} == want
+        assert all(len(v) == 1 and texts[k][v[0][1] :] == "</turn>\n" for k, v in spans.items())
+        assert rows_of(chat.read_examples(written), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples") == digests
+    with pytest.raises(Exception, match="contexts of conversation"):
+        chat.read_examples(written.withColumn("text", F.expr("if(example > 0, replace(text, '<turn> user', '<turn> used'), text)"))).collect()
+    seen = []
+    monkeypatch.setattr(chat, "read_examples", lambda x, own=chat.read_examples: seen.append(x) or own(x))
+    op4_chat_formatting(spark, DATA).collect()
+    assert seen and seen[0].filter("example is not null").count() == seen[0].select("conv_id", "example").filter("example is not null").distinct().count() > 0
+
+
 # ---- 5 media
 
 
