@@ -175,8 +175,10 @@ class Network:
     prior: float | None = None
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        """Each row is a product of its own, so that equal rows give equal logits whatever stands beside them in a batch."""
         w1, b1, w2, b2 = self.weights
-        return np.tanh((x - self.mean) / self.scale @ w1 + b1) @ w2 + b2
+        z = (((x - self.mean) / self.scale).astype(w1.dtype)[:, None, :] @ w1)[:, 0, :]
+        return (np.tanh(z + b1)[:, None, :] @ w2[:, None])[:, 0, 0] + b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.prior is not None:

@@ -57,6 +57,18 @@ def test_long_texts_are_pooled_in_pieces(monkeypatch):
     assert np.abs(quality.pooled_texts(texts, vectors, index) - whole).max() < 1e-5
 
 
+def test_equal_rows_get_equal_scores_in_batches_of_all_sizes():
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(97, 4 * quality.DIM + 2)).astype(np.float32)
+    w = [rnd.normal(size=s) for s in ((x.shape[1], quality.HIDDEN), (quality.HIDDEN,), (quality.HIDDEN,), ())]
+    net = quality.Network(x.mean(0), x.std(0) + 1e-3, w)
+    whole = net.score(x)
+    for n in (1, 2, 3, 5, 8, 13, 40):
+        assert all((net.score(x[lo : lo + n]) == whole[lo : lo + n]).all() for lo in range(0, len(x), n))
+    assert len(set(net.score(np.repeat(x[:1], 61, axis=0)))) == 1
+    assert net.score(x[:0]).shape == (0,)
+
+
 def test_held_out_rule(spark):
     got = spark.range(200).select("id", quality.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
