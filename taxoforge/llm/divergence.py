@@ -46,9 +46,11 @@ def count_terms(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), terms in held.items():
                 n = len(terms)
+                if not n:
+                    continue
                 counts = np.array(list(terms.values()), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), pa.array([source] * n), pa.array([t.decode("utf-8", "replace") for t in terms], pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([t.decode("utf-8", "replace") for t in terms], pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
                     ["lang", "source", "term", "n", "docs"],
                 )
             held.clear()

@@ -83,7 +83,7 @@ def test_ball_trees_prune():
     assert sorted(tree.ids) == list(range(len(q)))
     some = np.arange(0, len(q), 40)
     low = np.full((len(some), 1), negatives.LEAST)
-    search = negatives.Search(ids[some], q[some], low, low + 2 * (1 << 62) + ((1 << 63) - 1), 5)
+    search = negatives.Search(ids[some], q[some], low, np.full_like(low, negatives.MOST), 5)
     search.run(tree, np.zeros(len(some)), True)
     full = q[some] @ q.T
     for i, a in enumerate(some):
