@@ -107,9 +107,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def storing_orders(listed: DataFrame) -> DataFrame:
     """Exceptions to "store all your chunks", one row per document's text that has any: doc_id, th, orders (store
-    it or not, chunks to lend, chunks to borrow). A medium belongs to the smallest doc_id holding it, a shared chunk to the
-    smallest medium."""
-    media = listed.groupBy("media_sha").agg(F.min("doc_id").alias("owner"), F.first("th").alias("th"), F.first("digests").alias("digests"))
+    it or not, chunks to lend, chunks to borrow). A medium belongs to the smallest (doc_id, text) holding it, as unlike texts
+    may have one payload where zeros end them; a shared chunk belongs to the smallest medium."""
+    own = F.min(F.struct("doc_id", "th")).alias("owner")
+    media = listed.groupBy("media_sha").agg(own, F.first("digests").alias("digests"))
     refs = media.select("media_sha", F.explode(F.array_distinct("digests")).alias("digest"))
     shared = refs.groupBy("digest").agg(F.count("*").alias("holders"), F.min("media_sha").alias("keeper")).filter("holders > 1")
     n_refs = refs.count()
@@ -118,9 +119,9 @@ def storing_orders(listed: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("media_sha") == F.col("keeper"), F.col("digest"))).alias("lend"),
         F.collect_list(F.when(F.col("media_sha") != F.col("keeper"), F.col("digest"))).alias("borrow"),
     )
-    owned = media.select("media_sha", "owner", "th").join(lends, "media_sha").select(F.col("owner").alias("doc_id"), "th", "media_sha", F.lit(True).alias("store"), "lend", "borrow")
-    copies = listed.groupBy("media_sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("owner")).filter("copies > 1")
-    others = heavy_join(listed.select("doc_id", "th", "media_sha"), copies, ["media_sha"], "copies", listed.count()).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    owned = media.select("media_sha", "owner").join(lends, "media_sha").select("owner.doc_id", "owner.th", "media_sha", F.lit(True).alias("store"), "lend", "borrow")
+    copies = listed.groupBy("media_sha").agg(F.count("*").alias("copies"), own).filter("copies > 1")
+    others = heavy_join(listed.select("doc_id", "th", "media_sha"), copies, ["media_sha"], "copies", listed.count()).filter(~F.struct("doc_id", "th").eqNullSafe(F.col("owner")))
     empty = F.array().cast("array<binary>")
     others = others.select("doc_id", "th", "media_sha", F.lit(False).alias("store"), empty.alias("lend"), empty.alias("borrow"))
     return owned.unionByName(others).groupBy("doc_id", "th").agg(F.collect_set(F.struct("media_sha", "store", "lend", "borrow")).alias("orders"))
@@ -170,7 +171,8 @@ FEATURES = "media_sha binary, payload_bytes long, payload_sha256 string, tail_cr
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """A row per medium: reads its chunks back in order, verifies the digest (ValueError if it differs), computes features.
+    """A row per medium: reads its chunks back in order, verifies the digest (ValueError if it differs or a chunk is
+    missing), computes features.
 
     Media that borrow nothing are read where they lie. The rest gather borrowed chunks by a join on the digest.
     """
@@ -180,6 +182,8 @@ def read_media(stored: DataFrame) -> DataFrame:
             rows = []
             for sha, header, digests, chunks in zip(*(batch.column(i) for i in range(4))):
                 data = {x["digest"]: x["data"] for x in chunks.as_py()}
+                if missing := [d for d in digests.as_py() if d not in data]:
+                    raise ValueError(f"medium {sha.as_py().hex()} misses {len(missing)} chunks")
                 media = header.as_py() + b"".join(data[d] for d in digests.as_py())
                 if hashlib.sha256(media).digest() != sha.as_py():
                     raise ValueError(f"medium {sha.as_py().hex()} reads back changed")
@@ -196,7 +200,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     counts = asked.groupBy("digest").agg(F.count("*").alias("askers"))
     found = heavy_join(asked, lent.join(counts, "digest"), ["digest"], "askers", asked.count())
     got = found.groupBy("media_sha").agg(F.collect_list(F.struct("digest", "data")).alias("more"))
-    patched = partly.dropDuplicates(["media_sha"]).join(got, "media_sha").select("media_sha", "header", "digests", F.concat("chunks", "more").alias("chunks"))
+    patched = partly.dropDuplicates(["media_sha"]).join(got, "media_sha", "left").select("media_sha", "header", "digests", F.concat("chunks", F.coalesce("more", F.array().cast(got.schema["more"].dataType))).alias("chunks"))
     return whole.mapInArrow(run, FEATURES).unionByName(patched.mapInArrow(run, FEATURES)).dropDuplicates(["media_sha"])
 
 
@@ -204,8 +208,9 @@ def media_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Store every whole text as a medium and read all back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature, n_chunks.
 
-    Null texts are empty and hold ALIGN zeros; equal texts share one medium and have equal values; repeated rows and
-    null ids stay rows; very long texts are many chunks; an empty table gives no rows; other columns are not read.
+    Null texts are empty and hold ALIGN zeros; equal texts share one medium and have equal values, and so do unlike texts of
+    one payload, which differ in zeros at their ends only, but for n_bytes; a medium that is not read back raises; repeated
+    rows and null ids stay rows; very long texts are many chunks; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     listed = stash(catalogue(docs, id_col, text_col), "media-lists")
@@ -215,5 +220,6 @@ def media_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     release_shuffles(docs.sparkSession)
     read = read_media(stored)
     copies = listed.groupBy("media_sha").agg(F.count("*").alias("copies"))
-    out = heavy_join(listed.select("doc_id", "n_bytes", "media_sha", F.size("digests").alias("n_chunks")), stash(read.join(copies, "media_sha"), "media-read"), ["media_sha"], "copies", listed.count())
+    read = copies.join(read, "media_sha", "left").withColumn("payload_sha256", F.coalesce("payload_sha256", F.raise_error(F.lit("a medium was not read back"))))
+    out = heavy_join(listed.select("doc_id", "n_bytes", "media_sha", F.size("digests").alias("n_chunks")), stash(read, "media-read"), ["media_sha"], "copies", listed.count())
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")

@@ -270,6 +270,19 @@ def test_media(docs, odd, empty):
     assert media.media_table(empty).count() == 0
 
 
+def test_texts_that_end_in_zeros_lose_no_document(spark):
+    text = " ".join(f"word{i * 7919 % 1000}" for i in range(9000))
+    text += "x" * ((20 - len(text)) % 64)  # room for zeros in the last block
+    rows = [(2, text + "\0"), (1, text), (3, text + " and a tail of its own"), (4, "other"), (None, text + "\0\0"), (1, text + "\0\0\0"), (5, "\0"), (6, None), (7, "")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3], rows[1::2] + rows[::2]):
+        got = rows_of(media.media_table(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)), "doc_id", "n_bytes", "payload_sha256")
+        want = Counter()
+        for d, t in rows:
+            raw = (t or "").encode()
+            want[(d, len(raw), hashlib.sha256(raw + bytes(-len(raw) % 64 or (64 if not raw else 0))).hexdigest())] += 1
+        assert got == want
+
+
 def test_gear_cuts_follow_content():
     rnd = random.Random(1)
     data = bytes(rnd.randrange(256) for _ in range(60_000))
