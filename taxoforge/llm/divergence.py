@@ -14,6 +14,7 @@ group's sum of counts and V the number of kept terms, and a divergence is floor(
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ TOP_TERMS = 200
 #: Letters of ASCII and everything beyond it; in UTF-8 the latter are the bytes from 0x80.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Entries that a task counts before it hands them on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Terms of a chunk, chunks of a stripe, groups of a block, about.
 CHUNK_TERMS, STRIPE_CHUNKS, GROUP_BLOCK = 4096, 4, 8
 
@@ -40,35 +41,29 @@ def count_terms(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in held.items():
-                n = len(terms)
+            for (lang, source), (seen, in_docs) in held.items():
+                n = len(seen)
                 if not n:
                     continue
-                counts = np.array(list(terms.values()), np.int64).reshape(-1, 2)
+                counts = (np.fromiter(x, np.int64, n) for x in (seen.values(), map(in_docs.__getitem__, seen)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([t.decode("utf-8", "replace") for t in terms], pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(seen), pa.binary()).cast(pa.string()), *map(pa.array, counts)],
                     ["lang", "source", "term", "n", "docs"],
                 )
             held.clear()
 
         for batch in batches:
             for text, lang, source in zip(*(batch.column(i) for i in range(3))):
-                own = held.setdefault((lang.as_py(), source.as_py()), {})
-                found: dict[bytes, int] = {}
-                for t in TERM.findall(text.as_py().encode("utf-8").lower()):
-                    found[t] = found.get(t, 0) + 1
-                for t, c in found.items():
-                    if t in own:
-                        x = own[t]
-                        x[0] += c
-                        x[1] += 1
-                    else:
-                        own[t] = [c, 1]
-                        size += 1
+                seen, in_docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                terms = TERM.findall(text.as_py().encode("utf-8").lower())
+                size -= len(seen)
+                seen.update(terms)
+                in_docs.update(set(terms))
+                size += len(seen)
                 if size >= HELD_TERMS:
                     yield from flush()
                     size = 0
