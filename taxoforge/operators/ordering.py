@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxoforge.functions.vectors import dot
-from taxoforge.operators.closure import closure, depths, strict_closure
+from taxoforge.operators.closure import closure, depths
+from taxoforge.operators.scc import strong_components
 from taxoforge.scratch import stash
 
 
@@ -56,47 +59,56 @@ def rooted_extraction(edges: DataFrame, root: str, valid: DataFrame, metaclasses
     taken = stash(e.filter((F.col("parent") == root) & (F.col("child") != root)).unionByName(e.filter((F.col("parent") != root) & (F.col("child") != root)).join(good, "child", "left_semi").select("child", "parent")), "extract")
     d = stash(depths(taken, root), "extract-depth")
     taken = stash(taken.join(d.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent"), "extract")
-    core = cyclic_core(taken)
-    if core.isEmpty():
+    comp = stash(strong_components(taken), "scc")
+    if comp.isEmpty():
         return taken
-    paths = strict_closure(core)
-    mutual = paths.join(paths.select(F.col("anc").alias("node"), F.col("node").alias("anc")), ["node", "anc"], "left_semi")
-    comp = stash(mutual.groupBy("node").agg(F.min("anc").alias("scc")), "scc")
     own = taken.join(comp.select(F.col("node").alias("child"), F.col("scc").alias("a")), "child").join(comp.select(F.col("node").alias("parent"), F.col("scc").alias("b")), "parent").filter("a = b")
     own = own.join(d.withColumnRenamed("node", "parent"), "parent").select("a", "child", "parent", "depth")
 
     def acyclic(pdf: pd.DataFrame) -> pd.DataFrame:
-        above: dict[str, set[str]] = {}
-        keep = []
-        for r in pdf.sort_values(["depth", "parent", "child"], kind="stable").itertuples(index=False):
-            seen, todo = set(), [r.parent]
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo += above.get(x, ())
-            ok = r.child not in seen
-            keep.append((r.child, r.parent, ok))
-            if ok:
-                above.setdefault(r.child, set()).add(r.parent)
-        return pd.DataFrame([x[:2] for x in keep if not x[2]], columns=["child", "parent"])
+        order = AcyclicOrder()
+        gone = [(r.child, r.parent) for r in pdf.sort_values(["depth", "parent", "child"], kind="stable").itertuples(index=False) if not order.add(r.child, r.parent)]
+        return pd.DataFrame(gone, columns=["child", "parent"])
 
     looping = own.groupBy("a").applyInPandas(acyclic, "child string, parent string")
     return taken.join(looping, ["child", "parent"], "left_anti")
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that may lie on cycles: nodes without a parent or without a child are peeled off until none is left."""
-    e = stash(edges.select("child", "parent"), "core")
-    n = e.count()
-    while n:
-        peeled = e.join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        e = stash(peeled.select("child", "parent"), "core")
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    return e
+class AcyclicOrder:
+    """A topological order that is kept while edges come: an edge along it costs nothing, one against it a search among the
+    nodes that stand between its ends, which are then put in order again."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.up: dict[str, list[str]] = {}
+        self.down: dict[str, list[str]] = {}
+
+    def _between(self, start: str, steps: dict[str, list[str]], inside: Callable[[int], bool]) -> list[str]:
+        seen, todo = {start}, [start]
+        while todo:
+            for x in steps[todo.pop()]:
+                if x not in seen and inside(self.place[x]):
+                    seen.add(x)
+                    todo.append(x)
+        return sorted(seen, key=self.place.__getitem__)
+
+    def add(self, child: str, parent: str) -> bool:
+        """Add the edge, or leave it out and say False if it would close a loop."""
+        for x in (child, parent):
+            if x not in self.place:
+                self.place[x], self.up[x], self.down[x] = len(self.place), [], []
+        low, high = self.place[parent], self.place[child]
+        if low <= high:
+            above = self._between(parent, self.up, lambda i: i <= high)
+            if child in above:
+                return False
+            below = self._between(child, self.down, lambda i: i >= low)
+            moved = below + above
+            for i, x in zip(sorted(self.place[x] for x in moved), moved):
+                self.place[x] = i
+        self.up[child].append(parent)
+        self.down[parent].append(child)
+        return True
 
 
 def rewire_candidates(edges: DataFrame, equivalent: DataFrame, root: str) -> DataFrame:

@@ -54,6 +54,20 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
             UNION SELECT 'C:orphan', 'C:entity'"""),
         "kg_cyclic": (["kg_noisy"], """
             SELECT child, parent FROM kg_noisy UNION SELECT 'N:0', 'N:1' UNION SELECT 'N:1', 'N:2' UNION SELECT 'N:2', 'N:0'"""),
+        "kg_looped": (["kg_noisy"], f"""
+            SELECT child, parent FROM kg_noisy
+            UNION SELECT parent, child FROM kg_noisy WHERE child LIKE 'TB%' AND parent <> 'C:product' AND {hex4("concat(child, '|', parent)")} % 31 = 0"""),
+        "kg_deleted": (["kg_noisy"], f"""
+            SELECT child, parent FROM kg_noisy WHERE {hex4("concat(child, '|', parent)")} % 23 = 0"""),
+        "kg_inserted": (["kg_noisy"], f"""
+            SELECT DISTINCT child, 'C:supplier' AS parent FROM kg_noisy WHERE child LIKE 'TB:%' AND {hex4("concat(child, '+')")} % 29 = 0
+            UNION SELECT 'C:supplier', 'X:made' UNION SELECT 'X:made', 'C:place' UNION SELECT child, parent FROM kg_noisy WHERE {hex4("concat(child, '|', parent)")} % 230 = 0"""),
+        "kg_edited": (["kg_noisy", "kg_deleted", "kg_inserted"], """
+            SELECT child, parent FROM (SELECT child, parent FROM kg_noisy EXCEPT SELECT child, parent FROM kg_deleted) k UNION SELECT child, parent FROM kg_inserted"""),
+        "kg_asked": (["part"], """
+            SELECT DISTINCT concat('TBS:', a.p_type, ':', a.p_brand, ':', cast(a.p_size AS string)) AS child, concat('B:', b.p_brand) AS parent FROM part a JOIN (SELECT DISTINCT p_size, p_brand FROM part) b ON a.p_size = b.p_size
+            UNION SELECT concat('B:', a.p_brand), concat('TB:', a.p_type, ':', a.p_brand) FROM part a UNION SELECT concat('TB:', a.p_type, ':', a.p_brand), 'C:entity' FROM part a
+            UNION SELECT concat('T:', p_type), 'C:nowhere' FROM part UNION SELECT concat('T:', p_type), concat('T:', p_type) FROM part"""),
         "kg_chained": (["kg_noisy", "nation"], """
             SELECT child, parent FROM kg_noisy UNION SELECT 'X:up', 'C:place' UNION SELECT 'X:mid', 'X:up' UNION SELECT 'X:low', 'X:mid'
             UNION SELECT concat('X:leaf', cast(n_nationkey AS string)), 'X:low' FROM nation UNION SELECT 'X:side', 'C:agent' UNION SELECT 'C:customer', 'X:side'"""),
@@ -112,7 +126,7 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
 
 
 #: Relations that plans read again and again are stage tables, written before they are used.
-STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping"}
+STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_looped", "kg_deleted", "kg_inserted", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping"}
 SPARK = relations(_spark_hex4)
 DUCK = relations(_duck_hex4)
 
