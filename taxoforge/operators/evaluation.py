@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxoforge.functions.vectors import dot
 from taxoforge.operators.graph import ancestor_subgraph, edge_difference
-from taxoforge.scratch import stash
+from taxoforge.scratch import heavy_join, stash
 
 
 def wu_palmer(members: DataFrame, strict: DataFrame, depth: DataFrame) -> DataFrame:
@@ -199,77 +200,172 @@ def leaf_groups(edges: DataFrame) -> DataFrame:
     return edges.join(inner, "child", "left_anti").select(F.col("parent").alias("grp"), F.col("child").alias("node")).distinct()
 
 
-def member_blocks(groups: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
-    """grp, block, vecs: each group's vectors in blocks of about ``block_rows``, by hash, so that none grows with its group."""
-    g = groups.select("grp", "node").distinct().join(vectors.select("node", F.col("vec").cast("array<double>").alias("vec")), "node")
-    size = g.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    cut = g.join(size, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return cut.groupBy("grp", "block").agg(F.collect_list("vec").alias("vecs"))
+#: Vectors of least hash around which others gather, so that blocks are compact; each block's ball bounds its products.
+PIVOTS = 32
+#: Room for rounding in bounds of products.
+ROUNDING = 1e-9
 
 
-def _products(pairs: DataFrame, kind: str, measure: Callable[..., float], schema: str) -> DataFrame:
-    """grp and what ``measure`` makes of each row's (vecs, others, bar)."""
+def ball_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """keys, block, n, dim, vecs (binary), centre, radius, far (length of the centre), rep (one of its vectors): the vectors
+    of rows (keys, node, vec) in blocks of about ``block_rows``, by nearest pivot and hash, so that none grows with its
+    group."""
+    given = rows.select(*keys, "node", F.col("vec").cast("array<double>").alias("vec"))
+    pivots = [r["vec"] for r in given.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
+    total = given.count()
+    cells = lambda n: F.least(F.lit(PIVOTS), F.ceil(n / block_rows)).cast("int")  # noqa: E731  a small group needs few
+    counts = given.groupBy(*keys).agg(F.count("*").alias("group_n"))
+    kinds = ", ".join(f"{c} {t}" for c, t in given.dtypes)
+    given = (heavy_join(given, counts, keys, "group_n", total) if keys else given.withColumn("group_n", F.lit(total))).withColumn("cells", cells(F.col("group_n"))).drop("group_n")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = np.array(pivots)
         for pdf in batches:
-            got = [(r.grp, measure(np.stack(r.vecs), np.stack(r.others), r.bar)) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(got, columns=["grp", schema.split()[0]])
+            if len(pdf):
+                far = (p * p).sum(1)[None] - 2 * np.stack(pdf["vec"]) @ p.T
+                far[np.arange(len(p))[None] >= pdf["cells"].to_numpy()[:, None]] = np.inf
+                yield pdf.drop(columns="cells").assign(cell=far.argmin(1))
 
-    return pairs.select("grp", "vecs", "others", F.col("bar").cast("double").alias("bar")).mapInPandas(run, f"grp {kind}, {schema}")
+    near = stash(given.mapInPandas(gather, kinds + ", cell int"), "ball-cells")
+    sizes = near.groupBy(*keys, "cell").agg(F.count("*").alias("weight"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("weight") / block_rows))
+    cut = heavy_join(near, sizes, [*keys, "cell"], "weight", total)
+    cut = cut.withColumn("block", F.col("cell") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), F.col("parts")))
 
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf["vec"])
+        c = v.mean(0)
+        ball = {"n": len(v), "dim": v.shape[1], "vecs": v.tobytes(), "centre": c, "radius": float(np.sqrt(((v - c) ** 2).sum(1).max())), "far": float(np.sqrt((c * c).sum())), "rep": v[0]}
+        return pd.DataFrame([dict(zip([*keys, "block"], key)) | ball])
+
+    own = ", ".join(f"{c} {t}" for c, t in given.dtypes if c in keys)
+    return cut.groupBy(*keys, "block").applyInPandas(pack, f"{own}{', ' if own else ''}block long, n long, dim int, vecs binary, centre array<double>, radius double, far double, rep array<double>")
+
+
+def _ends(blocks: DataFrame, name: str) -> DataFrame:
+    """Blocks without their vectors, columns named for one side of a pair; grp keeps its name."""
+    return blocks.select(*[F.col(c) if c == "grp" else F.col(c).alias(f"{name}_{c}") for c in blocks.columns if c != "vecs"])
+
+
+def _bounds(pairs: DataFrame) -> DataFrame:
+    """pairs (of blocks a and b) with low and high, between which all their products lie."""
+    mid = dot(F.col("a_centre"), F.col("b_centre"))
+    reach = F.col("a_far") * F.col("b_radius") + F.col("b_far") * F.col("a_radius") + F.col("a_radius") * F.col("b_radius") + ROUNDING
+    return pairs.withColumns({"low": mid - reach, "high": mid + reach})
+
+
+def _products(pairs: DataFrame, a: DataFrame, b: DataFrame, b_keys: list[str], measure: Callable[..., float], schema: str) -> DataFrame:
+    """grp and what ``measure`` makes of (vectors of a, vectors of b, bar) for each of the pairs (grp, a_block, b_block, bar),
+    each pair a row of its own, spread by its b."""
+    kind = dict(pairs.dtypes)["grp"]
+    left = a.select("grp", F.col("block").alias("a_block"), F.col("vecs").alias("a_vecs"), "dim")
+    right = b.select(*b_keys, F.col("block").alias("b_block"), F.col("vecs").alias("b_vecs"))
+    both = pairs.join(left, ["grp", "a_block"]).join(right, [*b_keys, "b_block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for x, y, dim, bar in zip(*(batch.column(i) for i in range(1, 5))):
+                u, v = (np.frombuffer(z.as_py()).reshape(-1, dim.as_py()) for z in (x, y))
+                got.append(measure(u, v, bar.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["grp", schema.split()[0]])
+
+    return both.select("grp", "a_vecs", "b_vecs", "dim", F.col("bar").cast("double").alias("bar")).mapInArrow(run, f"grp {kind}, {schema}")
+
+
+def least_pairs(blocks: DataFrame) -> DataFrame:
+    """grp, a_block, b_block, bar: the pairs of a group's blocks that may hold its least product. Products of single
+    vectors out of different blocks bound the least one from above; pairs of blocks that lie above that are left out. bar
+    is 1 for a block with itself."""
+    pairs = _bounds(_ends(blocks, "a").join(_ends(blocks, "b"), "grp").filter("a_block <= b_block"))
+    pairs = stash(pairs.select("grp", "a_block", "b_block", "low", dot(F.col("a_rep"), F.col("b_rep")).alias("seen")), "ball-pairs")
+    least = pairs.filter("a_block < b_block").groupBy("grp").agg(F.min("seen").alias("least"))
+    return pairs.join(least, "grp", "left").filter("least is null or low <= least").select("grp", "a_block", "b_block", F.when(F.col("a_block") == F.col("b_block"), 1.0).otherwise(0.0).alias("bar"))
 
-def cohesion(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
-    """grp, n, cohesion: least similarity inside each group of two or more (groups: grp, node), block by block."""
-    blocks = stash(member_blocks(groups, vectors, block_rows), "grp-blocks")
-    other = blocks.select("grp", F.col("block").alias("with"), F.col("vecs").alias("others"))
-    pairs = blocks.join(other, "grp").filter("block <= with").select("grp", "vecs", "others", F.when(F.col("block") == F.col("with"), 1.0).otherwise(0.0).alias("bar"))
 
+def _group_blocks(groups: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
+    g = groups.select("grp", "node").distinct().join(vectors.select("node", "vec"), "node")
+    return stash(ball_blocks(g, ["grp"], block_rows), "grp-blocks")
+
+
+def _least_inside(blocks: DataFrame) -> DataFrame:
     def least(a: np.ndarray, b: np.ndarray, same: float) -> float:
         sim = a @ b.T
         if same:
             sim = sim[np.triu_indices(len(a), 1)]
         return float(sim.min()) if sim.size else float("inf")
 
-    low = _products(pairs, dict(groups.dtypes)["grp"], least, "low double").groupBy("grp").agg(F.min("low").alias("cohesion"))
-    n = blocks.groupBy("grp").agg(F.sum(F.size("vecs")).alias("n"))
+    low = _products(least_pairs(blocks), blocks, blocks, ["grp"], least, "low double").groupBy("grp").agg(F.min("low").alias("cohesion"))
+    n = blocks.groupBy("grp").agg(F.sum("n").alias("n"))
     return n.join(low, "grp").filter("n >= 2").select("grp", "n", "cohesion")
 
 
+def cohesion(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """grp, n, cohesion: least similarity inside each group of two or more (groups: grp, node), block by block."""
+    return _least_inside(_group_blocks(groups, vectors, block_rows))
+
+
+def intruder_pairs(members: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """grp, a_block, b_block, pairs, verdict: pairs of member blocks (with bar, their group's cohesion) and other blocks.
+    verdict says whether all of their products are above the bar, none, or some, and only these are multiplied."""
+    left = _ends(members, "a").withColumnRenamed("a_bar", "bar")
+    right = _ends(others, "b")
+    if not keys:  # every block meets every other one, block by block
+        n = others.count()
+        numbered = right.withColumn("number", F.pmod(F.xxhash64("b_block"), F.lit(max(1, n))))
+        left, right, keys = left.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))), numbered, ["number"]
+    pairs = left.join(right, keys)
+    verdict = F.when(F.col("low") > F.col("bar") + ROUNDING, "all").when(F.col("high") < F.col("bar"), "none").otherwise("some")
+    return stash(_bounds(pairs).select("grp", "a_block", "b_block", "bar", (F.col("a_n") * F.col("b_n")).alias("pairs"), verdict.alias("verdict")), "intruder-pairs")
+
+
 def robustness(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048, sample: int | None = None, seed: int = 42) -> DataFrame:
     """grp, n, cohesion, intruders, robustness per group of two or more.
 
     Intruders are pairs of a member and an outside vector more similar than the group's cohesion. Vectors are cut into
-    blocks of ``block_rows``; a block is multiplied with the groups' members, block by block, in one task, so no pair
-    becomes a row. Groups' own members are counted with the outsiders at first, and taken off again. With ``sample`` only
-    the outsiders of least hash are looked at and the count is scaled up.
+    blocks of ``block_rows`` with a ball around each; only blocks whose balls leave it open are multiplied, two at a time, so
+    no pair becomes a row. Groups' own members are counted with the outsiders at first, and taken off again. With ``sample``
+    only the outsiders of least hash are looked at and the count is scaled up.
     """
-    kind = dict(groups.dtypes)["grp"]
+    return _robustness(groups, vectors, block_rows, sample, seed)[0]
+
+
+def robustness_work(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """One row: pairs of vectors, and how many of them robustness multiplies."""
+    looked = _robustness(groups, vectors, block_rows, None, 0)[1]
+    return looked.agg(F.sum("pairs").alias("pairs"), F.coalesce(F.sum(F.when(F.col("verdict") == "some", F.col("pairs"))), F.lit(0)).alias("multiplied"))
+
+
+def _robustness(groups: DataFrame, vectors: DataFrame, block_rows: int, sample: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
     g = stash(groups.select("grp", "node").join(vectors.select("node"), "node", "left_semi").distinct(), "groups")
-    coh = stash(cohesion(g, vectors, block_rows), "cohesion")
+    blocks = _group_blocks(g, vectors, block_rows)
+    coh = stash(_least_inside(blocks), "cohesion")
     chars = stash(g.select("node").distinct().join(vectors.select("node", "vec"), "node"), "characters")
     n_all = chars.count()
     outside = chars if sample is None else chars.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample)
     outside = stash(outside, "outside")
     n_out = outside.count()
-    n_blocks = max(1, -(-n_out // block_rows))
-    out_blocks = outside.select(F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int").alias("ob"), F.col("vec").cast("array<double>").alias("vec")).groupBy("ob").agg(F.collect_list("vec").alias("others"))
-    members = stash(member_blocks(g.join(coh.select("grp"), "grp", "left_semi"), vectors, block_rows).join(coh.select("grp", F.col("cohesion").alias("bar")), "grp"), "members")
+    members = stash(blocks.join(coh.select("grp", F.col("cohesion").alias("bar")), "grp"), "members")
+    others = stash(ball_blocks(outside, [], block_rows), "others")
+    seen = g.join(outside.select("node"), "node", "left_semi").join(coh.select("grp"), "grp", "left_semi")
+    own = blocks if sample is None else _group_blocks(seen, vectors, block_rows)
 
     def above(a: np.ndarray, b: np.ndarray, bar: float) -> int:
         return int((a @ b.T > bar + 1e-12).sum())
 
-    tasks = members.withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(out_blocks, "ob")
-    hits = _products(tasks, kind, above, "h long").groupBy("grp").agg(F.sum("h").alias("hits"))
-    seen = g.join(outside.select("node"), "node", "left_semi").join(coh.select("grp"), "grp", "left_semi")
-    own = member_blocks(seen, vectors, block_rows).select("grp", F.col("vecs").alias("others"))
-    inner = _products(members.join(own, "grp"), kind, above, "h long").groupBy("grp").agg(F.sum("h").alias("inner"))
+    def hits(pairs: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
+        sure = pairs.filter("verdict = 'all'").select("grp", F.col("pairs").alias("h"))
+        return sure.unionByName(_products(pairs.filter("verdict = 'some'"), members, b, keys, above, "h long")).groupBy("grp").agg(F.sum("h").alias(name))
+
+    open_pairs = intruder_pairs(members, others, [])
+    inner_pairs = intruder_pairs(members, own, ["grp"])
     own_out = seen.groupBy("grp").agg(F.count("*").alias("own_out"))
-    j = coh.join(hits, "grp", "left").join(inner, "grp", "left").join(own_out, "grp", "left").fillna(0, ["hits", "inner", "own_out"])
+    j = coh.join(hits(open_pairs, others, [], "hits"), "grp", "left").join(hits(inner_pairs, own, ["grp"], "inner"), "grp", "left").join(own_out, "grp", "left").fillna(0, ["hits", "inner", "own_out"])
     scale = (F.lit(n_all) - F.col("n")) / (F.lit(n_out) - F.col("own_out"))
     raw = F.col("hits") - F.col("inner")
     intruders = raw if sample is None else F.when(F.lit(n_out) > F.col("own_out"), raw * scale).otherwise(F.lit(0.0))
     room = F.col("n") * (F.lit(n_all) - F.col("n"))
-    return j.select("grp", "n", "cohesion", intruders.alias("intruders"), F.when(room > 0, 1 - intruders / room).alias("robustness"))
+    return j.select("grp", "n", "cohesion", intruders.alias("intruders"), F.when(room > 0, 1 - intruders / room).alias("robustness")), open_pairs
 
 
 def sampled_robustness(groups: DataFrame, vectors: DataFrame, rounds: int = 10, sample: int = 10_000, seed: int = 42) -> DataFrame:

@@ -6,8 +6,6 @@ matters are written in order over several files.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -401,11 +399,8 @@ SELECT id, CASE WHEN n = 1 THEN hs[1] WHEN i = n - 1 THEN hs[i] ELSE hs[i + 1] E
 def q_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """The height after the widest gap of an order's quantities, taken as merge heights, and their median."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        hs = sorted(set(pdf["q"]))
-        return pd.DataFrame({"id": [int(pdf["id"].iloc[0])], "threshold": [float(con.max_gap(hs))], "middle": [float(np.median(hs))]})
-
-    return _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("double").alias("q")).groupBy("id").applyInPandas(kernel, "id long, threshold double, middle double")
+    heights = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.col("l_quantity").cast("double"))).alias("hs"))
+    return heights.select("id", con.gap_threshold("hs").alias("threshold"), con.list_median("hs").alias("middle"))
 
 
 # ---- streaming ---------------------------------------------------------------------------------------------------
