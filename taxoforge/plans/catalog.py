@@ -54,6 +54,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 # ---- type checks -------------------------------------------------------------------------------------------------
 
+#: Merged classes with the end of their chain; rings have none.
+MERGED = """way(src, dst, n) AS (SELECT src, dst, 1 FROM kg_mapping UNION ALL SELECT w.src, k.dst, n + 1 FROM way w JOIN kg_mapping k ON k.src = w.dst WHERE n < 10),
+mp AS (SELECT src, dst FROM way WHERE dst NOT IN (SELECT src FROM kg_mapping))"""
+
 CHECK = """v AS (SELECT f.s, f.p, f.o,
   EXISTS (SELECT 1 FROM {t} t WHERE t.inst = f.s) AS ts, EXISTS (SELECT 1 FROM {t} t WHERE t.inst = f.o) AS tob,
   EXISTS (SELECT 1 FROM sat WHERE sat.property = f.p AND sat.side = 'subject' AND sat.inst = f.s) AS fs,
@@ -541,14 +545,13 @@ def _retype(spark: SparkSession, d: str) -> DataFrame:
     return facts.retype(types, before, after, kg(spark, d, "kg_mapping"), ROOT, strict_closure(before), strict_closure(after))
 
 
-RETYPE = """bef AS (SELECT child, parent FROM kg_edges WHERE child <> 'N:5'), bn AS (SELECT child AS node FROM bef UNION SELECT parent FROM bef),
+RETYPE = MERGED + """, bef AS (SELECT child, parent FROM kg_edges WHERE child <> 'N:5'), bn AS (SELECT child AS node FROM bef UNION SELECT parent FROM bef),
 gone AS (SELECT node FROM bn WHERE node LIKE 'TB:%' OR node = 'N:4' OR node LIKE 'TBS:%:Brand#1:%'),
 bclo(node, anc, dist) AS (SELECT child, parent, 1 FROM bef UNION SELECT c.node, e.parent, c.dist + 1 FROM bclo c JOIN bef e ON e.child = c.anc),
 climb(node, anc, dist) AS (SELECT child, parent, 1 FROM bef UNION SELECT c.node, e.parent, c.dist + 1 FROM climb c JOIN bef e ON e.child = c.anc WHERE c.anc IN (SELECT node FROM gone)),
 aft AS (SELECT DISTINCT node AS child, anc AS parent FROM climb WHERE anc NOT IN (SELECT node FROM gone) AND node NOT IN (SELECT node FROM gone)),
 an AS (SELECT child AS node FROM aft UNION SELECT parent FROM aft),
 aclo(node, anc) AS (SELECT child, parent FROM aft UNION SELECT c.node, e.parent FROM aclo c JOIN aft e ON e.child = c.anc),
-mp AS (SELECT 'N:0' AS src, 'N:2' AS dst UNION ALL SELECT 'N:1', 'N:2' UNION ALL SELECT 'N:3', 'X:gone' UNION ALL SELECT 'B:Brand#2', 'B:Brand#3'),
 ty AS (SELECT inst, cls FROM kg_types UNION ALL SELECT inst, 'C:agent' FROM kg_types WHERE cls LIKE 'SEG:%'),
 t0 AS (SELECT DISTINCT inst, coalesce(dst, cls) AS cls FROM ty LEFT JOIN mp ON src = cls), t1 AS (SELECT * FROM t0 WHERE cls IN (SELECT node FROM bn)),
 sh AS (SELECT DISTINCT a.inst, a.cls FROM t1 a JOIN t1 b ON a.inst = b.inst JOIN bclo ON bclo.node = b.cls AND bclo.anc = a.cls),
@@ -563,7 +566,7 @@ res AS (SELECT inst, cls, cast(NULL AS varchar) AS verdict FROM (SELECT * FROM t
   UNION SELECT inst, cls, concat('type_', cls, '_lost_after_wikipedia_filtering') FROM t2 WHERE cls NOT IN (SELECT node FROM an) AND cls NOT IN (SELECT node FROM upn))"""
 
 
-@query("kg_retype", sql("kg_edges", "kg_types", clo=False, more=RETYPE, body="SELECT inst, cls, verdict FROM res"))
+@query("kg_retype", sql("kg_edges", "kg_types", "kg_mapping", clo=False, more=RETYPE, body="SELECT inst, cls, verdict FROM res"))
 def q_retype(spark: SparkSession, d: str) -> DataFrame:
     return _retype(spark, d)
 
@@ -682,7 +685,7 @@ def _sets(spark: SparkSession, d: str, gone: bool = False) -> DataFrame:
     return out.unionByName(spark.createDataFrame([("p3", "subject", "X:gone")], out.schema)) if gone else out
 
 
-@query("kg_constraint_resolve", sql(more=SETS + ", mp AS (SELECT 'N:0' AS src, 'N:2' AS dst UNION ALL SELECT 'N:1', 'N:2' UNION ALL SELECT 'N:3', 'X:gone' UNION ALL SELECT 'B:Brand#2', 'B:Brand#3'), tg AS (SELECT property, side, coalesce(dst, type) AS type FROM sets LEFT JOIN mp ON src = type)", body="SELECT DISTINCT property, side, type FROM tg WHERE type IN (SELECT node FROM nodes)"))
+@query("kg_constraint_resolve", sql("kg_mapping", more=SETS + ", " + MERGED + ", tg AS (SELECT property, side, coalesce(dst, type) AS type FROM sets LEFT JOIN mp ON src = type)", body="SELECT DISTINCT property, side, type FROM tg WHERE type IN (SELECT node FROM nodes)"))
 def q_resolve_types(spark: SparkSession, d: str) -> DataFrame:
     return con.resolve_types(_sets(spark, d, True), kg(spark, d, "kg_mapping"), nodes_of(kg(spark, d, "kg_edges")))[0]
 
@@ -757,19 +760,19 @@ def q_viewer(spark: SparkSession, d: str) -> DataFrame:
     return viewer.summary(_sets(spark, d, True), kg(spark, d, "kg_mapping"), e, kg(spark, d, "kg_counts"), closure(e), kg(spark, d, "kg_labels"), ROOT, "p1")
 
 
-RESOLVED = SETS + ", mp AS (SELECT 'N:0' AS src, 'N:2' AS dst UNION ALL SELECT 'N:1', 'N:2' UNION ALL SELECT 'N:3', 'X:gone' UNION ALL SELECT 'B:Brand#2', 'B:Brand#3'), fin AS (SELECT DISTINCT property, side, coalesce(dst, type) AS type FROM sets LEFT JOIN mp ON src = type WHERE coalesce(dst, type) IN (SELECT node FROM nodes))"
+RESOLVED = SETS + ", " + MERGED + ", fin AS (SELECT DISTINCT property, side, coalesce(dst, type) AS type FROM sets LEFT JOIN mp ON src = type WHERE coalesce(dst, type) IN (SELECT node FROM nodes))"
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     return con.resolve_types(_sets(spark, d, True), kg(spark, d, "kg_mapping"), nodes_of(kg(spark, d, "kg_edges")))[0]
 
 
-@query("kg_before_after", sql(more=RESOLVED, body="SELECT b.property AS property, b.side AS side, n_before, coalesce(n_after, 0) AS n_after FROM (SELECT property, side, count(DISTINCT type) AS n_before FROM sets GROUP BY 1, 2) b LEFT JOIN (SELECT property, side, count(DISTINCT type) AS n_after FROM fin GROUP BY 1, 2) a ON a.property = b.property AND a.side = b.side"))
+@query("kg_before_after", sql("kg_mapping", more=RESOLVED, body="SELECT b.property AS property, b.side AS side, n_before, coalesce(n_after, 0) AS n_after FROM (SELECT property, side, count(DISTINCT type) AS n_before FROM sets GROUP BY 1, 2) b LEFT JOIN (SELECT property, side, count(DISTINCT type) AS n_after FROM fin GROUP BY 1, 2) a ON a.property = b.property AND a.side = b.side"))
 def q_before_after(spark: SparkSession, d: str) -> DataFrame:
     return viewer.before_after(_sets(spark, d, True), _resolved(spark, d))
 
 
-@query("kg_type_strings", sql("kg_labels", more=RESOLVED, body="SELECT property, side, string_agg(concat(type, ' ', coalesce(label, type)), '; ' ORDER BY concat(type, ' ', coalesce(label, type))) AS types, count(*) AS n_types FROM fin LEFT JOIN kg_labels ON node = type GROUP BY property, side"))
+@query("kg_type_strings", sql("kg_labels", "kg_mapping", more=RESOLVED, body="SELECT property, side, string_agg(concat(type, ' ', coalesce(label, type)), '; ' ORDER BY concat(type, ' ', coalesce(label, type))) AS types, count(*) AS n_types FROM fin LEFT JOIN kg_labels ON node = type GROUP BY property, side"))
 def q_type_strings(spark: SparkSession, d: str) -> DataFrame:
     return viewer.type_strings(_resolved(spark, d), kg(spark, d, "kg_labels"))
 

@@ -6,6 +6,8 @@ matters are written in order over several files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from taxoforge.functions.terms import entity_id, escape_lines, normalize_literal
 from taxoforge.operators import constraints as con
 from taxoforge.operators import extracts, facts, graph, judge, ordering, stats, viewer, visits
 from taxoforge.operators.closure import closure
-from taxoforge.plans.catalog import FACTS, SETS, TRI, WIDE, _checked, _fact_inputs, _sets, query, sql
+from taxoforge.plans.catalog import FACTS, MERGED, SETS, TRI, WIDE, _checked, _fact_inputs, _sets, query, sql
 from taxoforge.plans.projection import ROOT, kg
 from taxoforge.scratch import scratch_folder, stash
 from taxoforge.sources import readers, sinks
@@ -118,12 +120,17 @@ def q_usage_dump(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_usage_dump(spark, path)
 
 
-@query("kg_io_models", "SELECT 'model-a' AS model UNION ALL SELECT 'model-c'")
+@query("kg_io_models", """WITH m AS (SELECT r_name, min(r_regionkey) AS k, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)
+SELECT r_name AS model, n AS edges FROM m WHERE k % 2 = 0""")
 def q_models(spark: SparkSession, d: str) -> DataFrame:
+    """A folder for each region's edges; of the folders found those of the asked models, with their numbers of edges."""
     root = scratch_folder(spark, "models")
-    for m in ("model-c", "model-b", "model-a"):
-        spark.range(1).write.parquet(f"{root}/{m}/edges")
-    return spark.createDataFrame([(m,) for m in readers.list_models(spark, root, ["model-a", "model-c", "model-d"])], "model string")
+    named = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.col("r_name").alias("model")).write.partitionBy("model").parquet(f"{root}/all")
+    asked = [f"model={r['r_name'].replace(' ', '%20')}" for r in _table(spark, d, "region").filter("r_regionkey % 2 = 0").orderBy("r_name").collect()]
+    found = readers.list_models(spark, f"{root}/all", [*asked, *(x.replace("%20", " ") for x in asked), "model=none"])
+    edges = spark.read.option("basePath", f"{root}/all").parquet(*(f"{root}/all/{m}" for m in found))
+    return edges.groupBy("model").agg(F.count("*").alias("edges"))
 
 
 # ---- triples -----------------------------------------------------------------------------------------------------
@@ -358,10 +365,26 @@ def q_type_prompts(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", last("context").alias("context"), last("type statement").alias("statement"), (F.size(F.split("t", "\ncontext: ")) - 2).alias("examples"))
 
 
-@query("kg_judges", "SELECT 'stub' AS judge UNION ALL SELECT 'twin'")
+def _longer_name(generation: judge.Generation) -> judge.Judge:
+    """A judge that holds the longer of two names for the subclass."""
+
+    def answer(talks: list[list[dict]]) -> list[tuple[str, float]]:
+        names = [re.search(r"Is '(.*)' a subclass of '(.*)'\?", t[-1]["content"]).groups() for t in talks]
+        return [(f"**Answer: {len(a) > len(b)}**", 0.5) for a, b in names]
+
+    return answer
+
+
+@query("kg_judges", """SELECT 'longer' AS judge, n_name AS child, r_name AS parent, CASE WHEN length(n_name) > length(r_name) THEN 'True' ELSE 'False' END AS answer,
+  CASE WHEN length(r_name) > length(n_name) THEN 'True' ELSE 'False' END AS answer_inverse FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def q_judges(spark: SparkSession, d: str) -> DataFrame:
-    judge.register_judge("twin", judge.stub_judge)
-    return spark.createDataFrame([(n,) for n in judge.known_judges() if n in ("stub", "twin")], "judge string")
+    """A judge that joins the registry and is asked by its name about all nations and their regions."""
+    judge.register_judge("longer", _longer_name)
+    named = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = named.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.col("n_name").alias("clabel"), F.lit("a nation").alias("cdesc"), F.col("r_name").alias("plabel"), F.lit("a region").alias("pdesc"))
+    said = [judge.judge_edges(asked, name, model=name) for name in judge.known_judges() if name == "longer"]
+    return said[0].select(F.col("model").alias("judge"), "child", "parent", "answer", "answer_inverse")
+
 
 
 @query("kg_token_confidence", sql("kg_answers", clo=False, more="t AS (SELECT id, string_split(answer, ' ') AS ts, list_filter(string_split(answer, ' '), lambda x: regexp_matches(lower(x), 'true|false|yes|no')) AS said FROM kg_answers)", body="SELECT id, round(CASE WHEN len(said) > 0 THEN 1.0 / list_position(ts, said[1]) ELSE 0.0 END, 6) AS confidence FROM t"))
@@ -378,13 +401,13 @@ def q_ask_labels(spark: SparkSession, d: str) -> DataFrame:
     return viewer.ask_labels(labels, [f"Q{i}" for i in range(5000)])
 
 
-ROLES = SETS + """, mp AS (SELECT 'N:0' AS src, 'N:2' AS dst UNION ALL SELECT 'N:1', 'N:2' UNION ALL SELECT 'N:3', 'X:gone' UNION ALL SELECT 'B:Brand#2', 'B:Brand#3'),
+ROLES = SETS + ", " + MERGED + """,
 tg AS (SELECT property, side, type, coalesce(dst, type) AS target FROM sets LEFT JOIN mp ON src = type), fin AS (SELECT DISTINCT property, side, target AS type FROM tg WHERE target IN (SELECT node FROM nodes)),
 roles AS (SELECT property, side, type, 'given' AS role FROM sets UNION SELECT property, side, type, 'merged' FROM tg WHERE type <> target AND target IN (SELECT node FROM nodes) UNION SELECT property, side, type, 'dropped' FROM tg WHERE target NOT IN (SELECT node FROM nodes)
   UNION SELECT a.property, a.side, a.type, 'redundant' FROM fin a JOIN fin b ON a.property = b.property AND a.side = b.side JOIN strict s ON s.node = a.type AND s.anc = b.type)"""
 
 
-@query("kg_type_roles", sql(more=ROLES, body="SELECT property, side, type, role FROM roles"))
+@query("kg_type_roles", sql("kg_mapping", more=ROLES, body="SELECT property, side, type, role FROM roles"))
 def q_roles(spark: SparkSession, d: str) -> DataFrame:
     """What became of the types before clustering; the final ones are tested against brute force."""
     e = kg(spark, d, "kg_edges")

@@ -45,9 +45,11 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
         "kg_facts": (["orders", "lineitem"], """
             SELECT DISTINCT concat('cust:', cast(o_custkey AS string)) AS s, 'bought' AS p, concat('part:', cast(l_partkey AS string)) AS o
             FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""),
-        "kg_constraints": ([], """
-            SELECT 'bought' AS property, 'subject' AS side, 'SEG:BUILDING' AS type UNION ALL SELECT 'bought', 'subject', 'R:1'
-            UNION ALL SELECT 'bought', 'object', 'T:PROMO' UNION ALL SELECT 'bought', 'object', 'B:Brand#4'"""),
+        "kg_constraints": (["customer", "region", "part"], """
+            SELECT DISTINCT 'bought' AS property, 'subject' AS side, concat('SEG:', c_mktsegment) AS type FROM customer WHERE c_mktsegment LIKE 'B%'
+            UNION ALL SELECT DISTINCT 'bought', 'subject', concat('R:', cast(r_regionkey AS string)) FROM region WHERE r_regionkey = 1
+            UNION ALL SELECT DISTINCT 'bought', 'object', concat('T:', p_type) FROM part WHERE p_type LIKE 'P%'
+            UNION ALL SELECT DISTINCT 'bought', 'object', concat('B:', p_brand) FROM part WHERE p_brand LIKE '%#4'"""),
         "kg_noisy": (["kg_edges"], """
             SELECT child, parent FROM kg_edges
             UNION SELECT child, 'C:product' FROM kg_edges WHERE child LIKE 'TB:%'
@@ -79,9 +81,12 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
             SELECT concat('part:', cast(p_partkey AS string)) AS inst, concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)) AS cls FROM part WHERE p_partkey % 7 <> 0
             UNION ALL SELECT concat('cust:', cast(c_custkey AS string)), concat('SEG:', c_mktsegment) FROM customer WHERE c_custkey % 10 <> 0
             UNION ALL SELECT concat('cust:', cast(c_custkey AS string)), concat('N:', cast(c_nationkey AS string)) FROM customer WHERE c_custkey % 10 <> 0"""),
-        "kg_mapping": ([], """
-            SELECT 'N:0' AS src, 'N:1' AS dst UNION ALL SELECT 'N:1', 'N:2' UNION ALL SELECT 'N:3', 'X:gone' UNION ALL SELECT 'B:Brand#2', 'B:Brand#3'
-            UNION ALL SELECT 'X:a', 'X:b' UNION ALL SELECT 'X:b', 'X:a'"""),
+        "kg_mapping": (["nation", "region", "part"], """
+            SELECT concat('N:', cast(n_nationkey AS string)) AS src, concat('N:', cast(n_nationkey + 1 AS string)) AS dst FROM nation WHERE n_nationkey < 2
+            UNION ALL SELECT concat('N:', cast(n_nationkey AS string)), 'X:gone' FROM nation WHERE n_nationkey % 10 = 3
+            UNION ALL SELECT DISTINCT concat('B:', p_brand), 'B:Brand#3' FROM part WHERE p_brand LIKE '%#2'
+            UNION ALL SELECT DISTINCT concat('TBS:', p_type, ':', p_brand, ':', cast(p_size AS string)), concat('TB:', p_type, ':', p_brand) FROM part WHERE p_size % 25 = 7
+            UNION ALL SELECT concat('X:', cast(r_regionkey AS string)), concat('X:', cast((r_regionkey + 1) % 5 AS string)) FROM region"""),
         "kg_labels": (["kg_edges"], """
             SELECT node, concat('class ', lower(node)) AS label FROM (SELECT child AS node FROM kg_edges UNION SELECT parent FROM kg_edges) n"""),
         "kg_predictions": (["kg_noisy"], f"""
@@ -126,7 +131,7 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
 
 
 #: Relations that plans read again and again are stage tables, written before they are used.
-STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_looped", "kg_deleted", "kg_inserted", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping"}
+STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_looped", "kg_deleted", "kg_inserted", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping", "kg_constraints"}
 SPARK = relations(_spark_hex4)
 DUCK = relations(_duck_hex4)
 
