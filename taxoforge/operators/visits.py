@@ -7,8 +7,11 @@ from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 
 class Visitor(Protocol):
@@ -46,3 +49,41 @@ def visit_entities(triples: DataFrame, make: Callable[[], Visitor], schema: str)
 def count_keys(lines: DataFrame, keys: Callable[[Column], Column], column: str = "value") -> DataFrame:
     """key, n: how often the lines give each key; ``keys`` makes an array of keys of a line."""
     return lines.select(F.explode(keys(F.col(column))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def entity_function(visitors: dict[str, tuple[Callable[[], Visitor], str]]) -> type:
+    """A table function of SQL for named visitors, each with the schema of its rows:
+
+    ``SELECT * FROM f(TABLE(triples), 'name')`` calls the visitor for each subject, with its distinct triples in order.
+    Its schema follows the name; the table is dealt and sorted by what the function itself asks for. ``result`` is called
+    after each subject, as the function knows no end of a task. Register with ``spark.udtf.register``.
+    """
+    schemas = {name: StructType.fromDDL(ddl) for name, (_, ddl) in visitors.items()}
+
+    class Entities:
+        @staticmethod
+        def analyze(table: AnalyzeArgument, name: AnalyzeArgument) -> AnalyzeResult:
+            if not table.isTable or not {"s", "p", "o"} <= set(table.dataType.names):
+                raise ValueError("the first argument must be a table with s, p and o")
+            if name.value not in schemas:
+                raise ValueError(f"no visitor is called {name.value}")
+            return AnalyzeResult(schemas[name.value], partitionBy=[PartitioningColumn("s")], orderBy=[OrderingColumn("p"), OrderingColumn("o")])
+
+        def __init__(self) -> None:
+            self.subject: str | None = None
+            self.facts: dict[str, list[str]] = {}
+            self.name = ""
+
+        def eval(self, row: Row, name: str) -> None:
+            self.subject, self.name = row["s"], name
+            known = self.facts.setdefault(row["p"], [])
+            if not known or known[-1] != row["o"]:  # in order, so a repeated triple follows itself
+                known.append(row["o"])
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.facts:
+                visitor = visitors[self.name][0]()
+                yield from visitor.visit(self.subject, self.facts)
+                yield from visitor.result()
+
+    return udtf(Entities)

@@ -19,7 +19,7 @@ from taxoforge.operators.closure import closure
 from taxoforge.plans.catalog import FACTS, MERGED, SETS, TRI, WIDE, _checked, _fact_inputs, _sets, query, sql
 from taxoforge.plans.projection import ROOT, kg
 from taxoforge.scratch import scratch_folder, stash
-from taxoforge.sources import readers, sinks
+from taxoforge.sources import readers, sinks, triple_source
 from taxoforge.streaming.typecheck import start_two_way
 
 
@@ -182,6 +182,47 @@ def q_ntriples(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_ntriples(spark, [f"{path}/a", f"{path}/b", f"{path}/c"], ["http://www.wikidata.org/prop/direct/P279"])
 
 
+PART_NT = """nt AS (SELECT concat('wd:Q', cast(p_partkey AS varchar)) AS s, 'wdt:P31' AS p, concat('wd:B', cast(p_size AS varchar)) AS o FROM part
+  UNION ALL SELECT concat('wd:Q', cast(p_partkey AS varchar)), 'rdfs:label', concat('"', p_name, ' é"@en') FROM part)"""
+
+
+def _part_lines(spark: SparkSession, d: str) -> str:
+    """Part as N-Triples in several files, one compressed, with other predicates, comments, broken and empty lines."""
+    part = _table(spark, d, "part")
+    s = F.concat(F.lit(f"<{WD}Q"), "p_partkey", F.lit("> "))
+    path = scratch_folder(spark, "triples")
+    kind = F.concat(s, F.lit(f"<http://www.wikidata.org/prop/direct/P31> <{WD}B"), "p_size", F.lit("> ."))
+    label = F.concat(s, F.lit('<http://www.w3.org/2000/01/rdf-schema#label> "'), "p_name", F.lit(' \\u00e9"@en . # <a> <b> <c>'))
+    other = F.concat(s, F.lit('<http://schema.org/name> "'), "p_name", F.lit('" .'))
+    _lines(part, F.concat_ws("\n", kind, F.lit("# a comment"), other, F.lit("")), f"{path}/a")
+    _lines(part, F.concat_ws("\n", F.lit("broken <line"), label), f"{path}/b", compression="gzip")
+    return path
+
+
+@query("kg_io_source", "WITH " + PART_NT + " SELECT s, p, o FROM nt")
+def q_source(spark: SparkSession, d: str) -> DataFrame:
+    """A dump through the source of its own: two predicates, asked for as a filter."""
+    triple_source.register(spark)
+    lines = spark.read.format("ntriples").option("splitBytes", 4096).load(_part_lines(spark, d))
+    return triple_source.triples(lines.filter(F.col("p").isin("wdt:P31", "rdfs:label")))
+
+
+@query("kg_io_source_stream", "WITH " + PART_NT + " SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM nt GROUP BY p UNION ALL SELECT NULL, count(*), 1 FROM part")
+def q_source_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same reader on a stream of the dump's files; broken lines are counted too."""
+    triple_source.register(spark)
+    lines = spark.readStream.format("ntriples").load(_part_lines(spark, d))
+    root = scratch_folder(spark, "triple-stream")
+    q = lines.writeStream.format("parquet").option("checkpointLocation", f"{root}/log").start(f"{root}/lines")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.schema(triple_source.SCHEMA).parquet(f"{root}/lines")
+    wanted = got.filter("p is null or p in ('wdt:P31', 'rdfs:label')")
+    return wanted.withColumn("s", F.when(F.col("p").isNotNull(), F.split("value", " ")[0]).otherwise("")).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+
+
 @query("kg_io_turtle", sql(TRI, clo=False, body="SELECT DISTINCT s, p, o FROM kg_triples"))
 def q_turtle_file(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_turtle(spark, _lines(sinks.turtle(kg(spark, d, TRI)), F.col("value"), scratch_folder(spark, "ttl")))
@@ -229,6 +270,34 @@ def q_visits(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("s").agg(*(F.sum(c).alias(c) for c in ("n_predicates", "n_facts", "n_seen")))
 
 
+class _Degree:
+    def visit(self, subject: str, facts: dict[str, list[str]]) -> list[tuple]:
+        return [(subject, len(facts), sum(map(len, facts.values())))]
+
+    def result(self) -> list[tuple]:
+        return []
+
+
+class _Predicates:
+    def visit(self, subject: str, facts: dict[str, list[str]]) -> list[tuple]:
+        return [(subject, p, os[0]) for p, os in facts.items()]
+
+    def result(self) -> list[tuple]:
+        return []
+
+
+@query("kg_entity_function", sql(TRI, clo=False, more="t AS (SELECT DISTINCT s, p, o FROM kg_triples)", body="""SELECT a.s AS s, n_predicates, n_facts, f.p AS p, f.o AS first_o
+  FROM (SELECT s, count(DISTINCT p) AS n_predicates, count(*) AS n_facts FROM t GROUP BY s) a JOIN (SELECT s, p, min(o) AS o FROM t GROUP BY s, p) f ON f.s = a.s"""))
+def q_entity_function(spark: SparkSession, d: str) -> DataFrame:
+    """Two visitors called from SQL, whose rows have different schemas."""
+    function = visits.entity_function({"degree": (_Degree, "s string, n_predicates long, n_facts long"), "predicates": (_Predicates, "s string, p string, o string")})
+    spark.udtf.register("visit_entities", function)
+    t = stash(kg(spark, d, TRI), "visited")
+    t.unionByName(t.limit(50)).createOrReplaceTempView("taxoforge_visited")
+    return spark.sql("""SELECT a.s, a.n_predicates, a.n_facts, f.p, f.o AS first_o FROM visit_entities(TABLE(taxoforge_visited), 'degree') a
+        JOIN visit_entities(TABLE(taxoforge_visited), 'predicates') f ON f.s = a.s""")
+
+
 @query("kg_line_keys", "SELECT key, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS key FROM conversations) x GROUP BY key")
 def q_line_keys(spark: SparkSession, d: str) -> DataFrame:
     return visits.count_keys(_table(spark, d, "conversations"), lambda line: F.split(line, " "), "text")
