@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from taxoforge.functions.terms import in_english, is_literal
 from taxoforge.operators.closure import nearest_kept, nodes_of
 from taxoforge.operators.graph import resolve_mapping
+from taxoforge.scratch import HEAVY_PARTS, stash
 
 # Predicates and the reasons for which a triple is no fact.
 TYPE, SUBCLASS = "wdt:P31", "wdt:P279"
@@ -24,16 +25,51 @@ def keep_predicates(triples: DataFrame, predicates: list[str]) -> DataFrame:
     return triples.filter(F.col("p").isin(predicates))
 
 
-def flagged(df: DataFrame, column: str, members: DataFrame, name: str) -> DataFrame:
-    """df with a boolean: is the column's value among members (one column)? Members are taken once each."""
-    m = members.distinct().toDF("member").withColumn("hit", F.lit(True))
-    return df.join(m, F.col(column) == F.col("member"), "left").withColumn(name, F.coalesce("hit", F.lit(False))).drop("member", "hit")
+#: Keys that the search for hot ones keeps count of; its counts are off by a few parts in this many of all rows.
+TRACKED = 20_000
+
+
+def hot_keys(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """Values of each column that hold over 1/HEAVY_PARTS of all rows, fewer than twice HEAVY_PARTS, from one pass with a
+    sketch of frequent items. They decide how rows travel, never what comes out. Streams, which can't be passed over
+    beforehand, have none."""
+    if df.isStreaming:
+        return {c: [] for c in columns}
+    top = df.agg(F.count("*").alias("n"), *(F.expr(f"approx_top_k({c}, {HEAVY_PARTS}, {TRACKED})").alias(c) for c in columns)).first()
+    bar = max(1, top["n"] // HEAVY_PARTS)
+    return {c: [x["item"] for x in top[c] or () if x["count"] > bar and x["item"] is not None] for c in columns}
+
+
+def looked_up(df: DataFrame, column: str, members: DataFrame, hot: list) -> DataFrame:
+    """df left joined with members (member, unique, and more columns) on a column. Rows of hot values get theirs from the few
+    members sent out to all, and are spread over the shuffle of the others by their own hash."""
+    names = [c for c in members.columns if c != "member"]
+    if not hot:
+        return df.join(members, F.col(column) == F.col("member"), "left").drop("member")
+    few = df.sparkSession.createDataFrame([(x,) for x in hot], "hot string")
+    few = stash(few.join(members, F.col("hot") == F.col("member"), "left").select("hot", *(F.col(c).alias(f"hot_{c}") for c in names)), "hot-members")
+    near = df.join(F.broadcast(few), F.col(column) == F.col("hot"), "left")
+    spread = F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))
+    near = near.withColumn("join_key", F.when(F.col("hot").isNotNull(), spread).otherwise(F.col(column)))
+    out = near.join(members, F.col("join_key") == F.col("member"), "left")
+    return out.select(*(df[c] for c in df.columns), *(F.when(F.col("hot").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(c)).alias(c) for c in names))
+
+
+def flagged(df: DataFrame, column: str, sets: dict[str, DataFrame], hot: list) -> DataFrame:
+    """df with a boolean for each set: is the column's value among its members (one column)? One join for all sets."""
+    every = None
+    for name, members in sets.items():
+        one = members.toDF("member").select("member", *(F.lit(n == name).alias(n) for n in sets))
+        every = one if every is None else every.unionByName(one)
+    known = every.groupBy("member").agg(*(F.bool_or(n).alias(n) for n in sets))
+    return looked_up(df, column, known, hot).fillna(False, list(sets))
 
 
 def type_verdicts(triples: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
     """s, p, o, verdict of type statements; null: kept. Items with neither type nor label get one row of their own."""
     typed = triples.filter(F.col("p") == TYPE)
-    t = flagged(flagged(typed, "s", labelled, "named"), "o", classes, "known")
+    hot = hot_keys(typed, ["s", "o"])
+    t = flagged(flagged(typed, "s", {"named": labelled}, hot["s"]), "o", {"known": classes}, hot["o"])
     verdict = F.when(~F.col("named"), "instance_no_label").when(~F.col("known"), F.concat(F.lit("type_"), F.col("o"), F.lit("_not_a_valid_class")))
     rows = t.select("s", "p", "o", verdict.alias("verdict"))
     bare = triples.select("s").distinct().join(typed.select("s"), "s", "left_anti").join(labelled.distinct().toDF("s"), "s", "left_anti")
@@ -42,11 +78,10 @@ def type_verdicts(triples: DataFrame, labelled: DataFrame, classes: DataFrame) -
 
 def fact_verdicts(triples: DataFrame, labelled: DataFrame, unlabelled: DataFrame, scholarly: DataFrame, identifiers: DataFrame) -> DataFrame:
     """s, p, o, verdict of all triples; kept ones have the verdict "kept", those that go without a trace "silent:..."."""
-    t = flagged(triples, "s", scholarly, "paper")
-    t = flagged(t, "s", labelled, "named")
-    t = flagged(t, "s", unlabelled, "bare_s")
-    t = flagged(t, "o", unlabelled, "bare_o")
-    t = flagged(t, "p", identifiers, "external")
+    hot = hot_keys(triples, ["s", "p", "o"])
+    t = flagged(triples, "s", {"paper": scholarly, "named": labelled, "bare_s": unlabelled}, hot["s"])
+    t = flagged(t, "o", {"bare_o": unlabelled}, hot["o"])
+    t = flagged(t, "p", {"external": identifiers}, hot["p"])
     s, p, o = F.col("s"), F.col("p"), F.col("o")
     verdict = (
         F.when(p == "rdf:type", "silent:type")
@@ -109,12 +144,14 @@ def satisfied(types: DataFrame, full: DataFrame, constraints: DataFrame) -> Data
 def _checked(facts: DataFrame, types: DataFrame, full: DataFrame, constraints: DataFrame) -> DataFrame:
     ok = satisfied(types, full, constraints)
     has = constraints.groupBy(F.col("property").alias("p")).agg(F.bool_or(F.col("side") == "subject").alias("has_domain"), F.bool_or(F.col("side") == "object").alias("has_range"))
-    f = facts.join(has, "p", "left").fillna(False, ["has_domain", "has_range"])
-    typed = types.select("inst").distinct()
+    hot = hot_keys(facts, ["s", "p", "o"])
+    f = looked_up(facts, "p", has.withColumnRenamed("p", "member"), hot["p"]).fillna(False, ["has_domain", "has_range"])
     for side, column in (("subject", "s"), ("object", "o")):
-        f = flagged(f, column, typed, f"typed_{side}")
-        right = ok.filter(F.col("side") == side).select(F.col("property").alias("p"), F.col("inst").alias(column), F.lit(True).alias(f"fits_{side}"))
-        f = f.join(right, ["p", column], "left").fillna(False, [f"fits_{side}"])
+        # What an instance fits on a side is a list of properties, so one join says whether it is typed and whether it fits.
+        fits = ok.filter(F.col("side") == side).groupBy("inst").agg(F.collect_set("property").alias("fit"))
+        known = types.select("inst").distinct().join(fits, "inst", "left").select(F.col("inst").alias("member"), F.lit(True).alias(f"typed_{side}"), "fit")
+        f = looked_up(f, column, known, hot[column]).fillna(False, [f"typed_{side}"])
+        f = f.withColumn(f"fits_{side}", F.coalesce(F.array_contains("fit", F.col("p")), F.lit(False))).drop("fit")
     return f
 
 
