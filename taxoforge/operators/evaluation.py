@@ -206,13 +206,9 @@ PIVOTS = 32
 ROUNDING = 1e-9
 
 
-def ball_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """keys, block, n, dim, vecs (binary), centre, radius, far (length of the centre), rep (one of its vectors): the vectors
-    of rows (keys, node, vec) in blocks of about ``block_rows``, by nearest pivot and hash, so that none grows with its
-    group."""
-    given = rows.select(*keys, "node", F.col("vec").cast("array<double>").alias("vec"))
+def _near_pivots(given: DataFrame, keys: list[str], block_rows: int, total: int) -> DataFrame:
+    """given with block: its nearest pivot, and a part by hash where that has too many rows of a group."""
     pivots = [r["vec"] for r in given.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
-    total = given.count()
     cells = lambda n: F.least(F.lit(PIVOTS), F.ceil(n / block_rows)).cast("int")  # noqa: E731  a small group needs few
     counts = given.groupBy(*keys).agg(F.count("*").alias("group_n"))
     kinds = ", ".join(f"{c} {t}" for c, t in given.dtypes)
@@ -230,7 +226,19 @@ def ball_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     sizes = near.groupBy(*keys, "cell").agg(F.count("*").alias("weight"))
     sizes = sizes.withColumn("parts", F.ceil(F.col("weight") / block_rows))
     cut = heavy_join(near, sizes, [*keys, "cell"], "weight", total)
-    cut = cut.withColumn("block", F.col("cell") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), F.col("parts")))
+    return cut.withColumn("block", F.col("cell") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), F.col("parts")))
+
+
+def ball_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """keys, block, n, dim, vecs (binary), centre, radius, far (length of the centre), rep (one of its vectors): the vectors
+    of rows (keys, node, vec) in blocks of about ``block_rows``, by nearest pivot and hash, so that none grows with its
+    group."""
+    given = rows.select(*keys, "node", F.col("vec").cast("array<double>").alias("vec"))
+    total = given.count()
+    if total <= block_rows:  # every group is one block
+        cut = given.withColumn("block", F.lit(0).cast("long"))
+    else:
+        cut = _near_pivots(given, keys, block_rows, total)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(pdf["vec"])

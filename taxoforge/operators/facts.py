@@ -55,6 +55,18 @@ def looked_up(df: DataFrame, column: str, members: DataFrame, hot: list) -> Data
     return out.select(*(df[c] for c in df.columns), *(F.when(F.col("hot").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(c)).alias(c) for c in names))
 
 
+#: Predicates sent out to all tasks at most, a name and a few booleans each.
+SENT_ROWS = 10_000
+
+
+def by_predicate(df: DataFrame, members: DataFrame, hot: list) -> DataFrame:
+    """looked_up on p. Predicates are few as a rule, and each is hot: counted and sent out, so the facts don't travel."""
+    members = stash(members, "predicates")
+    if members.count() > SENT_ROWS:
+        return looked_up(df, "p", members, hot)
+    return df.join(F.broadcast(members), F.col("p") == F.col("member"), "left").drop("member")
+
+
 def flagged(df: DataFrame, column: str, sets: dict[str, DataFrame], hot: list) -> DataFrame:
     """df with a boolean for each set: is the column's value among its members (one column)? One join for all sets."""
     every = None
@@ -62,7 +74,8 @@ def flagged(df: DataFrame, column: str, sets: dict[str, DataFrame], hot: list) -
         one = members.toDF("member").select("member", *(F.lit(n == name).alias(n) for n in sets))
         every = one if every is None else every.unionByName(one)
     known = every.groupBy("member").agg(*(F.bool_or(n).alias(n) for n in sets))
-    return looked_up(df, column, known, hot).fillna(False, list(sets))
+    found = by_predicate(df, known, hot) if column == "p" else looked_up(df, column, known, hot)
+    return found.fillna(False, list(sets))
 
 
 def type_verdicts(triples: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,7 +158,7 @@ def _checked(facts: DataFrame, types: DataFrame, full: DataFrame, constraints: D
     ok = satisfied(types, full, constraints)
     has = constraints.groupBy(F.col("property").alias("p")).agg(F.bool_or(F.col("side") == "subject").alias("has_domain"), F.bool_or(F.col("side") == "object").alias("has_range"))
     hot = hot_keys(facts, ["s", "p", "o"])
-    f = looked_up(facts, "p", has.withColumnRenamed("p", "member"), hot["p"]).fillna(False, ["has_domain", "has_range"])
+    f = by_predicate(facts, has.withColumnRenamed("p", "member"), hot["p"]).fillna(False, ["has_domain", "has_range"])
     for side, column in (("subject", "s"), ("object", "o")):
         # What an instance fits on a side is a list of properties, so one join says whether it is typed and whether it fits.
         fits = ok.filter(F.col("side") == side).groupBy("inst").agg(F.collect_set("property").alias("fit"))

@@ -131,7 +131,7 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
 
 
 #: Relations that plans read again and again are stage tables, written before they are used.
-STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_looped", "kg_deleted", "kg_inserted", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping", "kg_constraints"}
+STORED = {"kg_edges", "kg_noisy", "kg_cyclic", "kg_looped", "kg_deleted", "kg_inserted", "kg_chained", "kg_counts", "kg_labels", "kg_predictions", "kg_triples", "kg_ontology", "kg_mapping", "kg_constraints", "kg_facts"}
 SPARK = relations(_spark_hex4)
 DUCK = relations(_duck_hex4)
 
