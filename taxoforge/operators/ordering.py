@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxoforge.functions.vectors import dot
@@ -14,25 +14,50 @@ from taxoforge.operators.scc import strong_components
 from taxoforge.scratch import stash
 
 
+#: Rows of a range of numbers whose sums are taken together.
+RANGE_ROWS = 4096
+
+
+def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """df with each row's place, from 1, in the order of ``keys``, which must tell all rows apart. Rows are dealt into ranges
+    of the order, numbered inside each, and moved up by what the ranges before hold; one small row per range comes together."""
+    dealt = stash(df.repartitionByRange(*keys).withColumn("range_no", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("range_no").agg(F.count("*").alias("range_n"))
+    before = sizes.select("range_no", (F.sum("range_n").over(Window.orderBy("range_no")) - F.col("range_n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range_no").orderBy(*keys))
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), "range_no").withColumn(name, F.col("before") + F.col("inside")).drop("range_no", "inside", "before")
+
+
+def running_sum(df: DataFrame, number: str, value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` up to each row, in the order of ``number``, places from 1 without gaps."""
+    cut = df.withColumn("range_no", F.floor(F.col(number) / RANGE_ROWS))
+    sums = cut.groupBy("range_no").agg(F.sum(value).alias("range_sum"))
+    before = sums.select("range_no", (F.sum("range_sum").over(Window.orderBy("range_no")) - F.col("range_sum")).alias("before"))
+    inside = F.sum(value).over(Window.partitionBy("range_no").orderBy(number))
+    return cut.withColumn("inside", inside).join(before, "range_no").withColumn(name, F.col("before") + F.col("inside")).drop("range_no", "inside", "before")
+
+
 def edge_order(edges: DataFrame, root: str) -> DataFrame:
     """child, parent, level, ins, ord: by level of the parent, then parents of the child (most first), child, parent
-    (both last name first). Windows see the class graph only, not instances."""
+    (both last name first)."""
     e = edges.select("child", "parent").distinct()
     ins = e.groupBy("child").agg(F.count("*").alias("ins"))
     level = depths(e, root).select(F.col("node").alias("parent"), F.col("depth").alias("level"))
-    w = Window.orderBy("level", F.desc("ins"), F.desc("child"), F.desc("parent"))
-    return e.join(ins, "child").join(level, "parent").select("child", "parent", "level", "ins", F.row_number().over(w).alias("ord"))
+    keys = [F.col("level"), F.desc("ins"), F.desc("child"), F.desc("parent")]
+    return numbered(e.join(ins, "child").join(level, "parent").select("child", "parent", "level", "ins"), keys, "ord")
 
 
 def order_by_similarity(ordered: DataFrame, similarity: DataFrame, ascending: bool = True) -> DataFrame:
     """The same with ``ord`` renumbered: inside runs of consecutive edges with equal (ins, child), by similarity
     (child, parent, sim); stable. Runs may cross levels."""
-    w = Window.orderBy("ord")
-    changed = (F.lag("ins").over(w) == F.col("ins")) & (F.lag("child").over(w) == F.col("child"))
-    runs = ordered.withColumn("start", F.when(F.coalesce(changed, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("start").over(w))
+    ordered = stash(ordered, "ordered")
+    last = ordered.select((F.col("ord") + 1).alias("ord"), F.col("ins").alias("last_ins"), F.col("child").alias("last_child"))
+    same = (F.col("last_ins") == F.col("ins")) & (F.col("last_child") == F.col("child"))
+    starts = ordered.join(last, "ord", "left").withColumn("start", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).drop("last_ins", "last_child")
+    runs = running_sum(starts, "ord", "start", "run").drop("start")
     key = F.col("sim").asc_nulls_last() if ascending else F.col("sim").desc_nulls_last()
-    both = runs.join(similarity.select("child", "parent", "sim"), ["child", "parent"], "left")
-    return both.select("child", "parent", "level", "ins", "run", "sim", F.row_number().over(Window.orderBy("run", key, "ord")).alias("ord"))
+    both = runs.join(similarity.select("child", "parent", "sim"), ["child", "parent"], "left").withColumnRenamed("ord", "old")
+    return numbered(both, [F.col("run"), key, F.col("old")], "ord").select("child", "parent", "level", "ins", "run", "sim", "ord")
 
 
 def edge_similarity(edges: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -225,3 +225,15 @@ def test_pruned_products_count_the_same(spark):
     assert work["multiplied"] < work["pairs"] / 2
     one = evaluation.robustness(df.select(F.lit(1).alias("grp"), "node"), vectors, block_rows=30).first()  # all vectors in one group
     assert (one["n"], one["intruders"]) == (801, 0)
+
+
+def test_numbers_without_a_single_task(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 7)
+    rows = random.Random(3).sample([(i % 9, f"n{i}", i % 4) for i in range(200)], 200)
+    df = spark.createDataFrame(rows, "a int, b string, v int").repartition(6)
+    got = ordering.running_sum(ordering.numbered(df, [F.desc("a"), F.col("b")], "ord"), "ord", "v", "total").collect()
+    total = 0
+    for place, (r, want) in enumerate(zip(sorted(got, key=lambda r: r["ord"]), sorted(rows, key=lambda x: (-x[0], x[1]))), 1):
+        total += want[2]
+        assert (r["ord"], r["a"], r["b"], r["total"]) == (place, want[0], want[1], total)
+    assert ordering.numbered(df.limit(0), [F.col("a")], "ord").count() == 0
