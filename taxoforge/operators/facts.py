@@ -154,8 +154,7 @@ def satisfied(types: DataFrame, full: DataFrame, constraints: DataFrame) -> Data
     return types.join(above, F.col("cls") == F.col("node")).select("property", "side", "inst").distinct()
 
 
-def _checked(facts: DataFrame, types: DataFrame, full: DataFrame, constraints: DataFrame) -> DataFrame:
-    ok = satisfied(types, full, constraints)
+def _checked(facts: DataFrame, types: DataFrame, constraints: DataFrame, ok: DataFrame) -> DataFrame:
     has = constraints.groupBy(F.col("property").alias("p")).agg(F.bool_or(F.col("side") == "subject").alias("has_domain"), F.bool_or(F.col("side") == "object").alias("has_range"))
     hot = hot_keys(facts, ["s", "p", "o"])
     f = by_predicate(facts, has.withColumnRenamed("p", "member"), hot["p"]).fillna(False, ["has_domain", "has_range"])
@@ -181,12 +180,17 @@ def check_facts(facts: DataFrame, types: DataFrame, full: DataFrame, constraints
 
     facts: s, p, o; types: inst, cls; constraints: property, side (subject or object), type.
     """
-    return _checked(facts, types, full, constraints).select("s", "p", "o", *(extra or []), _verdict().alias("verdict"))
+    return verdicts_by(facts, types, constraints, satisfied(types, full, constraints), extra)
+
+
+def verdicts_by(facts: DataFrame, types: DataFrame, constraints: DataFrame, ok: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """check_facts with what it works out first already known: ok (property, side, inst), see ``satisfied``."""
+    return _checked(facts, types, constraints, ok).select("s", "p", "o", *(extra or []), _verdict().alias("verdict"))
 
 
 def double_failures(facts: DataFrame, types: DataFrame, full: DataFrame, constraints: DataFrame) -> DataFrame:
     """s, p, o, reason: facts that fail on both sides at once, rows of statistics beside the verdicts."""
-    f = _checked(facts, types, full, constraints).filter("has_domain and has_range")
+    f = _checked(facts, types, constraints, satisfied(types, full, constraints)).filter("has_domain and has_range")
     none = ~F.col("typed_subject") & ~F.col("typed_object")
     both = F.col("typed_subject") & F.col("typed_object") & ~F.col("fits_subject") & ~F.col("fits_object")
     reason = F.when(none, "no_types_for_domain_and_range").when(both, "both_domain_and_range_constraint_not_satisfied")

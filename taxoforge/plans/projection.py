@@ -70,6 +70,25 @@ def relations(hex4: Callable[[str], str]) -> dict[str, tuple[list[str], str]]:
             SELECT DISTINCT concat('TBS:', a.p_type, ':', a.p_brand, ':', cast(a.p_size AS string)) AS child, concat('B:', b.p_brand) AS parent FROM part a JOIN (SELECT DISTINCT p_size, p_brand FROM part) b ON a.p_size = b.p_size
             UNION SELECT concat('B:', a.p_brand), concat('TB:', a.p_type, ':', a.p_brand) FROM part a UNION SELECT concat('TB:', a.p_type, ':', a.p_brand), 'C:entity' FROM part a
             UNION SELECT concat('T:', p_type), 'C:nowhere' FROM part UNION SELECT concat('T:', p_type), concat('T:', p_type) FROM part"""),
+        "kg_type_changes": (["kg_types", "part", "customer"], f"""
+            SELECT inst, cls, -1 AS change FROM kg_types WHERE {hex4("concat(inst, '|', cls)")} % 19 = 0 OR {hex4("inst")} % 41 = 0
+            UNION ALL SELECT concat('cust:', cast(c_custkey AS string)), 'R:1', 1 FROM customer WHERE {hex4("concat('+', c_mktsegment, cast(c_custkey AS string))")} % 37 = 0
+            UNION ALL SELECT concat('part:', cast(p_partkey AS string)), concat('T:', p_type), 1 FROM part WHERE {hex4("concat('+', p_brand, cast(p_partkey AS string))")} % 23 = 0"""),
+        "kg_types_after": (["kg_types", "kg_type_changes"], """
+            SELECT inst, cls FROM (SELECT inst, cls FROM kg_types EXCEPT SELECT inst, cls FROM kg_type_changes WHERE change = -1) k UNION SELECT inst, cls FROM kg_type_changes WHERE change = 1"""),
+        "kg_constraint_changes": (["kg_constraints", "part"], f"""
+            SELECT property, side, type, -1 AS change FROM kg_constraints WHERE {hex4("concat(type, '-')")} % 3 = 0
+            UNION ALL SELECT DISTINCT 'bought', 'object', concat('TB:', p_type, ':', p_brand), 1 FROM part WHERE p_type LIKE 'S%' AND p_brand LIKE '%#1%'
+            UNION ALL SELECT DISTINCT 'returned', 'object', concat('T:', p_type), 1 FROM part WHERE p_type LIKE 'E%'"""),
+        "kg_constraints_after": (["kg_constraints", "kg_constraint_changes"], """
+            SELECT property, side, type FROM (SELECT property, side, type FROM kg_constraints EXCEPT SELECT property, side, type FROM kg_constraint_changes WHERE change = -1) k
+            UNION SELECT property, side, type FROM kg_constraint_changes WHERE change = 1"""),
+        "kg_fact_changes": (["kg_facts", "orders", "lineitem"], f"""
+            SELECT s, p, o, -1 AS change FROM kg_facts WHERE {hex4("concat(s, '|', o)")} % 17 = 0
+            UNION ALL SELECT DISTINCT concat('cust:', cast(o_custkey AS string)), 'returned', concat('part:', cast(l_partkey AS string)), 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
+            UNION ALL SELECT DISTINCT concat('cust:', cast(o_custkey AS string)), 'bought', concat('part:', cast(o_custkey AS string)), 1 FROM orders"""),
+        "kg_facts_after": (["kg_facts", "kg_fact_changes"], """
+            SELECT s, p, o FROM (SELECT s, p, o FROM kg_facts EXCEPT SELECT s, p, o FROM kg_fact_changes WHERE change = -1) k UNION SELECT s, p, o FROM kg_fact_changes WHERE change = 1"""),
         "kg_chained": (["kg_noisy", "nation"], """
             SELECT child, parent FROM kg_noisy UNION SELECT 'X:up', 'C:place' UNION SELECT 'X:mid', 'X:up' UNION SELECT 'X:low', 'X:mid'
             UNION SELECT concat('X:leaf', cast(n_nationkey AS string)), 'X:low' FROM nation UNION SELECT 'X:side', 'C:agent' UNION SELECT 'C:customer', 'X:side'"""),
