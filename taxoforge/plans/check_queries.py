@@ -9,7 +9,8 @@ from taxoforge.operators import checks
 from taxoforge.operators.closure import closure
 from taxoforge.plans.catalog import query, sql
 from taxoforge.plans.projection import kg
-from taxoforge.scratch import stash
+from taxoforge.scratch import scratch_folder, stash
+from taxoforge.streaming.waiting import EVENT, start_waiting
 
 # ---- under changes -----------------------------------------------------------------------------------------------
 
@@ -53,3 +54,30 @@ def q_changed(spark: SparkSession, d: str) -> DataFrame:
 def q_usage_kept_up(spark: SparkSession, d: str) -> DataFrame:
     """How often kept facts use each constraint, after the changes."""
     return _changed(spark, d).usage
+
+
+# ---- facts that come before their types --------------------------------------------------------------------------
+
+
+def write_events(types: DataFrame, facts: DataFrame, path: str, files: int = 3) -> None:
+    """Types (inst, cls) and facts (s, p, o) as events in an order that nothing follows, within 50 minutes; then two signs
+    of life of the clock, much later, so that all that waits comes to its end."""
+    no = F.lit(None).cast("string")
+    said = types.select(F.lit("type").alias("kind"), "inst", "cls", no.alias("s"), no.alias("p"), no.alias("o"))
+    rows = said.unionByName(facts.select(F.lit("fact").alias("kind"), no.alias("inst"), no.alias("cls"), "s", "p", "o"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64(*rows.columns), F.lit(3000)))
+    rows.withColumn("ts", at).repartition(files, F.xxhash64(F.lit("file"), *rows.columns)).write.mode("append").parquet(path)
+    for late in (100_000, 200_000):
+        tick = types.sparkSession.range(1, numPartitions=1).select(F.lit("type").alias("kind"), F.lit("clock").alias("inst"), F.lit("tick").alias("cls"), no.alias("s"), no.alias("p"), no.alias("o"), F.timestamp_seconds(F.lit(1_700_000_000 + late)).alias("ts"))
+        tick.write.mode("append").parquet(path)
+
+
+@query("kg_stream_waiting", sql("kg_facts", "kg_untyped", "kg_constraints", more=check_sql("0", "kg_untyped", "kg_constraints", "kg_facts"), body="SELECT s, p, o, verdict FROM w0"))
+def q_waiting(spark: SparkSession, d: str) -> DataFrame:
+    """The type check on a stream of types and facts in mixed order, where facts wait for their types."""
+    root = scratch_folder(spark, "waiting")
+    write_events(kg(spark, d, "kg_untyped"), kg(spark, d, "kg_facts"), f"{root}/in", files=2)
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    full = stash(closure(kg(spark, d, "kg_edges")), "closure")
+    start_waiting(events, full, kg(spark, d, "kg_constraints"), f"{root}/out", f"{root}/log", lateness="2 hours").awaitTermination()
+    return spark.read.schema("s string, p string, o string, verdict string").parquet(f"{root}/out")
