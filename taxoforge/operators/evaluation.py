@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxoforge.functions.vectors import dot
 from taxoforge.operators.graph import ancestor_subgraph, edge_difference
 from taxoforge.scratch import heavy_join, stash
 
@@ -230,7 +229,7 @@ def _near_pivots(given: DataFrame, keys: list[str], block_rows: int, total: int)
 
 
 def ball_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """keys, block, n, dim, vecs (binary), centre, radius, far (length of the centre), rep (one of its vectors): the vectors
+    """keys, block, n, dim, vecs (binary), centre, radius, far (length of the centre): the vectors
     of rows (keys, node, vec) in blocks of about ``block_rows``, by nearest pivot and hash, so that none grows with its
     group."""
     given = rows.select(*keys, "node", F.col("vec").cast("array<double>").alias("vec"))
@@ -243,52 +242,70 @@ def ball_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(pdf["vec"])
         c = v.mean(0)
-        ball = {"n": len(v), "dim": v.shape[1], "vecs": v.tobytes(), "centre": c, "radius": float(np.sqrt(((v - c) ** 2).sum(1).max())), "far": float(np.sqrt((c * c).sum())), "rep": v[0]}
+        ball = {"n": len(v), "dim": v.shape[1], "vecs": v.tobytes(), "centre": c, "radius": float(np.sqrt(((v - c) ** 2).sum(1).max())), "far": float(np.sqrt((c * c).sum()))}
         return pd.DataFrame([dict(zip([*keys, "block"], key)) | ball])
 
     own = ", ".join(f"{c} {t}" for c, t in given.dtypes if c in keys)
-    return cut.groupBy(*keys, "block").applyInPandas(pack, f"{own}{', ' if own else ''}block long, n long, dim int, vecs binary, centre array<double>, radius double, far double, rep array<double>")
+    return cut.groupBy(*keys, "block").applyInPandas(pack, f"{own}{', ' if own else ''}block long, n long, dim int, vecs binary, centre array<double>, radius double, far double")
 
 
-def _ends(blocks: DataFrame, name: str) -> DataFrame:
-    """Blocks without their vectors, columns named for one side of a pair; grp keeps its name."""
-    return blocks.select(*[F.col(c) if c == "grp" else F.col(c).alias(f"{name}_{c}") for c in blocks.columns if c != "vecs"])
+#: Bytes of vectors of a tile's side, and sides that a grid is cut into at least: up to GRID * TILE_BYTES of vectors each block
+#: is sent to GRID tiles, so what is shuffled grows with the vectors, not with their pairs.
+TILE_BYTES, GRID = 32 << 20, 8
+BALL = ["block", "n", "dim", "vecs", "centre", "radius", "far"]
 
 
-def _bounds(pairs: DataFrame) -> DataFrame:
-    """pairs (of blocks a and b) with low and high, between which all their products lie."""
-    mid = dot(F.col("a_centre"), F.col("b_centre"))
-    reach = F.col("a_far") * F.col("b_radius") + F.col("b_far") * F.col("a_radius") + F.col("a_radius") * F.col("b_radius") + ROUNDING
-    return pairs.withColumns({"low": mid - reach, "high": mid + reach})
+def _sides(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sides, blocks: into how many sides of tiles the blocks of a key are cut."""
+    size = blocks.groupBy(*keys).agg(F.sum(F.col("n") * F.col("dim") * 8).alias("size"), F.count("*").alias("blocks"))
+    return size.select(*keys, F.greatest(F.least("blocks", F.lit(GRID)), F.ceil(F.col("size") / TILE_BYTES), F.lit(1)).cast("int").alias("sides"), "blocks")
 
 
-def _products(pairs: DataFrame, a: DataFrame, b: DataFrame, b_keys: list[str], measure: Callable[..., float], schema: str) -> DataFrame:
-    """grp and what ``measure`` makes of (vectors of a, vectors of b, bar) for each of the pairs (grp, a_block, b_block, bar),
-    each pair a row of its own, spread by its b."""
-    kind = dict(pairs.dtypes)["grp"]
-    left = a.select("grp", F.col("block").alias("a_block"), F.col("vecs").alias("a_vecs"), "dim")
-    right = b.select(*b_keys, F.col("block").alias("b_block"), F.col("vecs").alias("b_vecs"))
-    both = pairs.join(left, ["grp", "a_block"]).join(right, [*b_keys, "b_block"])
+def _tiles(a: DataFrame, b: DataFrame, keys: list[str], half: bool, kernel: Callable[[pa.Table, pa.Table, bool], list[tuple]], schema: str) -> DataFrame:
+    """What ``kernel`` makes of (blocks of a, blocks of b, whether both are the same) for the tiles of a grid for each key;
+    with ``half``, a and b are one table and a tile is not mirrored. A tile is a row of two tasks' inputs, never of pairs."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    if keys:
+        total = a.count()
+        sides = stash(_sides(a, keys), "grid").select(*keys, F.col("sides").alias("a_sides"), "blocks")
+        own = sides if half else stash(_sides(b, keys), "grid").select(*keys, F.col("sides").alias("b_sides"), F.col("blocks").alias("b_blocks")).join(sides, keys)
+        own = own.withColumn("b_sides", F.col("a_sides")) if half else own
+        a = heavy_join(a, own.select(*keys, "a_sides", "b_sides", "blocks"), keys, "blocks", total)
+        b = a if half else heavy_join(b, own.select(*keys, "a_sides", "b_sides", F.col("b_blocks").alias("blocks")), keys, "blocks", b.count())
+    else:
+        wide = [_sides(x, []).first()["sides"] for x in (a, b)]
+        a, b = (x.withColumns({"a_sides": F.lit(wide[0]), "b_sides": F.lit(wide[1])}) for x in (a, b))
+    rest = [c for c in ("grp", "bar") if c in a.columns and c not in keys]
+    at = lambda x, n: F.pmod(F.xxhash64(*[c for c in ("grp", "block") if c in x.columns]), F.col(n)).cast("int")
+    left = a.withColumn("ta", at(a, "a_sides")).withColumn("tb", F.explode(F.sequence(F.col("ta") if half else F.lit(0), F.col("b_sides") - 1)))
+    right = b.withColumn("tb", at(b, "b_sides")).withColumn("ta", F.explode(F.sequence(F.lit(0), F.col("tb") if half else F.col("a_sides") - 1)))
+    left, right = left.select(*keys, "ta", "tb", *rest, *BALL), right.select(*[F.col(c).alias(c) for c in (*keys, "ta", "tb", *BALL)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for x, y, dim, bar in zip(*(batch.column(i) for i in range(1, 5))):
-                u, v = (np.frombuffer(z.as_py()).reshape(-1, dim.as_py()) for z in (x, y))
-                got.append(measure(u, v, bar.as_py()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["grp", schema.split()[0]])
+    def run(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        got = kernel(x, y, half and key[-2].as_py() == key[-1].as_py()) if len(x) and len(y) else []
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*got) if got else [[]] * len(names), types)], names)
+
+    types = [x.type for x in _arrow(a.sparkSession, schema)]
+    return left.groupBy(*keys, "ta", "tb").cogroup(right.groupBy(*keys, "ta", "tb")).applyInArrow(run, schema)
+
+
+def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
+    return spark.createDataFrame([], schema).toArrow().schema
 
-    return both.select("grp", "a_vecs", "b_vecs", "dim", F.col("bar").cast("double").alias("bar")).mapInArrow(run, f"grp {kind}, {schema}")
 
+class Balls:
+    """The blocks of a tile's side; vectors are looked at where they lie."""
 
-def least_pairs(blocks: DataFrame) -> DataFrame:
-    """grp, a_block, b_block, bar: the pairs of a group's blocks that may hold its least product. Products of single
-    vectors out of different blocks bound the least one from above; pairs of blocks that lie above that are left out. bar
-    is 1 for a block with itself."""
-    pairs = _bounds(_ends(blocks, "a").join(_ends(blocks, "b"), "grp").filter("a_block <= b_block"))
-    pairs = stash(pairs.select("grp", "a_block", "b_block", "low", dot(F.col("a_rep"), F.col("b_rep")).alias("seen")), "ball-pairs")
-    least = pairs.filter("a_block < b_block").groupBy("grp").agg(F.min("seen").alias("least"))
-    return pairs.join(least, "grp", "left").filter("least is null or low <= least").select("grp", "a_block", "b_block", F.when(F.col("a_block") == F.col("b_block"), 1.0).otherwise(0.0).alias("bar"))
+    def __init__(self, t: pa.Table) -> None:
+        self.n, self.radius, self.far, self.block = (np.array(t.column(c).to_pylist()) for c in ("n", "radius", "far", "block"))
+        self.centre = np.array(t.column("centre").to_pylist())
+        self.vecs = [np.frombuffer(v.as_buffer()).reshape(-1, d.as_py()) for v, d in zip(t.column("vecs"), t.column("dim"))]
+
+    def bounds(self, other: Balls, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Between what all products of block i with each of the other side's blocks lie."""
+        mid = other.centre @ self.centre[i]
+        reach = self.far[i] * other.radius + other.far * self.radius[i] + self.radius[i] * other.radius + ROUNDING
+        return mid - reach, mid + reach
 
 
 def _group_blocks(groups: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
@@ -297,13 +314,27 @@ def _group_blocks(groups: DataFrame, vectors: DataFrame, block_rows: int) -> Dat
 
 
 def _least_inside(blocks: DataFrame) -> DataFrame:
-    def least(a: np.ndarray, b: np.ndarray, same: float) -> float:
-        sim = a @ b.T
-        if same:
-            sim = sim[np.triu_indices(len(a), 1)]
-        return float(sim.min()) if sim.size else float("inf")
-
-    low = _products(least_pairs(blocks), blocks, blocks, ["grp"], least, "low double").groupBy("grp").agg(F.min("low").alias("cohesion"))
+    def least(x: pa.Table, y: pa.Table, same: bool) -> list[tuple]:
+        """Pairs of blocks by their lower bounds, until these lie above what is found: first of all by single vectors."""
+        a, b = Balls(x), Balls(y)
+        low = np.stack([a.bounds(b, i)[0] for i in range(len(a.n))])
+        keep = a.block[:, None] <= b.block[None] if same else np.ones_like(low, bool)
+        apart = keep & (a.block[:, None] != b.block[None])
+        seen = np.array([v[0] for v in a.vecs]) @ np.array([v[0] for v in b.vecs]).T
+        bar, found = seen[apart].min() if apart.any() else np.inf, np.inf
+        for at in np.argsort(low, axis=None):
+            i, j = divmod(int(at), low.shape[1])
+            if not keep[i, j]:
+                continue
+            if low[i, j] > min(bar, found):
+                break
+            sim = a.vecs[i] @ b.vecs[j].T
+            sim = sim[np.triu_indices(len(sim), 1)] if a.block[i] == b.block[j] else sim
+            found = min(found, float(sim.min()) if sim.size else np.inf)
+        return [(x.column("grp")[0].as_py(), found)]
+
+    kind = dict(blocks.dtypes)["grp"]
+    low = _tiles(blocks, blocks, ["grp"], True, least, f"grp {kind}, low double").groupBy("grp").agg(F.min("low").alias("cohesion"))
     n = blocks.groupBy("grp").agg(F.sum("n").alias("n"))
     return n.join(low, "grp").filter("n >= 2").select("grp", "n", "cohesion")
 
@@ -313,18 +344,22 @@ def cohesion(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048) -> D
     return _least_inside(_group_blocks(groups, vectors, block_rows))
 
 
-def intruder_pairs(members: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """grp, a_block, b_block, pairs, verdict: pairs of member blocks (with bar, their group's cohesion) and other blocks.
-    verdict says whether all of their products are above the bar, none, or some, and only these are multiplied."""
-    left = _ends(members, "a").withColumnRenamed("a_bar", "bar")
-    right = _ends(others, "b")
-    if not keys:  # every block meets every other one, block by block
-        n = others.count()
-        numbered = right.withColumn("number", F.pmod(F.xxhash64("b_block"), F.lit(max(1, n))))
-        left, right, keys = left.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))), numbered, ["number"]
-    pairs = left.join(right, keys)
-    verdict = F.when(F.col("low") > F.col("bar") + ROUNDING, "all").when(F.col("high") < F.col("bar"), "none").otherwise("some")
-    return stash(_bounds(pairs).select("grp", "a_block", "b_block", "bar", (F.col("a_n") * F.col("b_n")).alias("pairs"), verdict.alias("verdict")), "intruder-pairs")
+def intruder_counts(members: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """grp, h, pairs, multiplied: how many products of members' vectors with others are above their group's bar. Blocks whose
+    balls lie above it altogether are counted, those below left out, and only the rest is multiplied."""
+
+    def above(x: pa.Table, y: pa.Table, _: bool) -> list[tuple]:
+        a, b, out = Balls(x), Balls(y), {}
+        for i, (grp, bar) in enumerate(zip(x.column("grp").to_pylist(), x.column("bar").to_pylist())):
+            low, high = a.bounds(b, i)
+            sure = low > bar + ROUNDING
+            some = ~sure & ~(high < bar)
+            h = int(a.n[i] * b.n[sure].sum()) + sum(int(np.count_nonzero(a.vecs[i] @ b.vecs[j].T > bar + 1e-12)) for j in np.flatnonzero(some))
+            had = out.get(grp, (0, 0, 0))
+            out[grp] = (had[0] + h, had[1] + int(a.n[i] * b.n.sum()), had[2] + int(a.n[i] * b.n[some].sum()))
+        return [(g, *v) for g, v in out.items()]
+
+    return _tiles(members, others, keys, False, above, f"grp {dict(members.dtypes)['grp']}, h long, pairs long, multiplied long")
 
 
 def robustness(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -341,7 +376,7 @@ def robustness(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048, sa
 def robustness_work(groups: DataFrame, vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
     """One row: pairs of vectors, and how many of them robustness multiplies."""
     looked = _robustness(groups, vectors, block_rows, None, 0)[1]
-    return looked.agg(F.sum("pairs").alias("pairs"), F.coalesce(F.sum(F.when(F.col("verdict") == "some", F.col("pairs"))), F.lit(0)).alias("multiplied"))
+    return looked.agg(F.sum("pairs").alias("pairs"), F.sum("multiplied").alias("multiplied"))
 
 
 def _robustness(groups: DataFrame, vectors: DataFrame, block_rows: int, sample: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -358,28 +393,24 @@ def _robustness(groups: DataFrame, vectors: DataFrame, block_rows: int, sample:
     seen = g.join(outside.select("node"), "node", "left_semi").join(coh.select("grp"), "grp", "left_semi")
     own = blocks if sample is None else _group_blocks(seen, vectors, block_rows)
 
-    def above(a: np.ndarray, b: np.ndarray, bar: float) -> int:
-        return int((a @ b.T > bar + 1e-12).sum())
-
-    def hits(pairs: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
-        sure = pairs.filter("verdict = 'all'").select("grp", F.col("pairs").alias("h"))
-        return sure.unionByName(_products(pairs.filter("verdict = 'some'"), members, b, keys, above, "h long")).groupBy("grp").agg(F.sum("h").alias(name))
+    def hits(counts: DataFrame, name: str) -> DataFrame:
+        return counts.groupBy("grp").agg(F.sum("h").alias(name))
 
-    open_pairs = intruder_pairs(members, others, [])
-    inner_pairs = intruder_pairs(members, own, ["grp"])
+    open_counts = stash(intruder_counts(members, others, []), "intruders")
+    inner = intruder_counts(members, own, ["grp"])
     own_out = seen.groupBy("grp").agg(F.count("*").alias("own_out"))
-    j = coh.join(hits(open_pairs, others, [], "hits"), "grp", "left").join(hits(inner_pairs, own, ["grp"], "inner"), "grp", "left").join(own_out, "grp", "left").fillna(0, ["hits", "inner", "own_out"])
+    j = coh.join(hits(open_counts, "hits"), "grp", "left").join(hits(inner, "inner"), "grp", "left").join(own_out, "grp", "left").fillna(0, ["hits", "inner", "own_out"])
     scale = (F.lit(n_all) - F.col("n")) / (F.lit(n_out) - F.col("own_out"))
     raw = F.col("hits") - F.col("inner")
     intruders = raw if sample is None else F.when(F.lit(n_out) > F.col("own_out"), raw * scale).otherwise(F.lit(0.0))
     room = F.col("n") * (F.lit(n_all) - F.col("n"))
-    return j.select("grp", "n", "cohesion", intruders.alias("intruders"), F.when(room > 0, 1 - intruders / room).alias("robustness")), open_pairs
+    return j.select("grp", "n", "cohesion", intruders.alias("intruders"), F.when(room > 0, 1 - intruders / room).alias("robustness")), open_counts
 
 
-def sampled_robustness(groups: DataFrame, vectors: DataFrame, rounds: int = 10, sample: int = 10_000, seed: int = 42) -> DataFrame:
+def sampled_robustness(groups: DataFrame, vectors: DataFrame, rounds: int = 10, sample: int | None = 10_000, seed: int = 42) -> DataFrame:
     """grp, n, cohesion, intruders, robustness of the last round, with rounds, mean and std (population) of the rounds' overall
-    robustness; one exact round if the sample holds all outsiders."""
-    if sample >= groups.join(vectors.select("node"), "node", "left_semi").select("node").distinct().count():
+    robustness; one exact round if the sample holds all outsiders, or is None."""
+    if sample is None or sample >= groups.join(vectors.select("node"), "node", "left_semi").select("node").distinct().count():
         rounds = 1
     scores, last = None, None
     for r in range(rounds):

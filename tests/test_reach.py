@@ -227,6 +227,19 @@ def test_pruned_products_count_the_same(spark):
     assert (one["n"], one["intruders"]) == (801, 0)
 
 
+def test_blocks_are_sent_to_sides_not_to_every_other_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(evaluation, "GRID", 2)
+    for tile, sides in ((1 << 20, 2), (9_000, 5)):
+        monkeypatch.setattr(evaluation, "TILE_BYTES", tile)
+        rows = [(i, i % 3, rng.normal(0, 1, 8).tolist()) for i in range(600)]
+        df = spark.createDataFrame(rows, "node long, grp int, vec array<double>").cache()
+        blocks = evaluation.ball_blocks(df.select("node", "vec"), [], 12)
+        assert evaluation._sides(blocks, []).first()["sides"] == sides and blocks.count() > 40
+        got = {r["grp"]: (r["n"], round(r["cohesion"], 9), r["intruders"]) for r in evaluation.robustness(df.select("grp", "node"), df.select("node", "vec"), block_rows=12).collect()}
+        assert got == brute_robustness([(g, i) for i, g, _ in rows], {i: v for i, _, v in rows})
+
+
 def test_numbers_without_a_single_task(spark, monkeypatch):
     monkeypatch.setattr(ordering, "RANGE_ROWS", 7)
     rows = random.Random(3).sample([(i % 9, f"n{i}", i % 4) for i in range(200)], 200)
