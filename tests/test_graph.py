@@ -279,6 +279,17 @@ def test_sampled_measures_cover_all(spark):
     assert abs(evaluation.kendall_tau_b(x, y) - want) < 1e-12
 
 
+def test_sampled_robustness_is_its_sql_beyond_a_sample(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1, 3).tolist(), i % 4) for i in range(10_040)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    exact = {r["grp"]: r for r in entry.queries()["kg_robustness"](spark, f"file://{tmp_path}").collect()}
+    got = entry.queries()["kg_robustness_sampled"](spark, f"file://{tmp_path}").collect()
+    assert len(got) == 4 and all(r["rounds"] == 1 and r["std"] == 0.0 and r["intruders"] == exact[r["grp"]]["intruders"] for r in got)
+
+
 def test_exact_edit_distance():
     d = graph.exact_edit_distance
     m = [(c, p) for c, p in M1]
