@@ -47,7 +47,9 @@ def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     cut = cut.select("line", "ts", F.when((F.size("ts") == 4) & (F.get("ts", F.lit(0)) == "") & ~F.col("line").startswith("\x01"), o).alias("o"))
     fine = F.col("o").isNotNull()
     s, p = (F.when(fine, iri_term(F.get("ts", F.lit(i)))) for i in (1, 2))
-    return cut.select(s.alias("s"), p.alias("p"), term(F.col("o")).alias("o"), F.when(~fine, F.col("line")).alias("line"))
+    # One row of an array: filters on it stay above it, where patterns would be matched once more for each.
+    row = F.struct(s.alias("s"), p.alias("p"), term(F.col("o")).alias("o"), F.when(~fine, F.col("line")).alias("line"))
+    return cut.select(F.explode(F.array(row)).alias("t")).select("t.*")
 
 
 def read_ntriples(spark: SparkSession, path: str, predicates: list[str] | None = None) -> DataFrame:

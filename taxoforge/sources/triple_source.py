@@ -22,8 +22,11 @@ from taxoforge.functions.terms import PREFIXES
 from taxoforge.sources.readers import parse_ntriples
 
 SCHEMA = "p string, value string"
-#: Bytes of a split; of a batch of lines.
+#: Bytes of a split, of a batch of lines; splits of less than SPLIT_BYTES are read several in a row, one task some PARTS-th of all.
 SPLIT_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+PARTS = 128
+#: Read at once beyond a split, for the end of its last line.
+LINE_BYTES = 4096
 _PREDICATE = re.compile(rb"[ \t]*(?:<[^>\n]*>|_:[^\s<>\"]+)[ \t]*<([^>\n]*)>[ \t]*[<_\"]")
 _SPACES: dict[str, str] = {}
 for _name, _space in PREFIXES:
@@ -57,7 +60,9 @@ def _files(path: str) -> list[tuple[int, str, int]]:
 
 
 def _splits(files: Iterable[tuple[int, str, int]], size: int) -> list[Split]:
-    out = []
+    """Splits of ``size`` bytes, or of as many times that as keep the tasks few where the files are large for it."""
+    files, out = list(files), []
+    size *= max(1, min(SPLIT_BYTES, sum(n for _, _, n in files) // PARTS) // size)
     for _, path, n in files:
         if path.endswith((".gz", ".bz2", ".zst")):
             out.append(Split(path, 0, -1))
@@ -83,7 +88,7 @@ def _lines(split: Split) -> Iterator[list[bytes]]:
         f.seek(at - skip)  # from the byte before, to see whether a line begins at ``start``
         at, rest = at - skip, b""
         while at < split.end or rest:
-            block = f.read(BATCH_BYTES)
+            block = f.read(min(BATCH_BYTES, max(split.end - at, LINE_BYTES)))
             if not block:
                 if rest and not skip:
                     yield [rest]
@@ -193,5 +198,6 @@ def register(spark: SparkSession) -> None:
 
 
 def triples(lines: DataFrame) -> DataFrame:
-    """s, p, o of the source's lines; those that only look like triples go."""
-    return parse_ntriples(lines).filter("s is not null").select("s", "p", "o")
+    """s, p, o of the source's lines; those that only look like triples go. Lines of a compressed file come from one task, and
+    are dealt out before they are parsed."""
+    return parse_ntriples(lines if lines.isStreaming else lines.repartition("value")).filter("s is not null").select("s", "p", "o")

@@ -37,6 +37,16 @@ def test_every_line_is_read_once(dump, size, monkeypatch):
         assert sorted(got) == sorted(lines)
 
 
+def test_tasks_stay_few_however_small_the_splits(tmp_path):
+    line = f"<http://www.wikidata.org/entity/Q{{}}> <{WDT}P1> <http://www.wikidata.org/entity/Q1> ."
+    (tmp_path / "a.nt").write_text("\n".join(line.format(i) for i in range(30_000)))
+    reader = triple_source.TripleReader({"path": str(tmp_path), "splitBytes": "1000"})
+    parts = reader.partitions()
+    assert triple_source.PARTS <= len(parts) <= 2 * triple_source.PARTS and all(s.start % 1000 == 0 for s in parts)
+    got = [v for split in parts for batch in reader.read(split) for v in batch.column(1).to_pylist()]
+    assert got == [line.format(i) for i in range(30_000)]
+
+
 def test_equal_to_the_line_reader_and_pushed_down(spark, dump, capsys):
     root, lines = dump
     triple_source.register(spark)
