@@ -290,6 +290,18 @@ def test_sampled_robustness_is_its_sql_beyond_a_sample(spark, tmp_path):
     assert len(got) == 4 and all(r["rounds"] == 1 and r["std"] == 0.0 and r["intruders"] == exact[r["grp"]]["intruders"] for r in got)
 
 
+def test_classes_above_are_counted_by_sets_of_classes(spark):
+    from taxoforge.operators import stats
+    from taxoforge.operators.closure import closure, root_paths
+
+    edges = spark.createDataFrame([("a", "r"), ("b", "r"), ("c", "a"), ("c", "b")], "child string, parent string")
+    types = spark.createDataFrame([("1", "c"), ("2", "a"), ("2", "b"), ("3", "a"), ("3", "b"), ("3", "a"), ("4", "none"), ("5", None)], "inst string, cls string")
+    out = stats.class_expansion(types.select("inst").distinct(), types, closure(edges), root_paths(edges, "r"))
+    r = out.first()
+    assert r["avg_classes"] == (4 + 3 + 3) / 5 and r["avg_paths"] == 7 / 5
+    assert "inst" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "anc" in x)  # no row for an instance and a class
+
+
 def test_exact_edit_distance():
     d = graph.exact_edit_distance
     m = [(c, p) for c, p in M1]
