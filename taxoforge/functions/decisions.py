@@ -45,6 +45,7 @@ def conclusion(plabel: Column, clabel: Column, answer: Column, inverse: Column,
 def token_confidence(answer_tokens: Column, tokens: Column, probabilities: Column, word: Column) -> Column:
     """Probability of the token that says the answer: of ``answer_tokens``, the tokens of the answer's part, the first that
     is the word or holds true, false, yes or no, at its first place in all generated ``tokens``; 0 without any."""
-    said = F.filter(answer_tokens, lambda x: (F.trim(x) == F.trim(word)) | F.lower(x).rlike("true|false|yes|no"))
+    # The word is found once, not for each token that it is compared with.
+    said = F.get(F.transform(F.array(F.trim(word)), lambda w: F.filter(answer_tokens, lambda x: (F.trim(x) == w) | F.lower(x).rlike("true|false|yes|no"))), F.lit(0))
     at = F.array_position(tokens, F.get(said, F.lit(0)))
     return F.coalesce(F.when(at > 0, F.get(probabilities, (at - 1).cast("int"))), F.lit(0.0)).cast("double")

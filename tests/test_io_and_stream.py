@@ -194,3 +194,17 @@ def test_viewer_pages(spark):
     text = viewer.text_summary(roles, "P1", "part", metrics)
     assert [x for x in text.splitlines() if x.startswith("(")] == [f"({i}) {t}" for i, (_, t) in enumerate(viewer.SECTIONS, 1)]
     assert "B (class b)  avg_distance=1.5000" in text and text.count("B (class b)") == 2
+
+
+def test_the_word_of_an_answer_is_found_once(spark):
+    """The pattern that finds it is not inside the function that looks at each token."""
+    from taxoforge.functions.decisions import answer_part, answer_word, token_confidence
+
+    df = spark.createDataFrame([("so it is. Answer: Yes", 0.25), ("quiet", 0.0)], "answer string, want double").withColumn("ts", F.split("answer", " "))
+    odds = F.transform("ts", lambda x, i: 1 / (i + 1))
+    got = df.select("want", token_confidence(F.col("ts"), F.col("ts"), odds, answer_word(answer_part(F.col("answer")))).alias("c"))
+    assert [r["c"] for r in got.collect()] == [0.2, 0.0]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    plan = plan.lower()
+    inner = plan[plan.index("filter(") :].split("rlike")[0]
+    assert inner and "regexp_extract" not in inner
