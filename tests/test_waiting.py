@@ -1,10 +1,14 @@
 """Facts that come before their types, on a stream, against the batch check and by hand."""
 
 import datetime as dt
+import random
+
+import pandas as pd
 
 from taxoforge.operators.closure import closure
 from taxoforge.operators.facts import check_facts
 from taxoforge.plans.check_queries import write_events
+from taxoforge.streaming import waiting
 from taxoforge.streaming.waiting import EVENT, start_waiting
 
 EDGES = [("A", "R"), ("B", "R"), ("C", "B")]
@@ -56,3 +60,80 @@ def test_types_within_the_wait_count_and_later_ones_do_not(spark, tmp_path):
     assert sorted(run(spark, tmp_path)) == sorted([
         ("a", "p", "b", "ok"), ("late", "p", '"x"', "no_types_for_subject"), ("x", "free", "y", "ok"), ("o", "q", "never", "no_types_for_object"), ("late", "p", '"y"', "ok"),
     ])
+
+
+class Kept(dict):
+    """A state in memory that counts how often it is called."""
+
+    calls = 0
+
+    def getValue(self, k):  # noqa: N802
+        Kept.calls += 1
+        return dict.get(self, k)
+
+    def updateValue(self, k, v):  # noqa: N802
+        Kept.calls += 1
+        self[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        Kept.calls += 1
+        del self[k]
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, v):
+        self.updateValue((), v)
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+        self.getMapState = self.getValueState = lambda *_: Kept()
+
+    def registerTimer(self, at):  # noqa: N802
+        Kept.calls += 1
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def test_many_instances_share_a_call_and_each_fact_leaves_at_its_time(monkeypatch):
+    """Batches of random types and facts of 3,000 instances in one bucket, against what was said up to each batch."""
+    monkeypatch.setattr(waiting, "PACKED", 50)
+    rnd, handle = random.Random(3), Handle()
+    state = waiting.WaitForTypes(100, "s")
+    state.init(handle)
+    known, held, Kept.calls = {}, [], 0
+    for now in range(0, 700, 50):
+        rows = []
+        for _ in range(600 if now < 500 else 0):
+            i = f"i{rnd.randrange(3000) if rnd.random() < 0.7 else 7}"
+            if i != "i7" and rnd.random() < 0.4 or now == 300 and i == "i7":
+                rows.append(("type", i, None, None, False, None, rnd.choice([None, ["p"], ["p", "q"]]), 0))
+            else:
+                rows.append(("fact", i, rnd.choice("pqr"), f"o{len(held)}-{len(rows)}-{now}", rnd.random() < 0.5, "ok" if rnd.random() < 0.1 else None, None, now + rnd.randrange(50)))
+        got, want = [], []
+        pdf = pd.DataFrame(rows, columns=["kind", "s", "p", "o", "later", "verdict", "allowed", "ms"])
+        got += state.handleInputRows((0,), (pdf[k : k + 130] for k in range(0, len(pdf), 130)), Clock(now))
+        for kind, i, *_, more, _ in rows:
+            if kind == "type":
+                known.setdefault(i, set()).update(more or [])
+        want += [(*r[1:6], True, True, r[7]) for r in rows if r[0] == "fact" and r[5]]
+        held += [(*r[1:5], None, r[7]) for r in rows if r[0] == "fact" and not r[5]]
+        for at in sorted(t for t in handle.timers if t <= now):
+            handle.timers.discard(at)
+            got += state.handleExpiredTimer((0,), Clock(now), Clock(at))
+        left = []
+        for s, p, o, later, v, ms in held:
+            fits = p in known.get(s, ())
+            if fits or ms + 100 <= now:
+                want.append((s, p, o, later, v, s in known, fits, ms))
+            else:
+                left.append((s, p, o, later, v, ms))
+        held = left
+        assert sorted(tuple(r) for f in got for r in f.itertuples(index=False)) == sorted(want, key=lambda r: tuple(r)[:3])
+    assert not held and not handle.timers and not state.waiting and Kept.calls < 12_000  # of 3,000 instances in 14 batches
