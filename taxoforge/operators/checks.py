@@ -2,7 +2,8 @@
 
 What is kept is counted: by how many of its types an instance fits an allowed type, how many kept facts mention an instance
 on a side. A change adds to and takes from these counts, and only where a count reaches or leaves zero does anything
-further follow: facts are given a verdict again if what they rest on flipped, uses are added up from what flipped.
+further follow: facts are given a verdict again if what they rest on flipped, uses are added up from what flipped. Facts meet
+their changes in one join and what flipped in one more a side; where much flipped, all facts are checked again without the latter.
 Everything is a set: rows that are repeated count once, rows with a null don't count.
 """
 
@@ -25,20 +26,30 @@ SIDE = ["property", "side", "inst"]
 class Checked:
     """types (inst, cls), rules (property, side, type) and facts (s, p, o, verdict); hits (property, side, type, inst, n):
     n of the instance's types lie at or below the allowed one; mentions (property, side, inst, n): in n kept facts; usage
-    (property, side, type, used); changed (s, p, o, before, after): verdicts of the last change, null where no fact is."""
+    (property, side, type, used); changed (s, p, o, before, after): verdicts of the last change, null where no fact is.
+    mentions and usage are None where uses are not kept."""
 
     types: DataFrame
     rules: DataFrame
     facts: DataFrame
     hits: DataFrame
-    mentions: DataFrame
-    usage: DataFrame
+    mentions: DataFrame | None
+    usage: DataFrame | None
     changed: DataFrame
 
 
+#: Where more than one in this many of the typed instances flipped, all facts are checked again.
+FLIPPED_PARTS = 4
+
+
+def _wish(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, change: what is both inserted (1) and deleted (-1) is there in the end."""
+    return changes.dropna(subset=[*keys, "change"]).groupBy(*keys).agg(F.max(F.signum("change")).cast("int").alias("change"))
+
+
 def _effective(now: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, change: the changes that make a difference; what is both inserted (1) and deleted (-1) is there in the end."""
-    wish = changes.dropna(subset=[*keys, "change"]).groupBy(*keys).agg(F.max(F.signum("change")).cast("int").alias("change"))
+    """keys, change: the changes that make a difference."""
+    wish = _wish(changes, keys)
     there = wish.join(now.select(keys), keys, "left_semi").filter("change < 0")
     return stash(wish.filter("change > 0").join(now.select(keys), keys, "left_anti").unionByName(there), "effective")
 
@@ -73,21 +84,32 @@ def _mentions(facts: DataFrame, skip: str) -> DataFrame:
 
 
 def _verdicts(facts: DataFrame, types: DataFrame, rules: DataFrame, hits: DataFrame) -> DataFrame:
-    """s, p, o, verdict of some facts, from the types and hits of their own instances alone."""
-    some = stash(facts.select("s", "p", "o"), "some-facts")
-    insts = stash(some.select(F.col("s").alias("inst")).union(some.select("o")).distinct(), "some-insts")
-    return verdicts_by(some, types.join(insts, "inst", "left_semi"), rules, hits.join(insts, "inst", "left_semi").select(SIDE).distinct())
+    """s, p, o, before, verdict of some facts (s, p, o, before), from the types and hits of their own instances alone."""
+    insts = stash(facts.select(F.col("s").alias("inst")).union(facts.select("o")).distinct(), "some-insts")
+    return verdicts_by(facts, types.join(insts, "inst", "left_semi"), rules, hits.join(insts, "inst", "left_semi").select(SIDE).distinct(), ["before"])
+
+
+def _touched(facts: DataFrame, fits: DataFrame, typed: DataFrame, ruled: DataFrame) -> DataFrame:
+    """facts with a boolean, touched: they are new, or rest on something that flipped."""
+    few = ruled.select(F.col("property").alias("p"), F.lit(True).alias("ruled")).distinct()
+    f = facts.join(few, "p", "left").withColumn("touched", F.col("before").isNull() | F.col("ruled").isNotNull())
+    for side, column in (("subject", "s"), ("object", "o")):
+        flips = fits.filter(F.col("side") == side).select("inst", "property").unionByName(typed.select("inst", F.lit(None).cast("string").alias("property")))
+        flips = flips.groupBy(F.col("inst").alias(column)).agg(F.collect_set("property").alias("moved"), F.bool_or(F.col("property").isNull()).alias("retyped"))
+        hit = F.col("retyped") | F.array_contains("moved", F.col("p"))
+        f = f.join(flips, column, "left").withColumn("touched", F.col("touched") | F.coalesce(hit, F.lit(False))).drop("moved", "retyped")
+    return f.select(*FACTS, "before", "touched")
 
 
 def apply_changes(state: Checked, full: DataFrame, types: DataFrame, rules: DataFrame, facts: DataFrame, skip: str = UNCHECKED_PROPERTY) -> Checked:
     """The state after changes of types (inst, cls, change), rules (property, side, type, change) and facts (s, p, o, change).
 
     change is above zero for a row that is inserted, below for one that is deleted; deletions of what isn't there and
-    insertions of what is don't count. Tables of the state are rewritten by anti joins with the changes, which are sent out
-    where they are small; joins with the closure, and verdicts, are made for what changed alone.
+    insertions of what is don't count. Tables of the state are rewritten in one join with the changes; joins with the closure
+    are made for what changed alone, and so are verdicts unless much has flipped.
     """
     full = full.select("node", "anc")
-    dt, dr, df = _effective(state.types, types, TYPES), _effective(state.rules, rules, RULES), _effective(state.facts, facts, FACTS)
+    dt, dr = _effective(state.types, types, TYPES), _effective(state.rules, rules, RULES)
     now_types, now_rules = _after(state.types, dt, TYPES), _after(state.rules, dr, RULES)
 
     # Hits: changed types under the old rules, all types under changed rules.
@@ -100,17 +122,22 @@ def apply_changes(state: Checked, full: DataFrame, types: DataFrame, rules: Data
     fits = _moved(hit_flips, state.hits, hits, SIDE)
     typed = _moved(dt, state.types, now_types, ["inst"])
     ruled = _moved(dr, state.rules, now_rules, ["property", "side"])
-    old = state.facts.join(df.filter("change < 0"), FACTS, "left_anti")
-    touched = old.join(ruled.select(F.col("property").alias("p")).distinct(), "p", "left_semi").select(FACTS)
-    for side, column in (("subject", "s"), ("object", "o")):
-        fit = fits.filter(F.col("side") == side).select(F.col("property").alias("p"), F.col("inst").alias(column))
-        touched = touched.unionByName(old.join(fit, ["p", column], "left_semi").select(FACTS)).unionByName(old.join(typed.withColumnRenamed("inst", column), column, "left_semi").select(FACTS))
-    again = stash(touched.unionByName(df.filter("change > 0").select(FACTS)).distinct(), "again")
-    given = stash(_verdicts(again, now_types, now_rules, hits), "given")
-    gone = df.filter("change < 0").select(*FACTS, F.lit(None).cast("string").alias("verdict"))
-    new = given.unionByName(gone).withColumnRenamed("verdict", "after").join(state.facts.withColumnRenamed("verdict", "before"), FACTS, "left")
-    changed = stash(new.filter("not (before <=> after)").select(*FACTS, "before", "after"), "changed")
-    now_facts = stash(state.facts.join(changed.select(FACTS), FACTS, "left_anti").unionByName(changed.filter("after is not null").select(*FACTS, F.col("after").alias("verdict"))), "facts")
+    met = state.facts.withColumnRenamed("verdict", "before").join(_wish(facts, FACTS), FACTS, "full").filter("before is not null or change > 0")
+    met = stash(met.select(*FACTS, "before", F.coalesce(F.col("change") > 0, F.lit(True)).alias("here")), "met-facts")
+    here = met.filter("here").select(*FACTS, "before")
+    flipped = fits.select("inst").union(typed.select("inst")).distinct().count()
+    if flipped * FLIPPED_PARTS > now_types.select("inst").distinct().count():
+        given = verdicts_by(here, now_types, now_rules, hits.select(SIDE).distinct(), ["before"]).withColumnRenamed("verdict", "after")
+    else:
+        marked = stash(_touched(here, fits, typed, ruled), "marked")
+        again = _verdicts(marked.filter("touched").drop("touched"), now_types, now_rules, hits)
+        given = again.withColumnRenamed("verdict", "after").unionByName(marked.filter("not touched").select(*FACTS, "before", F.col("before").alias("after")))
+    # One table of all facts, before and after; what is there and what changed are parts of it.
+    both = stash(given.unionByName(met.filter("not here").select(*FACTS, "before", F.lit(None).cast("string").alias("after"))), "verdicts")
+    now_facts = both.filter("after is not null").select(*FACTS, F.col("after").alias("verdict"))
+    changed = both.filter("not (before <=> after)").select(*FACTS, "before", "after")
+    if state.mentions is None:
+        return Checked(now_types, now_rules, now_facts, hits, None, None, changed)
 
     # Uses: changed mentions under the hits that are, old mentions under the hits that flipped.
     ok = F.when(F.coalesce(F.col("after") == "ok", F.lit(False)), 1).otherwise(0) - F.when(F.coalesce(F.col("before") == "ok", F.lit(False)), 1).otherwise(0)
@@ -122,14 +149,16 @@ def apply_changes(state: Checked, full: DataFrame, types: DataFrame, rules: Data
     return Checked(now_types, now_rules, now_facts, hits, mentions, stash(usage, "usage"), changed)
 
 
-def checked(full: DataFrame, types: DataFrame, rules: DataFrame, facts: DataFrame, skip: str = UNCHECKED_PROPERTY) -> Checked:
-    """The state of given types, rules and facts over a closure (node, anc)."""
+def checked(full: DataFrame, types: DataFrame, rules: DataFrame, facts: DataFrame, skip: str = UNCHECKED_PROPERTY, uses: bool = True) -> Checked:
+    """The state of given types, rules and facts over a closure (node, anc), with uses or without."""
     t, r, f = (stash(x.select(keys).dropna().distinct(), "checked") for x, keys in ((types, TYPES), (rules, RULES), (facts, FACTS)))
     above = full.select("node", "anc").join(r.withColumnRenamed("type", "anc"), "anc")
     hits = t.join(above, F.col("cls") == F.col("node")).groupBy("property", "side", F.col("anc").alias("type"), "inst").agg(F.count("*").alias("n"))
     hits = stash(hits, "hits")
     verdicts = stash(verdicts_by(f, t, r, hits.select(SIDE).distinct()), "verdicts")
+    changed = verdicts.select(*FACTS, F.lit(None).cast("string").alias("before"), F.col("verdict").alias("after"))
+    if not uses:
+        return Checked(t, r, verdicts, hits, None, None, changed)
     mentions = stash(_mentions(verdicts.filter("verdict = 'ok'").withColumn("change", F.lit(1)), skip).groupBy(*SIDE).agg(F.count("*").alias("n")), "mentions")
     used = mentions.join(hits.select(*RULES, "inst"), SIDE).groupBy(*RULES).agg(F.sum("n").alias("used"))
-    changed = verdicts.select(*FACTS, F.lit(None).cast("string").alias("before"), F.col("verdict").alias("after"))
     return Checked(t, r, verdicts, hits, mentions, stash(r.join(used, RULES, "left").fillna(0, ["used"]), "usage"), changed)

@@ -30,10 +30,10 @@ BEFORE, AFTER = check_sql("0", "kg_types", "kg_constraints", "kg_facts"), check_
 AFTER_TABLES = ("kg_types_after", "kg_constraints_after", "kg_facts_after")
 
 
-def _changed(spark: SparkSession, d: str) -> checks.Checked:
-    full = stash(closure(kg(spark, d, "kg_edges")), "closure")
-    state = checks.checked(full, kg(spark, d, "kg_types"), kg(spark, d, "kg_constraints"), kg(spark, d, "kg_facts"))
-    return checks.apply_changes(state, full, kg(spark, d, "kg_type_changes"), kg(spark, d, "kg_constraint_changes"), kg(spark, d, "kg_fact_changes"))
+def _changed(spark: SparkSession, d: str, uses: bool = False) -> checks.Checked:
+    full, facts = stash(closure(kg(spark, d, "kg_edges")), "closure"), kg(spark, d, "kg_facts")
+    state = checks.checked(full, kg(spark, d, "kg_types"), kg(spark, d, "kg_constraints"), facts, uses=uses)
+    return checks.apply_changes(state, full, kg(spark, d, "kg_type_changes"), kg(spark, d, "kg_constraint_changes"), kg(spark, d, "kg_fact_changes", {"kg_facts": facts}))
 
 
 @query("kg_checks_kept_up", sql(*AFTER_TABLES, more=AFTER, body="SELECT s, p, o, verdict FROM w1"))
@@ -53,7 +53,7 @@ def q_changed(spark: SparkSession, d: str) -> DataFrame:
     body="SELECT k.property AS property, k.side AS side, k.type AS type, cast(count(m.inst) AS bigint) AS used FROM kg_constraints_after k LEFT JOIN hit1 h ON h.property = k.property AND h.side = k.side AND h.type = k.type LEFT JOIN said m ON m.property = h.property AND m.side = h.side AND m.inst = h.inst GROUP BY k.property, k.side, k.type"))
 def q_usage_kept_up(spark: SparkSession, d: str) -> DataFrame:
     """How often kept facts use each constraint, after the changes."""
-    return _changed(spark, d).usage
+    return _changed(spark, d, uses=True).usage
 
 
 # ---- facts that come before their types --------------------------------------------------------------------------

@@ -95,3 +95,52 @@ def test_everything_may_go_and_come_back(spark):
         frames = [spark.createDataFrame([(*x, sign) for x in rows], w + ", change int") for rows, w in ((types, T), (rules, R), (facts, A))]
         state = checks.apply_changes(state, full, *frames)
         verdicts = compare(state, *((types, rules, facts) if sign > 0 else (set(), set(), set())), verdicts)
+
+
+def test_few_flips_and_many_give_the_same(spark, monkeypatch):
+    """All facts checked again, or only those that rest on what flipped; with uses kept and without."""
+    rnd = random.Random(8)
+    full = closure(spark.createDataFrame(sorted(EDGES), "child string, parent string")).cache()
+    sets = {w: {pick(rnd, w) for _ in range(n)} for w, n in ((T, 18), (R, 6), (A, 90))}
+    state = checks.checked(full, *(spark.createDataFrame(sorted(sets[w]), w) for w in (T, R, A)))
+    bare = checks.checked(full, *(spark.createDataFrame(sorted(sets[w]), w) for w in (T, R, A)), uses=False)
+    before, _ = by_hand(sets[T], sets[R], sets[A])
+    frames = []
+    for w, many in ((T, 5), (R, 2), (A, 9)):
+        gone = {rnd.choice(sorted(sets[w])) for _ in range(many)}
+        come = {pick(rnd, w) for _ in range(many)}
+        frames.append(spark.createDataFrame([(*x, -1) for x in gone] + [(*x, 1) for x in come], w + ", change int"))
+        sets[w] = (sets[w] - gone) | come
+    for parts in (0, 10**6):
+        monkeypatch.setattr(checks, "FLIPPED_PARTS", parts)
+        compare(checks.apply_changes(state, full, *frames), sets[T], sets[R], sets[A], before)
+        plain = checks.apply_changes(bare, full, *frames)
+        assert plain.mentions is None and plain.usage is None
+        verdicts, _ = by_hand(sets[T], sets[R], sets[A])
+        assert {tuple(r[:3]): r[3] for r in plain.facts.select("s", "p", "o", "verdict").collect()} == verdicts
+
+
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+
+def test_facts_travel_few_times_however_much_flips(spark):
+    full = closure(spark.createDataFrame(sorted(EDGES), "child string, parent string")).cache()
+    n = 40_000
+    facts = spark.range(n).selectExpr(f"concat('a', id % {n // 8}) AS s", "'p' AS p", f"concat('b', id % {n // 8 - 1}) AS o")
+    types = spark.range(n // 8).selectExpr("concat('a', id) AS inst", "'A' AS cls").unionAll(spark.range(n // 8).selectExpr("concat('b', id)", "'C'"))
+    rules = spark.createDataFrame([("p", "subject", "B"), ("p", "object", "B")], R)
+    state = checks.checked(full, types, rules, facts, uses=False)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = shuffled_rows(spark)
+        changed = [spark.createDataFrame([("p", "subject", "A", 1), ("p", "object", "B", -1)], R + ", change int"), spark.createDataFrame([("x", "p", "y", 1)], A + ", change int")]
+        after = checks.apply_changes(state, full, spark.createDataFrame([], T + ", change int"), *changed)
+        assert after.facts.filter("verdict = 'ok'").count() == n
+        moved = sum(rows for stage, rows in shuffled_rows(spark).items() if stage not in old)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert moved < 10 * n, moved
