@@ -82,7 +82,7 @@ def rooted_extraction(edges: DataFrame, root: str, valid: DataFrame, metaclasses
     e = edges.filter("child <> parent").select("child", "parent").distinct()
     good = valid.select("node").distinct().join(metaclasses.select("node"), "node", "left_anti").withColumnRenamed("node", "child")
     taken = stash(e.filter((F.col("parent") == root) & (F.col("child") != root)).unionByName(e.filter((F.col("parent") != root) & (F.col("child") != root)).join(good, "child", "left_semi").select("child", "parent")), "extract")
-    d = stash(depths(taken, root), "extract-depth")
+    d = stash(depths(taken, root, stored=True), "extract-depth")
     taken = stash(taken.join(d.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent"), "extract")
     comp = stash(strong_components(taken), "scc")
     if comp.isEmpty():

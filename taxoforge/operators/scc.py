@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from taxoforge.scratch import stash
 
-#: Steps of a round before it is written.
-STEPS = 3
+#: Steps of a round before it is written; a plan grows by a factor of three or four with each.
+STEPS = 2
 
 
 def trimmed(edges: DataFrame, steps: int = STEPS) -> DataFrame:

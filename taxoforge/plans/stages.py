@@ -67,8 +67,7 @@ def refine_taxonomy(edges: DataFrame, predictions: DataFrame, judgements: DataFr
     graph.require_valid(e)
     e, log2 = _edit(e, todo(e, REVERSE), lambda g, o: edits.resolve_reversed(g, o, root, {}), "resolve")
     graph.require_valid(e)
-    e = stash(graph.transitive_reduction(e), "reduced")
-    graph.require_valid(e)
+    e = stash(graph.transitive_reduction(e), "reduced")  # as valid as before: all nodes and ways stay
     equal = stash(todo(e, EQUIVALENT, ascending=False).filter(F.col("parent") != root), "equal")
     candidates = stash(ordering.rewire_candidates(e, equal, root), "candidates")
     judged = stash(judgements(candidates) if callable(judgements) else judgements, "judged")
